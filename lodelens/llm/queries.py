@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodelens.llm import cooccurrence, neighbours, splitting
+from lodelens.llm import cooccurrence, handwritten, neighbours, splitting
 from lodelens.shared import table
 
 
@@ -35,8 +35,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "chunks"), limit=1920, overlap=240)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_kinds(spark, sf_dir).select("project_id", "rel_path")
+
+
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "file_records"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p5_found, p5_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p5_found, p5_pieces, p6_found, p6_kinds)}
 
 
 _P1 = r"""
