@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodelens.llm import cooccurrence, handwritten, neighbours, splitting
+from lodelens.llm import cooccurrence, funcdocs, handwritten, neighbours, splitting
 from lodelens.shared import table
 
 
@@ -27,6 +27,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, sf_dir, "embed_cache"), k=5, min_cosine=0.8)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = funcdocs.function_docs(table(spark, sf_dir, "chunks"), with_code=False)
+    return docs.where("origin = 'own'").select("chunk_id", "func_name").distinct()
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funcdocs.function_docs(table(spark, sf_dir, "chunks"), with_code=True)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("n_pieces > 1").select("chunk_id").distinct()
 
@@ -44,7 +53,7 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p5_found, p5_pieces, p6_found, p6_kinds)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_kinds)}
 
 
 _P1 = r"""
