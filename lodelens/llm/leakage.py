@@ -40,7 +40,10 @@ LOOKALIKES = {
     "ı": "i", "ɡ": "g", "ɑ": "a", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 _LOOK = str.maketrans(LOOKALIKES)
-_UNSEEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
+_UNSEEN = re.compile(
+    "[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￿]"
+)
+_TWICE_ENCODED = re.compile("[Â-ô][\u0080-¿]{1,3}")
 _ESCAPED = re.compile(r"\\[nrt]|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--.{0,400}?-->", re.S)
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n[\s>#*|/]*(?=[a-z])")
@@ -53,6 +56,14 @@ def _escape(m: re.Match) -> str:
     return " " if s[1] in "nrt" else chr(int(s[2:], 16))
 
 
+def _repair(m: re.Match) -> str:
+    """UTF-8 that was read as Latin-1, put right; unchanged if it is none."""
+    try:
+        return m.group().encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return m.group()
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text without case, punctuation, markup, layout and character variants."""
     if not text:
@@ -64,7 +75,7 @@ def words(text: str | None) -> list[str]:
     if "<" in text:
         text = _TAG.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", _UNSEEN.sub("", text))
+        text = unicodedata.normalize("NFKD", _UNSEEN.sub("", _TWICE_ENCODED.sub(_repair, text)))
         text = "".join(c for c in text if not unicodedata.combining(c)).lower().translate(_LOOK)
     text = text.lower()
     if "-" in text or "‐" in text:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodelens.llm import cooccurrence, funcdocs, handwritten, neighbours, splitting
+from lodelens.llm import cooccurrence, funcdocs, handwritten, leakage, neighbours, splitting
 from lodelens.shared import table
 
 
@@ -52,8 +52,16 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf_dir, "file_records"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_kinds)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_kinds, p8_found, p8_leaks)}
 
 
 _P1 = r"""
