@@ -1,0 +1,553 @@
+"""Personal information inside free text: found, and replaced by typed pseudonyms.
+
+Kinds: email, phone, id_number, address, person. A find is replaced by a placeholder that names its kind and carries a keyed
+pseudonym. Method for the pseudonyms: a Feistel network permutes the digits of a number, and its letters, within their format, so
+``+1 415 555 0199`` becomes another number of the same shape, equal values get equal pseudonyms in all documents, and
+without the key nothing can be read back. Dates are permuted among the dates of their calendar range. Names, mail and street
+addresses, which have no fixed format, get a keyed tag of their normalised form.
+
+Finding rests on format checks (mail, phone, identity numbers, street and house number) and, for names, on what stands
+around them, helped by a list of known name parts: family names are also recognised by the beginnings and endings that the
+list's names are made of. Scale: one Arrow pass over the documents, no shuffle; the name list is bounded by ``MAX_PARTS``.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import unicodedata
+from bisect import bisect_right
+from collections import Counter
+from datetime import date, timedelta
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_PARTS = 200_000
+ROUNDS = 10
+
+# -- pseudonyms -----------------------------------------------------------------------------------
+
+
+class Pseudonyms:
+    """Keyed permutations within a format."""
+
+    def __init__(self, key: bytes):
+        self.key = hashlib.blake2b(key, digest_size=32).digest()
+
+    def _round(self, tag: str, i: int, half: int, size: int) -> int:
+        h = hashlib.blake2b(f"{tag}|{i}|{half}|{size}".encode(), key=self.key, digest_size=16)
+        return int.from_bytes(h.digest(), "big")
+
+    def permute(self, value: int, size: int, tag: str, back: bool = False) -> int:
+        """A permutation of ``range(size)``: a Feistel network on the next a * b >= size, walked until within."""
+        if size <= 1:
+            return value
+        a = 1
+        while a * a < size:
+            a += 1
+        b = -(-size // a)
+        while True:
+            left, right = divmod(value, b)
+            if not back:
+                for i in range(ROUNDS):
+                    if i % 2 == 0:
+                        left = (left + self._round(tag, i, right, size)) % a
+                    else:
+                        right = (right + self._round(tag, i, left, size)) % b
+            else:
+                for i in reversed(range(ROUNDS)):
+                    if i % 2 == 0:
+                        left = (left - self._round(tag, i, right, size)) % a
+                    else:
+                        right = (right - self._round(tag, i, left, size)) % b
+            value = left * b + right
+            if value < size:
+                return value
+
+    def number(self, text: str, tag: str, back: bool = False) -> str:
+        """Digits among digits and letters among letters of their case, everything else as it is."""
+        out = list(text)
+        for alphabet in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"):
+            at = [i for i, c in enumerate(text) if c in alphabet]
+            if at:
+                base, value = len(alphabet), 0
+                for i in at:
+                    value = value * base + alphabet.index(text[i])
+                value = self.permute(value, base ** len(at), f"{tag}{base}{len(at)}{alphabet[0]}", back)
+                for i in reversed(at):
+                    value, r = divmod(value, base)
+                    out[i] = alphabet[r]
+        return "".join(out)
+
+    def date(self, d: date, first: date = date(1900, 1, 1), last: date = date(2099, 12, 31), back: bool = False) -> date:
+        if not first <= d <= last:
+            return d
+        return first + timedelta(days=self.permute((d - first).days, (last - first).days + 1, "date", back))
+
+    def tag(self, text: str, kind: str) -> str:
+        return hashlib.blake2b(f"{kind}|{plain(text)}".encode(), key=self.key, digest_size=5).hexdigest()
+
+
+def plain(text: str) -> str:
+    text = unicodedata.normalize("NFKC", text).casefold()
+    text = re.sub(r"%40|\s*[\[(]\s*at\s*[\])]\s*", "@", text)
+    return re.sub(r"\s*[\[(]\s*dot\s*[\])]\s*", ".", re.sub(r"\s+", " ", text)).strip()
+
+
+# -- mail -----------------------------------------------------------------------------------------
+# Endings that make what follows an @ a file and not a host.
+_FILE_ENDS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "js", "ts", "css", "py", "java", "go", "rs", "rb", "cs", "md", "txt", "json", "yaml", "yml", "git", "html", "xml"}
+_LOCAL = r"[^\W_](?:[\w.+'’&-]*[^\W])?|[^\W_]"
+_EMAIL = re.compile(
+    r"(?<![\w.+/@%-])(?P<l>[^\W_](?:[\w.+'’&-]{0,62}\w)?)"
+    r"(?:@|%40|\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?|\s(?:AT|at)\s(?=[\w-]+\s(?:DOT|dot)\s))"
+    r"(?P<h>[^\W_](?:[\w-]{0,61}[^\W_])?(?:(?:\.|\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?|\s(?:DOT|dot)\s)[^\W_](?:[\w-]{0,61}[^\W_])?)*"
+    r"(?:\.|\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?|\s(?:DOT|dot)\s)(?P<t>[^\W\d_]{2,24}))(?![\w-])"
+)
+
+
+_AT = re.compile(r"@|%40|[\[({<]\s?(?:at|AT|@)\s?[\])}>]|\s(?:AT|at)\s(?=[\w-]+\s(?:DOT|dot)\s)")
+
+
+def find_email(text: str):
+    done = 0
+    for at in _AT.finditer(text):
+        if at.start() < done or text[at.start() - 1 : at.start()] in ("", "\n"):
+            continue
+        low = max(done, at.start() - 70)
+        for m in _EMAIL.finditer(text, low, min(len(text), at.end() + 260)):
+            if m.start() > at.start():
+                break
+            if m.end() <= at.start():
+                continue
+            rest = text[m.end() : m.end() + 2]
+            if m["t"].lower() in _FILE_ENDS or (m["l"] in ("git", "hg", "svn", "ssh", "deploy") and rest[:1] in (":", "/")):
+                break
+            done = m.end()
+            yield m.start(), m.end()
+            break
+
+
+# -- phone ----------------------------------------------------------------------------------------
+_EXT = r"(?:[ ,;]{0,2}(?:ext|extn|extension|x|Durchwahl|poste|Apdo)\.? ?\d{1,5})?"
+_PHONE = re.compile(
+    r"(?<![\w.+/@#$%-])(?:tel:|callto:|sms:)?(?:"
+    r"(?:\+|00)[ .-]?[1-9]\d{0,2}(?:[ .\-/]?\(0\))?(?:[ .\-/]?\(?\d{1,5}\)?){1,6}"
+    r"|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}"
+    r"|[2-9]\d{2}[ .-]\d{3}[ .-]\d{4}"
+    r"|0\d{1,4}[ /-]\d{3,4}[ -]\d{3,5}|0\d{2,4}[ /]\d{5,9}|0\d{4}[ -]\d{6}|0\d[ .]\d{2}[ .]\d{2}[ .]\d{2}[ .]\d{2}"
+    r")" + _EXT + r"(?![\w@]|[.:/-]\w)"
+)
+_NOT_PHONE_BEFORE = re.compile(
+    r"(?:\b(?:lines?|ports?|shards?|offset|version|rows?|pages?|pp?|object|commit|build|issue|job|ticket|id|run|between|chunks?|bytes|step|revision|rev|line|error|code|isbn|pin)\s*[:=#]?\s*)$",
+    re.I,
+)
+
+
+def find_phone(text: str):
+    for m in _PHONE.finditer(text):
+        digits = sum(c.isdigit() for c in re.sub(r"(?:ext|extn|extension|x|Durchwahl|poste)\.? ?\d{1,5}$", "", m.group()))
+        start = m.start()
+        if not 8 <= digits <= 15:
+            continue
+        before = text[max(0, start - 24) : start]
+        if _NOT_PHONE_BEFORE.search(before):
+            continue
+        yield start, m.end()
+
+
+# -- identity numbers -----------------------------------------------------------------------------
+# What announces an identity number, in four languages.
+_ID_CUES = (
+    r"SSN|social(?:\s+(?:security|insurance))?(?:\s+(?:number|no\.?|num\.?|id))?|(?:NI|NIN|NINO|SIN|TIN|ITIN|EIN|UTR|NIF|NIE|DNI|CURP|RFC|CPF|NIR|BSN|PESEL|AHV|IdNr|USt-?Id(?:Nr)?)(?:\s*(?:number|no\.?|nr\.?))?"
+    r"|national\s+(?:insurance|identity|id)(?:\s+(?:number|no\.?))?|insurance\s+(?:number|no\.?|id|policy)|health\s+insurance(?:\s+(?:number|no\.?))?|policy\s+(?:number|no\.?)"
+    r"|passport(?:\s+(?:number|no\.?|nr\.?|id))?|tax(?:payer)?\s+(?:id|number|no\.?|reference|identification(?:\s+number)?|file\s+number)|TFN"
+    r"|(?:driving|driver'?s?|drivers)?\s*licen[cs]e(?:\s+(?:number|no\.?|id))?|identity\s+(?:card|number|no\.?)(?:\s+(?:number|no\.?))?|ID\s+(?:card|number|no\.?)"
+    r"|Sozialversicherungsnummer|Versicherungsnummer|Krankenversicherungsnummer|Steuer-?(?:ID|nummer|identifikationsnummer)|Reisepass(?:nummer|-?Nr\.?)?|Personalausweis(?:nummer|-?Nr\.?)?|Ausweis(?:nummer|-?Nr\.?)|Führerschein(?:nummer|-?Nr\.?)?"
+    r"|num[ée]ro\s+(?:de\s+)?(?:s[ée]curit[ée]\s+sociale|passeport|permis|fiscal)|passeport(?:\s+n[°o]\.?)?|permis(?:\s+de\s+conduire)?(?:\s+n[°o]\.?)?|n[°º]\s*fiscal"
+    r"|n[úu]mero\s+(?:de\s+)?(?:seguro(?:\s+social)?|seguridad\s+social|pasaporte|licencia|identificaci[óo]n\s+fiscal)|pasaporte(?:\s+n[°ºo]\.?)?|licencia(?:\s+de\s+conducir)?"
+)
+_ID = re.compile(
+    r"(?<![\w-])(?:" + _ID_CUES + r")(?:\s*(?:is|ist|est|es|was|:|=|#|\(|n[°o]\.?))*\s*[\"'`]?(?P<v>(?=[A-Z0-9]*[ .\-/]?[A-Z0-9 .\-/]*\d)[A-Z0-9](?:[ .\-/]?[A-Z0-9]){5,19})(?![\w])",
+    re.I,
+)
+_ID_TRIGGERS = (
+    "ssn", "social", "nin", "ni n", "insurance", "policy", "passport", "tax", "tfn", "licen", "identi", "id card", "id number", "id no", "nummer", "-nr",
+    "reisepass", "ausweis", "steuer", "führerschein", "num", "núm", "passeport", "permis", "fiscal", "pasaporte", "sin ", "tin", "ein", "utr", "nif", "nie",
+    "dni", "curp", "rfc", "cpf", "nir", "bsn", "pesel", "ahv", "idnr",
+)
+_ID_BARE = re.compile(
+    r"(?<![\w.+/-])(?:\d{3}-\d{2}-\d{4}|[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{2,5}9?\d{6}[A-Z]\d[A-Z]{2})(?![\w-]|\.\d)"
+)
+
+
+def _id_end(text: str, a: int, b: int) -> int:
+    """Of a value matched without regard to case, the part made of capitals, digits and single separators."""
+    m = re.compile(r"(?:[A-Z]{0,6}[ .\-/]?\d[A-Z0-9]*)(?:[ .\-/][A-Z]?\d[A-Z0-9]*)*(?:[ .\-/][A-Z](?![\w]))?|[A-Z0-9]{6,}").match(text, a, b)
+    return m.end() if m else a
+
+
+def find_id(text: str):
+    seen = []
+    low = text.lower()
+    for m in _ID.finditer(text) if any(t in low for t in _ID_TRIGGERS) else ():
+        a, b = m.span("v")
+        b = _id_end(text, a, b)
+        if sum(c.isdigit() for c in text[a:b]) >= 5:
+            seen.append((a, b))
+    for m in _ID_BARE.finditer(text):
+        if not any(a < m.end() and m.start() < b for a, b in seen):
+            seen.append(m.span())
+    yield from seen
+
+
+# -- street and number ----------------------------------------------------------------------------
+_CAP = r"(?:[A-ZÀ-ÖØ-ÞŁŠŽČŚŹŻ][\w'’]*(?:-[A-ZÀ-Þ][\w'’]*)*)"
+# Words for streets.
+_STREET_AFTER = (
+    r"(?:Street|St|Avenue|Ave|Av|Road|Rd|Lane|Ln|Court|Ct|Drive|Dr|Boulevard|Blvd|Terrace|Ter|Terr|Place|Pl|Square|Sq|Way|Parkway|Pkwy|Highway|Hwy|Hill|Rise|Close|Crescent|Cres|Row|Walk|Gardens|Gdns|Grove|Mews|Alley|Circle|Cir|Trail|Quay|Wharf|View|Green|Park|Path|Plaza|Loop|Esplanade|Broadway|Turnpike|Bridge|Gate|Yard|Fields?|Heights|Point|Ridge|Vale|Passage|Drove|Causeway)"
+)
+_NUMBER_FIRST = re.compile(
+    r"(?<![\w.,:/$€£#@=+-])(?<!\d )\d{1,5}(?:[ ]?[A-Za-z](?![\w]))?(?:\s?[-–/]\s?\d{1,5}[A-Za-z]?)?(?:\s(?:bis|ter|quater))?,?[ \t]+"
+    r"(?:(?:North|South|East|West|N|S|E|W)\.?[ \t]+)?(?:" + _CAP + r"[ \t]+){1,4}" + _STREET_AFTER + r"(?:\b\.?)(?![ \t]+(?:Map|Maps|Warrior|items?|entries|Trip)\b|\w|['’]\w)"
+)
+_FRENCH = re.compile(
+    r"(?<![\w.,:/$€£#@=+-])\d{1,4}(?:[ ]?(?:bis|ter|quater)|[A-Z](?=\W))?,?[ \t]+(?:rue|avenue|av\.|boulevard|bd|bvd|place|pl\.|chemin|ch\.|all[ée]e|impasse|quai|cours|route|rte|passage|square|faubourg|voie|sentier|esplanade|villa|cit[ée]|Rue|Avenue|Boulevard|Place|Chemin|Allée|Impasse|Quai|Cours|Route)"
+    r"[ \t]+(?:(?:de|du|des|la|le|les|d['’]|l['’]|à|aux|au|sous|sur|en)[ \t]*){0,3}" + _CAP + r"(?:[ \t-]+(?:" + _CAP + r"|de|du|des|la|le|les))*"
+)
+_HOUSE = r"\d{1,4}(?:[ ]?[a-zA-Z](?![\w]))?(?:[-–/]\d{1,4}[a-zA-Z]?)?(?![\w]|[.:]\d|[ ]?(?:%|\w*s\b))"
+_GERMAN = re.compile(
+    r"(?<![\w-])(?:(?:(?:Am|An|Im|In|Auf|Zum|Zur|Unter|Hinter|Vor)[ \t]+(?:(?:der|dem|den|die)[ \t]+)?(?:" + _CAP + r"[ \t]+){1,3})"
+    r"|(?:(?:" + _CAP + r"[ \t-]+){0,3}" + r"(?:[A-ZÀ-ÞŁ][\w'’-]*?(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|stieg|pfad|chaussee|graben|markt|hof|berg|gränd|gatan|vägen|gata|veien|gade|vej|straat|laan|plein|gracht|kade|katu|tie|utca)|Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring|Ufer)[ \t]+))"
+    + _HOUSE
+)
+_ROMANCE = re.compile(
+    r"(?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Av\.|Paseo|P[ºo]\.?|Plaza|Pza\.?|Camino|Carrera|Carretera|Ronda|Travesía|Vía|Glorieta|Rambla|Cuesta|Via|Viale|Piazza|Corso|Vicolo|Largo|Strada|Rua|Praça|Travessa|Ulica|ul\.|Al\.)"
+    r"[ \t]*(?:(?:de|del|de la|de las|de los|della|delle|dei|degli|di|da|do|dos|das|las|los|la|el)[ \t]+){0,2}" + _CAP + r"(?:[ \t]+(?:" + _CAP + r"|de|del|la|las|los|di|y|e))*,?[ \t]+(?:n[.º°o]*[ \t]?)?" + _HOUSE
+)
+#: What follows a street and number as part of the address.
+_ADDRESS_TAIL = re.compile(
+    r"(?:,?[ \t]+(?:#\s?\d{1,5}\w?|(?:Apt|Apartment|Suite|Ste|Unit|Flat|Floor|Fl|Rm|Room|Bldg|App|Appt|Wohnung|Piso)\.?[ \t]?#?\w{1,5}|\d{1,2}[ºª°](?:[ \t]?[A-Z])?))?"
+    r"(?:,[ \t]*\n?[ \t]*(?:\d{4,5}[ \t]+)?" + _CAP + r"(?:[ \t]+" + _CAP + r"){0,2}(?:,?[ \t]+[A-Z]{2}(?=[ \t]+\d{5}))?(?:[ \t]+\d{4,5}(?:-\d{4})?(?!\d))?)?"
+)
+
+
+def find_address(text: str):
+    for pattern in (_NUMBER_FIRST, _FRENCH, _GERMAN, _ROMANCE):
+        for m in pattern.finditer(text):
+            end = m.end()
+            if text[end - 1] == "." and not re.search(r"\b(?:St|Ave|Av|Rd|Ln|Ct|Dr|Blvd|Ter|Terr|Pl|Sq|Pkwy|Hwy|Cres|Gdns|Cir)\.$", text[m.start() : end]):
+                end -= 1
+            tail = _ADDRESS_TAIL.match(text, end)
+            last = tail.end() if tail else end
+            more = re.search(r"[ \t]+(?:The|If|When|Where|While|It|A|An|No|We|On|In|Why|Please|Both|Half|Send|Our|Write|Ask|Hi)$", text[end:last])
+            yield m.start(), end + more.start() if more else last
+
+
+# -- names ----------------------------------------------------------------------------------------
+_UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĹĻĽĿŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
+_T = rf"(?:[{_UP}](?:['’][{_UP}])?[^\W\d_]+|[{_UP}]['’][{_UP}][^\W\d_]+)"  # a capitalised word
+_TT = rf"{_T}(?:-{_T})*"
+_I = rf"[{_UP}]\."
+_G = r"[ \t]+"
+_GN = r"(?:[ \t]*\r?\n[ \t]*(?:[>#*|]+[ \t]*|//[ \t]*)?|[ \t]+)"
+_PARTICLE = r"(?:(?:von|van|der|den|de|del|della|di|da|la|le|du|dos|ten|ter|zu|af|al|el|bin|ibn|Mc|Mac|St\.)[ \t]+){0,2}"
+
+
+def _name(gap: str) -> str:
+    return (
+        rf"(?:{_TT},{gap}{_TT}(?:{_G}{_I})?(?![\w@])"
+        rf"|(?:{_I}{gap}?){{1,3}}{_PARTICLE}{_TT}"
+        rf"|{_TT}{gap}(?:{_I}{gap}){{0,2}}{_PARTICLE}{_TT}"
+        rf"|{_TT})"
+    )
+
+
+_N, _NW = _name(_G), _name(_GN)
+_N_NO_COMMA = rf"(?:(?:{_I}[ \t]?){{1,3}}{_PARTICLE}{_TT}|{_TT}{_G}(?:{_I}{_G}){{0,2}}{_PARTICLE}{_TT}|{_TT})"
+_TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Herrn|Frau|Mme|M\.|Mlle|Monsieur|Madame|Sr|Sra|Señor|Señora|Don|Doña)\.?[ \t]+)?"
+# Words that begin sentences and lines and are no names.
+_NO_NAME = {
+    w.lower()
+    for w in (
+        "The A An If When Where While Why What Which Who How It This That These Those There Here No Not Nothing Nobody Both Half Each Every All Any Some"
+        " Please Pin Set See Use Used Using During Between Before After Because Since Until Unless Although Though Even Only Again Then Than And Or But So As At By For From In Into Of Off On Onto Out"
+        " Over To Under Up With Without Is Are Was Were Be Been Has Have Had Do Does Did Can Could May Might Must Shall Should Will Would I We You He She They My Our Your"
+        " Memory Lines Line Ports Port Offset Object Version Commit Tests Test Row Rows Half Log Job Jobs Path Paths Road Map Note Notes Todo Fixme Warn Warning Info Debug Error Fatal Trace"
+        " Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December Today Yesterday Tomorrow"
+        " Team All Everyone Everybody Folks Support Admin Root User Users Customer Client Owner Author Reviewer Nobody Someone Anyone Hi Hello Dear Hey Thanks Thank Regards Best Cheers Sincerely"
+        " Der Die Das Den Dem Des Ein Eine Einen Und Oder Aber Wenn Weil Bitte Ohne Mit Für Von Im Am Ist Warum Alle Le La Les Un Une Des Et Ou Mais Pour Sans Avec Dans Sur Il Elle On El Los Las Una Y O Pero Para Por Sin Con En Falta"
+        " Index Filter Scheduler Store Router Warden Ledger Mirror Cache Queue Worker Server Client Engine Loader Parser Walker Planner Ranker Embedder Chunker Service Manager Monitor Gateway Broker Proxy Daemon Agent Bot Tracker Vector Query Chunk Merge"
+        " Github Gitlab Google Microsoft Linux Windows Mac Python Java Javascript Typescript Rust Ruby Go Docker Kubernetes Spark Null None True False Readme License Changelog"
+    ).split()
+}
+_CUES = [
+    # lines of version control, headers, forms
+    rf"(?:^[ \t>*#/|-]*|(?<=[.!?;:] ))(?:[Ss]igned-off-by|[Rr]eported-by|[Rr]eviewed-by|[Aa]cked-by|[Tt]ested-by|[Cc]o-authored-by|[Ss]uggested-by|[Hh]elped-by|[Ff]ound-by|[Cc]ommitter|[Aa]uthor|[Mm]aintainer|[Rr]eporter|[Aa]ssignee|[Oo]wner|[Cc]ontact|[Rr]eviewer|[Aa]pprover|From|To|Cc|CC|Bcc|Name|Nombre|Nom|Von|An)[ \t]*(?::|->|=>|=)[ \t]*[\"']?{_TITLE}(?P<n>{_N})(?=[ \t]*(?:$|[,;<(|\"'\[\r]|-|/|[{_UP}]\w* ))",
+    rf"\b(?:assignee|owner|reporter|author|reviewer|maintainer|contact|approver|lead|manager)[ \t]*(?:->|=>|:|=)[ \t]*[\"']?{_TITLE}(?P<n>{_N})",
+    rf"(?:@|\\)(?:param|author|owner|maintainer|contact|since by)(?:[ \t]+owner)?[ \t]+(?P<n>{_N}|{_N_NO_COMMA})(?=[ \t]*(?:,|<|$|\(|\r))",
+    rf"\b(?:name|owner|user|author|reporter|full_?name|customer|patient|employee|contact|assignee|recipient|sender|holder|person)[\"']?[ \t]*[:=][ \t]*[\"']?{_TITLE}(?P<n>{_N})(?=[\"',;|}}\r\n]|[ \t]+\w+=|$|[ \t]*[<(])",
+    rf"(?:^[ \t>*-]*|(?<=[.!?;:] ))[Cc][Cc]:?[ \t]+(?P<n>{_N})(?P<more>(?:(?:,|[ \t]+(?:and|und|et|y|&))[ \t]+{_N})*)",
+    rf"(?:^[ \t]*|(?<=[.!?;:] ))(?:--|—|–|~)[ \t]+(?P<n>{_N})(?=[ \t]*(?:\r?$|[,(<|]|[{_UP}`]))",
+    rf"\b(?:[Ff]ound|[Rr]eported|[Ww]ritten|[Ff]ixed|[Ss]potted|[Rr]eviewed|[Aa]pproved|[Ss]ubmitted|[Rr]equested|[Ss]igned|[Aa]uthored|[Cc]reated|[Oo]pened|[Cc]losed|[Aa]ssigned)[ \t]+(?:by|to)[ \t]+{_TITLE}(?P<n>{_N})(?=\s*(?:[).,;:\r\n]|$|on |at |in ))",
+    rf"\b(?:[Rr]eviewed|[Ss]poke|[Tt]alked|[Dd]iscussed|[Cc]hecked|[Pp]aired|[Mm]et|[Aa]greed)[ \t]+(?:\w+[ \t]+)?with[ \t]+{_TITLE}(?P<n>{_NW})(?=\s+(?:yesterday|today|last|on|about|this|earlier|and|who|in)\b|[.,;])",
+    # salutations
+    rf"(?:^[ \t>*]*|(?<=[.!?;:] ))(?:[Hh]i|[Hh]ello|[Hh]ey|[Dd]ear|[Hh]allo|[Ll]ieber?|[Mm]oin|[Ss]ervus|[Gg]uten (?:Tag|Morgen)|[Bb]onjour|[Bb]onsoir|[Ss]alut|[Cc]h(?:er|ère)|[Hh]ola|[Qq]uerid[oa]|[Ee]stimad[oa]|[Bb]uenos días|[Cc]iao|[Gg]ood (?:morning|afternoon|evening))[ \t]+{_TITLE}(?P<n>{_N_NO_COMMA})(?P<more>(?:(?:,|[ \t]+(?:and|und|et|y|&))[ \t]+{_N_NO_COMMA})*)(?=[ \t]*(?:[,!:.]|\r?$|-|–|—))",
+    rf"^[ \t>*]*(?:[Kk]ind regards|[Bb]est(?: regards| wishes)?|[Rr]egards|[Cc]heers|[Tt]hanks|[Ss]incerely|[Vv]iele Grüße|[Mm]it freundlichen Grüßen|[Gg]ruß|[Cc]ordialement|[Bb]ien à vous|[Ss]aludos|[Aa]tentamente)[,!]?[ \t]*\r?\n[ \t>]*(?P<n>{_N})(?=[ \t]*\r?$)",
+    # sentences
+    rf"\b(?:[Tt]hanks|[Tt]hank you|[Kk]udos|[Cc]redits?|[Mm]any thanks|[Dd]ank|[Dd]anke)[ \t]+(?:to|go to|an|for)[ \t]+{_TITLE}(?P<n>{_NW})(?=\s+(?:for|who|and|für)\b|[.,;!(]|[ \t]*$)",
+    rf"\b(?:[Mm]erci|[Gg]racias|[Gg]razie|[Oo]brigad[oa])[ \t]+(?:à|a|al)[ \t]+{_TITLE}(?P<n>{_NW})(?=\s*(?:[,.(;!<]|$))",
+    rf"\b[Bb]itte[ \t]+{_TITLE}(?P<n>{_NW})\s+(?:unter|per|über|fragen|anrufen|kontaktieren|informieren)\b",
+    rf"\b(?:[Aa]sk|[Pp]ing|[Cc]all|[Ee]mail|[Mm]ail|[Mm]essage|[Nn]otify|[Tt]ell|[Cc]ontact|[Pp]hone|[Rr]ing|[Pp]age)[ \t]+{_TITLE}(?P<n>{_NW})(?=\s+(?:about|at|on|under|if|before|for|when|to|directly|via)\b|[ \t]*[,.(<])",
+    rf"\b(?:[Oo]n|[Aa]m|[Ll]e|[Ee]l)[ \t]+(?:Mon|Tues?|Wed(?:nes)?|Thu(?:rs)?|Fri|Sat(?:ur)?|Sun|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)(?:day)?,?(?:[ \t]+[\d:, ./-]+)?[ \t]+(?P<n>{_NW})\s+(?:wrote|schrieb|said|asked)\b",
+    rf"^(?P<n>{_N})[ \t]+(?:wrote|schrieb|escribió|a écrit)[ \t]*:",
+    rf"\b(?:says|said|asks|asked|writes|wrote|according to|sagt|laut|dit|selon|dice|según)[ \t]+{_TITLE}(?P<n>{_NW})(?=\s*(?:[.,;:!?\r\n]|$))",
+    rf"\bmerged[ \t]+(?P<n>{_NW})['’]s?\s+(?:patch|branch|change|fix|work|commit|test)",
+    rf"\b[Aa]s[ \t]+(?P<n>{_NW})\s+(?:said|noted|wrote|put it|pointed|asked)\b",
+    rf"\b[Aa]s[ \t]+(?P<n>{_NW})\s+and\s+(?=<?(?:mailto:)?<?[\w.+%'’-]+(?:@|%40|[ \t]?[\[(]at[\])]))",
+    rf"\b(?:customer|client|user|tenant|patient|employee|colleague|Kunde|Kundin|cliente?)[ \t]*(?:\(|named[ \t]+)(?P<n>{_NW})(?=\s*[,);])",
+    rf"\bfixture:[ \t]*(?P<n>{_NW})[ \t]*;",
+    rf"\bVALUES[ \t]*\([^'\"\n]{{0,30}}['\"](?P<n>{_N})['\"]",
+    rf"^[ \t]*\|[ \t]*(?P<n>{_N})[ \t]*\|(?=[^|\n]*(?:@|%40|[\[(]at[\])]|\d{{3}}))",
+    rf"(?<=\d)[ \t]+#[ \t]*(?P<n>{_N})(?=[ \t]*(?:\r?$|[^\w\s,;]|[{_UP}`]))",
+    rf"\b(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo|[Ii] am|[Tt]his is|named|called)[ \t]+{_TITLE}(?P<n>{_N_NO_COMMA})(?=\s*(?:[.,;:!?]|and|from|$))",
+    rf"\b(?:Mr|Mrs|Ms|Mx|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora)\.?[ \t]+(?P<n>{_N_NO_COMMA})",
+]
+#: For each cue the words (in lower case) of which a text must hold one, tested before the pattern.
+_TRIGGERS = [
+    '-by:|committer|author|maintainer|reporter|assignee|owner|contact|reviewer|approver|from:|to:|cc:|name:|nombre:|nom:|von:|an:|from |to =|-by',
+    'assignee|owner|reporter|author|reviewer|maintainer|contact|approver|lead|manager',
+    '@param|@author|@owner|@maintainer|@contact|\\\\param|\\\\author',
+    'name|owner|user|author|reporter|customer|patient|employee|contact|assignee|recipient|sender|holder|person',
+    'cc ',
+    '-- |— |– |~ ',
+    'ed by|en by|ed to|n to|found by',
+    ' with ',
+    'hi |hello |hey |dear |hallo |liebe|moin |servus |guten |bonjour |bonsoir |salut |cher|hola |querid|estimad|buenos |ciao |good ',
+    'regards|best|cheers|thanks|sincerely|grüße|gruß|cordialement|bien à|saludos|atentamente',
+    'thank|kudos|credit|dank',
+    'merci |gracias |grazie |obrigad',
+    'bitte ',
+    'ask |ping |call |mail |message |notify |tell |contact |phone |ring |page ',
+    'day|mon |tue|wed|thu|fri |sat |sun ',
+    ' wrote| schrieb| escribió| a écrit',
+    'say|said|ask|write|wrote|according|sagt|laut|dit |selon|dice|según',
+    'merged',
+    'as ',
+    'as ',
+    'customer|client|user|tenant|patient|employee|colleague|kund',
+    'fixture:',
+    'values',
+    '|',
+    '# ',
+    "my name|ich hei|je m'|me llamo|i am|this is|named|called",
+    'mr|mrs|ms|mx|dr|prof|herr|frau|mme|mlle|monsieur|madame|señor',
+]
+_CUES = [(t.split("|") if t != "|" else ["|"], re.compile(c, re.M)) for t, c in zip(_TRIGGERS, _CUES, strict=True)]
+#: What stands behind a name; the name is then sought backwards from there.
+_BEHIND = re.compile(
+    r"(?:['’]s?\s+(?:patch|test|branch|change|fix|work|commit|review|report|machine|laptop|account|desk|mail|note|comment)\b"
+    r"|\s(?:moved|asked|reported|found|wrote|said|merged|broke|fixed|added|removed|changed|noticed|approved|reviewed|opened|closed|suggested|sent|called|joined|left|took)[ \t]+(?:the|a|an|that|this|it|us|me|for|in|our|my|last|out)\b)"
+)
+_BEFORE = re.compile(rf"(?<![\w'’-])({_NW})$")
+_BEFORE_MAIL = re.compile(rf"(?<![\w'’-])({_N})[ \t]*[<(,|/][ \t]*(?:mailto:)?[ \t]*<?$")
+_EACH = re.compile(_N)
+_EACH_PLAIN = re.compile(_N_NO_COMMA)
+_WORDS = re.compile(rf"{_TT}|{_I}")
+
+
+class NameParts:
+    """Known name parts, and what family names are made of."""
+
+    def __init__(self, parts: list[tuple[str, str]]):
+        self.given = {p.casefold() for p, k in parts if k == "given"}
+        self.family = {p.casefold() for p, k in parts if k == "family"}
+        heads, tails = Counter(), Counter()
+        for f in self.family:
+            for i in range(3, len(f) - 2):
+                heads[f[:i]] += 1
+                tails[f[i:]] += 1
+        self.heads = {h for h, n in heads.items() if n >= 4}
+        self.tails = {t for t, n in tails.items() if n >= 4}
+
+    def is_family(self, word: str) -> bool:
+        for w in word.casefold().split("-"):
+            if w in self.family:
+                return True
+            if any(w[:i] in self.heads and w[i:] in self.tails for i in range(3, len(w) - 2)):
+                return True
+        return False
+
+    def is_given(self, word: str) -> bool:
+        return all(w in self.given for w in word.casefold().split("-"))
+
+
+def _words_of(name: str) -> list[str]:
+    return re.findall(r"[^\s,]+", name)
+
+
+# Of the words above, short ones that may also be a given name where a family name follows.
+_MAYBE = {"la", "le", "el", "los", "las", "das", "der", "die", "den", "dem", "des", "un", "une", "una", "sin", "con", "en", "et", "il", "on", "sur", "am", "im", "mit", "von", "ein", "mais", "ou", "o", "y", "no", "he", "it", "to", "an", "at", "by", "is", "we", "if", "she", "you", "has", "was", "did", "can", "para", "per", "job", "mac", "max", "or", "may", "april", "june", "august", "do", "of", "as", "in", "go", "be", "so"}
+
+
+def _trim(name: str) -> int:
+    """Length of the name without trailing words that are none; 0 if it begins with such a word."""
+    words = list(re.finditer(r"[^\s,]+", name))
+    lower = [w.group().lower() for w in words]
+    keep = len(words)
+    for i in range(1, len(words)):
+        if lower[i] in _NO_NAME and not re.fullmatch(_I, words[i].group()):
+            keep = i
+            break
+    if not re.fullmatch(_I, words[0].group()) and lower[0] in _NO_NAME and (keep == 1 or lower[0] not in _MAYBE):
+        return 0
+    if keep == 1 and re.fullmatch(_I, words[0].group()):
+        return 0
+    return words[keep - 1].end()
+
+
+def find_person(text: str, parts: NameParts, mails: list[int]):
+    """Names by what stands around them, and known given names or initials with a family name.
+
+    Of a pair of which the second word is a common noun (a product's name, say) nothing is a name. ``mails`` are the
+    starts of mail addresses, before which a name may stand.
+    """
+    found: list[tuple[int, int]] = []
+
+    def add(a: int, name: str, product_rule: bool = True) -> None:
+        n = _trim(name)
+        if not n:
+            return
+        words = [w.strip(".,") for w in _words_of(name[:n])]
+        whole = [w.strip(".,") for w in _words_of(name)]
+        # "Reed Filter": the word cut off belongs to it, so this is the name of a thing
+        if product_rule and len(whole) > len(words) == 1 and not name[n:].lstrip().startswith(("If", "The", "It", "A ", "An ", "On", "No", "In")):
+            nxt = whole[1].lower()
+            if nxt in _THINGS:
+                return
+        found.append((a, a + n))
+
+    low = text.lower()
+    for triggers, cue in _CUES:
+        if not any(t in low for t in triggers):
+            continue
+        for m in cue.finditer(text):
+            add(m.start("n"), m.group("n"))
+            if "more" in cue.groupindex and m.group("more"):
+                for x in (_EACH if "Cc" in cue.pattern else _EACH_PLAIN).finditer(m.group("more")):
+                    add(m.start("more") + x.start(), x.group())
+    for m in _BEHIND.finditer(text):
+        left = max(0, m.start() - 90)
+        if b := _BEFORE.search(text[left : m.start()]):
+            add(left + b.start(1), b.group(1))
+    for at in mails:
+        left = max(0, at - 90)
+        if b := _BEFORE_MAIL.search(text[left:at]):
+            add(left + b.start(1), b.group(1))
+    # without a cue: both words must be known for names
+    words = list(_WORDS.finditer(text))
+    for x, y in zip(words, words[1:]):
+        gap = text[x.end() : y.start()]
+        w, v = x.group(), y.group()
+        if not gap.strip(" \t\r\n") or gap.strip(" \t") == ",":
+            if gap.count("\n") > 1 or len(gap) > 4:
+                continue
+            comma = "," in gap
+            first, last = (v, w) if comma else (w, v)
+            if last.lower() in _NO_NAME or first.lower() in _NO_NAME:
+                continue
+            if parts.is_family(last) and (parts.is_given(first) or (re.fullmatch(_I, first) and not comma and "\n" not in gap)):
+                found.append((x.start(), y.end()))
+            elif comma and parts.is_given(first) and last[0].isupper() and parts.is_family(last):
+                found.append((x.start(), y.end()))
+    for x in words:
+        if "-" in x.group() or len(x.group()) < 5:
+            continue
+        # a family name of the list by itself, beside a capitalised word that is no common one
+        if x.group().casefold() in parts.family or parts.is_family(x.group()):
+            before = re.search(rf"({_TT}|{_I})[ \t]+$", text[max(0, x.start() - 40) : x.start()])
+            if before and before.group(1).lower() not in _NO_NAME:
+                a = x.start() - len(before.group(0))
+                found.append((a, x.end()))
+    return found
+
+
+# Nouns for things of software that stand second in a product's name.
+_THINGS = {
+    w.lower()
+    for w in (
+        "Index Filter Scheduler Store Router Warden Ledger Mirror Cache Queue Worker Server Client Engine Loader Parser Walker Planner Ranker Embedder Chunker Service Manager"
+        " Monitor Gateway Broker Proxy Daemon Agent Bot Tracker Map Window Build Vector Query Chunk Merge"
+    ).split()
+}
+
+KINDS = ("email", "phone", "id_number", "address", "person")
+
+
+def find_all(text: str, parts: NameParts) -> list[tuple[int, int, str]]:
+    """Non-overlapping finds (start, end, kind) in order. Where kinds overlap, mail, identity numbers, addresses and phones go first."""
+    taken: list[tuple[int, int, str]] = []
+
+    def free(a: int, b: int) -> bool:
+        return not any(a < y and x < b for x, y, _ in taken)
+
+    for kind, spans in (("email", find_email(text)), ("id_number", find_id(text)), ("address", find_address(text)), ("phone", find_phone(text))):
+        for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
+            if b > a and free(a, b):
+                taken.append((a, b, kind))
+    names = sorted(set(find_person(text, parts, [a for a, _, k in taken if k == "email"])), key=lambda s: (s[0] - s[1], s[0]))
+    for a, b in names:
+        # a name may run into a house number or a mail behind it
+        for x, y, k in taken:
+            if a < x < b and k != "person":
+                b = a + len(text[a:x].rstrip(" ,;(<"))
+        if b > a and free(a, b):
+            taken.append((a, b, "person"))
+    return sorted(taken)
+
+
+def replaced(text: str, finds: list[tuple[int, int, str]], names: Pseudonyms) -> str:
+    """The text with each find replaced by ``<KIND pseudonym>``, all else unchanged."""
+    out, last = [], 0
+    for a, b, kind in finds:
+        said = text[a:b]
+        if kind in ("phone", "id_number"):
+            new = names.number(said, kind)
+        else:
+            new = names.tag(said, kind)
+        out += [text[last:a], f"<{kind.upper()} {new}>"]
+        last = b
+    return "".join([*out, text[last:]])
+
+
+def pseudonymised(documents: DataFrame, name_parts: DataFrame, key: str = "change-me") -> DataFrame:
+    """(doc_id, text, finds): each document with its personal data replaced, and what was found where.
+
+    ``finds`` is an array of (kind, line_no, start_char, end_char) in the original text, lines ending at ``\\n`` and counted from 1.
+    Null texts stay null with no finds, empty ones empty; other columns are ignored and repeated rows kept.
+    """
+    spark = documents.sparkSession
+    rows = name_parts.where(F.col("part_text").isNotNull()).select("part_text", F.lower("part_kind").alias("k")).distinct().limit(MAX_PARTS + 1).collect()
+    if len(rows) > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} name parts")
+    parts = spark.sparkContext.broadcast(NameParts([(r.part_text.strip(), r.k or "family") for r in rows if r.part_text.strip()]))
+    schema = "doc_id long, text string, finds array<struct<kind: string, line_no: int, start_char: int, end_char: int>>"
+
+    def run(batches):
+        names = Pseudonyms(key.encode())
+        for pdf in batches:
+            texts, all_finds = [], []
+            for t in pdf["text"]:
+                if t is None:
+                    texts.append(None)
+                    all_finds.append([])
+                    continue
+                finds = find_all(t, parts.value)
+                ends = [m.start() for m in re.finditer("\n", t)] if finds else []
+                texts.append(replaced(t, finds, names))
+                all_finds.append([{"kind": k, "line_no": bisect_right(ends, a - 1) + 1, "start_char": a, "end_char": b} for a, b, k in finds])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "finds": all_finds})
+
+    return documents.select("doc_id", "text").mapInPandas(run, schema)

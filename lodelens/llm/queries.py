@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodelens.llm import cooccurrence, funcdocs, handwritten, leakage, neighbours, splitting
+from lodelens.llm import cooccurrence, funcdocs, handwritten, leakage, neighbours, personal, splitting
 from lodelens.shared import table
 
 
@@ -60,8 +61,21 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
 
 
+def _p9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.pseudonymised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finds = _p9(spark, sf_dir).select("doc_id", F.explode("finds").alias("f"))
+    return finds.select("doc_id", "f.kind", "f.line_no").distinct()
+
+
+def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p9(spark, sf_dir).select("doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_kinds, p8_found, p8_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_kinds, p8_found, p8_leaks, p9_found, p9_texts)}
 
 
 _P1 = r"""
