@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodelens.llm import cooccurrence, funcdocs, handwritten, leakage, neighbours, personal, splitting
+from lodelens.llm import cooccurrence, funcdocs, handwritten, leakage, neighbours, packing, personal, splitting
 from lodelens.shared import table
 
 
@@ -53,6 +53,10 @@ def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf_dir, "file_records"))
 
 
+def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(table(spark, sf_dir, "documents"), capacity=4096)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
@@ -75,7 +79,7 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_kinds, p8_found, p8_leaks, p9_found, p9_texts)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_kinds, p7_sequences, p8_found, p8_leaks, p9_found, p9_texts)}
 
 
 _P1 = r"""
