@@ -163,7 +163,7 @@ def hit_facets(hits: DataFrame, files: DataFrame) -> DataFrame:
     lang = F.coalesce(F.nullif("hit_language", F.lit("")), F.nullif("language", F.lit("")), F.lit("(none)"))
     one = f.select(
         F.inline(F.concat(
-            F.array(F.struct(F.lit("dir").alias("facet"), F.coalesce("dir", paths.directory("path")).alias("value")), F.struct(F.lit("language"), lang)),
+            F.array(F.struct(F.lit("dir").alias("facet"), F.coalesce("dir", paths.directory("path")).alias("value")), F.struct(F.lit("language").alias("facet"), lang.alias("value"))),
             F.transform(F.coalesce("kinds", paths.file_kinds("path", "hit_language")), lambda k: F.struct(F.lit("kind").alias("facet"), k.alias("value"))),
         ))
     )

@@ -45,7 +45,7 @@ def metrics(ranked: DataFrame, by: list[str], k: int = 10) -> DataFrame:
 
     delta = F.when(t.isNotNull() & F.col("has_distractors"), F.coalesce(n, F.lit(k + 1)) - t)
     groups = F.array(
-        F.struct(F.lit("overall").alias("grouping"), F.lit("all").alias("value")), *[F.struct(F.lit(c), F.coalesce(F.col(c), F.lit("(none)"))) for c in by]
+        F.struct(F.lit("overall").alias("grouping"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("grouping"), F.coalesce(F.col(c), F.lit("(none)")).alias("value")) for c in by]
     )
     g = ranked.select("*", F.inline(groups))
     def hit(at):

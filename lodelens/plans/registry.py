@@ -444,12 +444,12 @@ def catalog_token(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- lookups --------------------------------------------------------------------------------------
-@query("""WITH m AS (SELECT DISTINCT project_id, chunk_id, rel_path, symbol, symbol_kind, start_line FROM chunks WHERE symbol = 'main' OR symbol = 'probe_node' OR ends_with(symbol, '.probe_node')),
-k AS (SELECT *, lower(coalesce(symbol_kind, '')) IN ('module', 'file') AS weak FROM m WHERE symbol = 'probe_node' OR ends_with(symbol, '.probe_node'))
+@query("""WITH m AS (SELECT DISTINCT project_id, chunk_id, rel_path, symbol, symbol_kind, start_line FROM chunks WHERE symbol = '__init__' OR ends_with(symbol, '.__init__')),
+k AS (SELECT *, lower(coalesce(symbol_kind, '')) IN ('module', 'file') AS weak FROM m WHERE symbol = '__init__' OR ends_with(symbol, '.__init__'))
 SELECT project_id, chunk_id, rel_path, symbol, symbol_kind FROM k WHERE NOT weak OR (SELECT count(*) FROM k WHERE NOT weak) = 0 ORDER BY rel_path, start_line NULLS FIRST, chunk_id, project_id LIMIT 20""")
 def find_definition(spark: SparkSession, d: str) -> DataFrame:
     c = catalog.distinct_chunks(table(spark, d, "chunks"), "project_id", "chunk_id", "rel_path", "symbol", "symbol_kind", "start_line")
-    return lookup.definitions(c, "probe_node").select("project_id", "chunk_id", "rel_path", "symbol", "symbol_kind")
+    return lookup.definitions(c, "__init__").select("project_id", "chunk_id", "rel_path", "symbol", "symbol_kind")
 
 
 @query()
@@ -665,9 +665,7 @@ mt AS (SELECT grouping_, value, count(*) AS n, round(avg((coalesce(t, 99) <= 1):
 
 @query(f"{_METRICS} SELECT grouping_ AS grouping, * EXCLUDE (grouping_) FROM mt")
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.metrics(_self_ranks(spark, d).withColumnRenamed("category", "category"), ["category"]).withColumn(
-        "grouping", F.when(F.col("grouping") == "overall", "overall").otherwise("category")
-    )
+    return evaluation.metrics(_self_ranks(spark, d), ["category"])
 
 
 @query(f"""{_METRICS}, lg AS (SELECT value, unnest(['hit1', 'hit5', 'hit10', 'mrr']) AS metric, unnest([hit1, hit5, hit10, mrr]) AS now FROM mt)

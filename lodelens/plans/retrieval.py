@@ -5,8 +5,14 @@ Vector and text queries are tables of queries, one row each, so one job answers
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from lodelens.functions import text
 
@@ -42,9 +48,6 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 8, block: int
     ``vectors`` has (vec_id, embedding), ``queries`` (query_id, query_vec). Each row of the table meets one block of at most ``block``
     query vectors, multiplied as matrices; only each Arrow batch's best ``k`` a query leave the worker.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = queries.where("query_vec IS NOT NULL").orderBy("query_id").collect()
     spark, out = vectors.sparkSession, None
     for at in range(0, max(1, len(rows)), block):
@@ -92,13 +95,6 @@ def hashed_vector(value, dims: int = 64) -> Column:
 
     An Arrow function: as nested column lambdas the hashes would be computed again for every element.
     """
-    import hashlib
-    import re
-
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     token = re.compile("[A-Za-z0-9_]+")
 
     @pandas_udf("array<double>")
