@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodelens.functions import paths, text
+from lodelens.functions import chunking, paths, text
 from lodelens.operators import incremental
 from lodelens.plans import catalog, evaluation, history, lifecycle, lookup, retrieval
 from lodelens.shared import table
@@ -706,3 +706,29 @@ def cache_evict(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CACHE} SELECT dim, count(*) AS rows, sum(b - 80)::BIGINT AS bytes, round(min(last_used_at), 3) AS oldest FROM cc GROUP BY 1")
 def cache_stats(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.cache_stats(table(spark, d, "embed_cache"))
+
+
+# -- chunking -------------------------------------------------------------------------------------
+@query()
+def chunk_files(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "file_records").select("project_id", "rel_path", paths.language("rel_path").alias("language"), "content").distinct()
+    return chunking.chunked(f)
+
+
+@query("""SELECT project_id, chunk_id, generate_subscripts(starts, 1) - 1 AS piece, substr(text, unnest(starts), 1920) AS piece_text FROM (
+    SELECT project_id, chunk_id, text, range(1, greatest(length(text) - 240, 1) + 1, 1680) AS starts FROM (SELECT DISTINCT project_id, chunk_id, text FROM chunks WHERE length(text) > 1920))""")
+def hard_split(spark: SparkSession, d: str) -> DataFrame:
+    c = catalog.distinct_chunks(table(spark, d, "chunks"), "project_id", "chunk_id", "text").where("length(text) > 1920")
+    return c.select("project_id", "chunk_id", "text", F.posexplode(F.expr("sequence(1, greatest(length(text) - 240, 1), 1680)")).alias("i", "at")).select(
+        "project_id", "chunk_id", F.col("i").cast("long").alias("piece"), F.expr("substr(text, at, 1920)").alias("piece_text")
+    )
+
+
+# -- sessions of the event stream (batch form) ----------------------------------------------------
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 HOURS THEN 1 ELSE 0 END AS n, event_id FROM events),
+s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, g""")
+def activity_sessions(spark: SparkSession, d: str) -> DataFrame:
+    from lodelens.streaming.windows import activity_windows
+
+    w = activity_windows(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id")
+    return w.select("user_id", F.unix_micros("start").alias("start_us"), "n")

@@ -1 +1 @@
-
+"""Structured Streaming variants of batch operators."""
