@@ -14,6 +14,7 @@ list's names are made of. Scale: one Arrow pass over the documents, no shuffle;
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 from bisect import bisect_right
@@ -44,9 +45,7 @@ class Pseudonyms:
         """A permutation of ``range(size)``: a Feistel network on the next a * b >= size, walked until within."""
         if size <= 1:
             return value
-        a = 1
-        while a * a < size:
-            a += 1
+        a = math.isqrt(size - 1) + 1
         b = -(-size // a)
         while True:
             left, right = divmod(value, b)
