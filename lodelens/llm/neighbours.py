@@ -2,8 +2,8 @@
 
 Method. Unit vectors are cut into two halves, each half is quantised by its own K centroids, so the index has K x K
 cells. For every vector the cells are visited in ascending order of the summed distance of its halves to the two
-centroids, taken from a heap (multi-sequence traversal), until the visited cells hold ``candidates`` rows. Candidates
-are reranked by their exact cosine.
+centroids, taken from a heap (multi-sequence traversal), until at least ``MIN_CELLS`` cells that hold at least ``candidates``
+rows are visited. Candidates are reranked by their exact cosine.
 
 Scale. K grows with the square root of the rows up to ``MAX_K``; centroids are fitted on at most ``SAMPLE_ROWS`` rows of a
 dimension, but every row is indexed and every row is a query. What is broadcast is bounded by MAX_K: two
@@ -27,6 +27,7 @@ from lodelens import shared
 SAMPLE_ROWS = 65_536
 MAX_K = 1024
 OCCUPANCY = 16
+MIN_CELLS = 16
 UNIT = 4096
 MAX_DIMS = 64
 
@@ -73,7 +74,9 @@ def _distances(m: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.
 
 
 def traverse(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, candidates: int) -> list[int]:
-    """Non-empty cells (i * K + j) in ascending order of d1[i] + d2[j], until they hold ``candidates`` rows.
+    """Non-empty cells (i * K + j) in ascending order of d1[i] + d2[j]: ``MIN_CELLS`` and more, until they hold ``candidates`` rows.
+
+    Both limits are lower ones: a crowded cell must not hide the cells beside it.
 
     The classic heap: (a, b) is pushed once its predecessors in both sequences have been taken.
     """
@@ -81,7 +84,7 @@ def traverse(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, candidates: int)
     o1, o2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
     heap, taken, found, have = [(s1[0] + s2[0], 0, 0)], set(), [], 0
-    while heap and have < candidates:
+    while heap and (have < candidates or len(found) < MIN_CELLS):
         _, a, b = heapq.heappop(heap)
         taken.add((a, b))
         cell = o1[a] * k + o2[b]
@@ -124,7 +127,7 @@ def pack_units(sizes: np.ndarray, second: np.ndarray, unit: int) -> tuple[np.nda
 
 
 def most_similar(
-    vectors: DataFrame, k: int = 5, min_cosine: float = 0.8, candidates: int = 2048, sample_rows: int = SAMPLE_ROWS
+    vectors: DataFrame, k: int = 5, min_cosine: float = 0.8, candidates: int = 256, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """(h, other, cosine, rank): for every usable key its ``k`` most similar other keys of the same ``dim``.
 
