@@ -18,7 +18,12 @@ FIX = r"(?i)\b(fix(e[sd])?|bug|hotfix|patch|close[sd]?\s+#\d+)\b"
 
 
 def distinct_commits(commits: DataFrame) -> DataFrame:
-    """One row per (project, commit); of differing deliveries the greatest row counts. Null parents are none."""
+    """One row per (project, commit); of differing deliveries the greatest row counts. Null parents are none.
+
+    Given its own result (kept as a table, say, as several steps read it) it gives it back.
+    """
+    if "n_parents" in commits.columns:
+        return commits
     n = F.greatest(F.coalesce(F.size("parents"), F.lit(0)), F.lit(0))
     row = F.struct(
         F.coalesce("ts", F.lit(0)).alias("ts"), F.coalesce("author", F.lit("")).alias("author"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodelens.functions import chunking, paths, text
 from lodelens.operators import incremental
 from lodelens.plans import catalog, evaluation, history, lifecycle, lookup, retrieval
-from lodelens.shared import table
+from lodelens.shared import kept, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -131,8 +131,14 @@ def _with(mode: str) -> str:
     return f"WITH {_COMMITS}, {_IDS[mode]}, {_FILES}"
 
 
+def _commits(spark, d):
+    """Distinct commits, written once: what follows reads them several times, with few columns each."""
+    return kept(history.distinct_commits(table(spark, d, "commits")), "commits")
+
+
 def _ids(spark, d, mode="commit"):
-    return history.change_ids(table(spark, d, "commits"), mode)
+    ids = history.change_ids(table(spark, d, "commits"), mode)
+    return kept(ids, f"changes-{mode}")
 
 
 _SETS = "SELECT project_id, change, commits, ts, n_authors, is_fix, n_files, state FROM cs"
@@ -211,12 +217,12 @@ _DEFECTS = "SELECT project_id, path, sum(lines)::BIGINT AS defect_introducing_li
 
 @query(f"WITH {_COMMITS}, {_ATTRIBUTED} SELECT project_id, fix_commit, introducing_commit, path, lines FROM atr")
 def defect_attribution(spark: SparkSession, d: str) -> DataFrame:
-    return history.previous_touch(table(spark, d, "commits"))
+    return history.previous_touch(_commits(spark, d))
 
 
 @query(f"WITH {_COMMITS}, {_ATTRIBUTED} {_DEFECTS}")
 def defect_intro(spark: SparkSession, d: str) -> DataFrame:
-    return history.defects(history.previous_touch(table(spark, d, "commits")))
+    return history.defects(history.previous_touch(_commits(spark, d)))
 
 
 # -- catalogue ------------------------------------------------------------------------------------
@@ -396,7 +402,7 @@ hs AS (SELECT * FROM sp WHERE changes > 0 OR defect_score > 0)"""
 
 
 def _spots(spark, d):
-    commits = table(spark, d, "commits")
+    commits = _commits(spark, d)
     files = _catalog(spark, d).select("project_id", "path", "chunks", F.size("symbols").cast("long").alias("symbols"), "indent_complexity")
     defective = history.defects(history.previous_touch(commits)).drop("fix_commits_with_szz")
     return history.hotspots(history.churn(history.kept_files(history.change_ids(commits))), files, defective)
@@ -419,6 +425,7 @@ _CHUNKS = f"ck AS (SELECT *, {_BODY} AS body FROM (SELECT DISTINCT project_id, c
 
 
 def _chunks(spark, d):
+    """Distinct chunks with the text that is searched."""
     c = catalog.distinct_chunks(table(spark, d, "chunks"), "project_id", "chunk_id", "rel_path", "language", "symbol", "symbol_kind", "chunk_role", "start_line", "text")
     return c.withColumn("search_text", text.search_text("rel_path", "symbol", "language", "text"))
 
@@ -533,7 +540,7 @@ def _bm25(spark, d, k):
     c = _chunks(spark, d)
     q = table(spark, d, "eval_cases").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "query")
     ids = ["project_id", "chunk_id"]
-    scored = retrieval.bm25(retrieval.postings(c, ids, "search_text"), retrieval.text_stats(c, "search_text"), q, ids)
+    scored = retrieval.bm25(kept(retrieval.postings(c, ids, "search_text"), "postings"), retrieval.text_stats(c, "search_text"), q, ids)
     return retrieval.top(scored.withColumn("score", F.round("score", 9)), k, ["chunk_id", "project_id"])
 
 
@@ -550,13 +557,11 @@ def fts_count(spark: SparkSession, d: str) -> DataFrame:
     return p.join(q, "term").select("query_id", "project_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT item_id, CASE WHEN len([x FOR x IN regexp_split_to_array(query, '\\s+') IF x <> '']) = 1 OR " + " OR ".join("regexp_matches(query, '{}')".format(s.replace("'", "''")) for s in retrieval.IDENTIFIER_SIGNS) + " THEN 'hybrid' ELSE 'vector' END AS mode FROM (SELECT item_id, query FROM eval_cases UNION ALL SELECT -row_number() OVER (ORDER BY project_id, symbol), symbol FROM (SELECT DISTINCT project_id, symbol FROM chunks WHERE symbol IS NOT NULL))")
+@query(f"SELECT item_id, CASE WHEN len([x FOR x IN regexp_split_to_array(query, '\\s+') IF x <> '']) = 1 OR " + " OR ".join("regexp_matches(query, '{}')".format(s.replace("'", "''")) for s in retrieval.IDENTIFIER_SIGNS) + " THEN 'hybrid' ELSE 'vector' END AS mode FROM (SELECT item_id, query FROM eval_cases UNION ALL SELECT -('0x' || left(md5(coalesce(project_id, '') || symbol), 12))::BIGINT, symbol FROM (SELECT DISTINCT project_id, symbol FROM chunks WHERE symbol IS NOT NULL))")
 def classify_query(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     symbols = table(spark, d, "chunks").where("symbol IS NOT NULL").select("project_id", "symbol").distinct()
-    n = F.row_number().over(Window.orderBy("project_id", "symbol")).cast("long")
-    q = table(spark, d, "eval_cases").select("item_id", "query").unionByName(symbols.select((-n).alias("item_id"), F.col("symbol").alias("query")))
+    key = -F.conv(F.left(F.md5(F.concat(F.coalesce("project_id", F.lit("")), "symbol")), F.lit(12)), 16, 10).cast("long")
+    q = table(spark, d, "eval_cases").select("item_id", "query").unionByName(symbols.select(key.alias("item_id"), F.col("symbol").alias("query")))
     return q.select("item_id", F.when(retrieval.is_hybrid("query"), "hybrid").otherwise("vector").alias("mode"))
 
 
@@ -576,7 +581,7 @@ def _one_query(spark, d):
     c = _chunks(spark, d)
     q = spark.createDataFrame([(1, _QUERY)], "query_id long, query string")
     ids = ["project_id", "chunk_id"]
-    scored = retrieval.bm25(retrieval.postings(c, ids, "search_text"), retrieval.text_stats(c, "search_text"), q, ids)
+    scored = retrieval.bm25(kept(retrieval.postings(c, ids, "search_text"), "postings"), retrieval.text_stats(c, "search_text"), q, ids)
     words = retrieval.top(scored.withColumn("score", F.round("score", 9)), 20, ["chunk_id", "project_id"])
     distance = F.round(retrieval.l2_squared(retrieval.hashed_vector("search_text"), retrieval.hashed_vector(F.lit(_QUERY))), 9)
     near = c.select(*ids, (-distance).alias("score")).orderBy(F.desc("score"), "chunk_id", "project_id").limit(20).withColumn("query_id", F.lit(1).cast("long"))
@@ -651,7 +656,7 @@ def _self_cases(spark, d):
 def _self_ranks(spark, d):
     cases, c = _self_cases(spark, d), _chunks(spark, d)
     ids = ["project_id", "chunk_id"]
-    scored = retrieval.bm25(retrieval.postings(c, ids, "search_text"), retrieval.text_stats(c, "search_text"), cases.select("query_id", "query"), ids)
+    scored = retrieval.bm25(kept(retrieval.postings(c, ids, "search_text"), "postings"), retrieval.text_stats(c, "search_text"), cases.select("query_id", "query"), ids)
     hits = retrieval.top(scored.withColumn("score", F.round("score", 9)), 10, ["chunk_id", "project_id"]).join(c.select(*ids, "rel_path", "symbol"), ids)
     return evaluation.ranks(cases, hits)
 

@@ -128,9 +128,10 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, id_cols: list[s
     terms = queries.select("query_id", F.explode(text.token_set("query")).alias("term"))
     used = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
-    hits = used.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = used.join(df, "term").join(terms, "term")
+    whole = stats.first()
+    idf = F.log(1 + (F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(whole["avgdl"] or 1.0)))
     return hits.groupBy("query_id", *id_cols).agg(F.sum(weight).alias("score"))
 
 
