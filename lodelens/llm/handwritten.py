@@ -77,9 +77,15 @@ _NO_COPY = re.compile(r"\b(?:not|never|no|isn't|nothing)\b[^\n]{0,24}\b(?:vendor
 _EOL = re.compile(r"\r\n?|\n|\x0b|\x0c| | ")
 _WORD = re.compile(r"[^\W\d_]+(?:_[^\W\d_]+)*|_+")
 _NUMBER = re.compile(r"\d+")
-_DATA_LINE = re.compile(
-    r"""^[\s\[\](){},;:|&*^]*(?:(?:b|r|u|f|L|&)?(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[uUlLfF]*|true|false|null|None|nil|True|False|\\x[0-9a-fA-F]{2}|[\s\[\](){},;:=>|&*\\.+]|"[A-Za-z0-9+/=]*)+$"""
+#: What is no string in a line of literals: numbers, constants, bytes, punctuation. Possessive, so that no line is read twice.
+_PLAIN = re.compile(
+    r"(?:[-+]?(?:0[xX][0-9a-fA-F]++|\d[\d_.]*+(?:[eE][-+]?\d++)?)[uUlLfF]*+|true|false|null|None|nil|True|False|\\x[0-9a-fA-F]{2}|[\s\[\](){},;:=>|&*\\.+^]++)*+"
 )
+_STRING_AT = re.compile(r"""(?:b|r|u|f|L)?(?:"(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+')""")
+_OPEN_STRING = re.compile(r'"[A-Za-z0-9+/=]*+')
+#: Encoded bytes: a long run of them, or a line of nothing else as encoders wrap it.
+_BLOB = re.compile(r"[A-Za-z0-9+/=\\]{200,}")
+_BLOB_LINE = re.compile(r"[\s\"'`]*(?=[^\n]{0,200}\d)(?=[^\n]{0,200}[A-Za-z])[A-Za-z0-9+/=]{40,}[\s\"'`;,)\\]*")
 _LOCK_TEXT = re.compile(r'"?(?:lockfileVersion|integrity|checksum|content-hash|resolved|sha256|sha512)"?\s*[:=]|\bh1:|^\[\[package\]\]', re.M)
 
 
@@ -120,29 +126,48 @@ def is_generated_layout(code: list[str]) -> bool:
     if len(code) < 8:
         return False
     shapes, counted = Counter(), []
-    for line in code[:4000]:
+    for line in code:
         shapes[_WORD.sub("w", _NUMBER.sub("0", line.strip()))] += 1
         n = _NUMBER.search(line)
         if n and len(n.group()) < 12:
             counted.append(int(n.group()))
     top = shapes.most_common(4)
-    few = [n for _, n in top if n >= max(3, 0.12 * min(len(code), 4000))]
-    if sum(few) < 0.9 * min(len(code), 4000) or len(counted) < 6:
+    few = [n for _, n in top if n >= max(3, 0.12 * len(code))]
+    if sum(few) < 0.9 * len(code) or len(counted) < 6:
         return False
     steps = sum(b - a in (0, 1) for a, b in zip(counted, counted[1:]))
     return steps >= 0.9 * (len(counted) - 1) and counted[-1] - counted[0] >= 5
 
 
+def is_literals(line: str) -> bool:
+    """Whether a line holds nothing but literals and punctuation. Linear in the line's length."""
+    at, unclosed = 0, False
+    while True:
+        at = _PLAIN.match(line, at).end()
+        if at == len(line):
+            return True
+        m = None
+        # behind a quote that nothing closes, the later ones are all escaped, so none of them is closed either
+        if not (unclosed and line[at] == '"'):
+            m = _STRING_AT.match(line, at)
+        if m is None:
+            if line[at] != '"':
+                return False
+            unclosed = True
+            m = _OPEN_STRING.match(line, at)
+        at = m.end()
+
+
 def is_data(code: list[str]) -> bool:
-    """Most of the text is literals: number and string tables, or encoded blobs."""
+    """Most of the text is literals: number and string tables, or encoded blobs, in lines of any length."""
     total = sum(map(len, code))
+    blobs = [len(line) if _BLOB_LINE.fullmatch(line) else sum(map(len, _BLOB.findall(line))) for line in code]
     if total < 400 or len(code) < 3:
-        blob = max((m for line in code for m in (len(x) for x in re.findall(r"[A-Za-z0-9+/=\\]{200,}", line))), default=0)
-        return total > 0 and blob >= 0.7 * total
-    data = [line for line in code if len(line) < 20_000 and _DATA_LINE.match(line)]
-    long = sum(len(line) for line in code if len(line) >= 20_000 and sum(c.isalpha() for c in line[:2000]) < 600)
-    rows = [line for line in data if len(line.strip()) > 3]
-    return sum(map(len, data)) + long >= 0.85 * total and (len(rows) >= 6 or total > 2000)
+        return sum(blobs) >= max(200, 0.7 * total)
+    data = [is_literals(line) for line in code]
+    rows = sum(d and len(line.strip()) > 3 for d, line in zip(data, code))
+    held = sum(len(line) if d else b for d, b, line in zip(data, blobs, code))
+    return held >= 0.85 * total and (rows >= 6 or total > 2000 or sum(blobs) >= 0.7 * total)
 
 
 def is_minified(lines: list[str], ext: str) -> bool:

@@ -44,3 +44,21 @@ def test_latest_scan_counts(spark):
 def test_folders_of_small_files(spark):
     leaves = spark.createDataFrame([("p", "a/lib/m/x", "1", False), ("p", "a/lib/m/y", "2", False), ("q", "z/k/x", "1", False), ("q", "z/k/y", "2", False), ("q", "z/o", "3", False)], "project_id string, node string, h string, known boolean")
     assert {("p", "a/lib/m"), ("q", "z/k")} <= {(r.project_id, r.node) for r in H.merkle_copies(leaves).collect()}
+
+
+def test_blobs_of_every_length_and_layout():
+    import base64
+    import random
+
+    raw = random.Random(1).randbytes(15_000)
+    for n in (19_000, 20_000, 30_000):
+        for said in (raw.hex(), "".join(f"\\x{b:02x}" for b in raw), base64.b64encode(raw * 2).decode()):
+            for path, head, tail in (("a/x.py", "DATA = (", ")"), ("a/x.go", "var t = []string{", "}"), ("a/x.c", "char t[] = {", "};")):
+                assert kind(path, f'import x\n{head}\n    "{said[:n]}",\n{tail}\n') == "data", (n, path)
+    b = base64.b64encode(raw[:3000]).decode()
+    wrapped = "\n".join(b[i : i + 76] for i in range(0, len(b), 76))
+    assert kind("a/x.py", f'import x\n\nDATA = """\n{wrapped}\n"""\n') == "data"
+    assert kind("a/x.py", CODE * 3 + f'ICON = "{b[:300]}"\n') is None
+    field = [f"field_{i} = table.add_row({i});" for i in range(4000)]
+    assert H.is_generated_layout(field) and not H.is_generated_layout(field + CODE.splitlines() * 200)
+    assert H.is_literals('"\\"' * 200_000) and not H.is_literals("1" * 200_000 + "n") and not H.is_literals('["a", f(1)]')
