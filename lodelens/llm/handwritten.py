@@ -1,7 +1,7 @@
 """Generated, minified and vendored source files, and data saved as code.
 
 Method. Content leaves and directories get Merkle hashes, bottom-up, level by level; a subtree or a file that occurs in more than
-one project marks a third-party copy wherever it lies. Header rules (what the leading comment says) and
+one project marks a third-party copy wherever it lies; short files, which alone may agree by chance, are marked by their folder. Header rules (what the leading comment says) and
 layout rules (how the lines look) find generated and minified files, lock files and data tables. A telling name
 or directory is never enough on its own, except the package folders of well-known package managers.
 
@@ -74,6 +74,8 @@ _THIRD_PARTY = re.compile(
     re.I,
 )
 _NO_COPY = re.compile(r"\b(?:not|never|no|isn't|nothing)\b[^\n]{0,24}\b(?:vendored|third[\s-]party|copied|imported|upstream|bundled)", re.I)
+#: Texts of fewer lines or characters are too short to tell a copy from a coincidence.
+MIN_LINES, MIN_CHARS = 4, 120
 _EOL = re.compile(r"\r\n?|\n|\x0b|\x0c| | ")
 _WORD = re.compile(r"[^\W\d_]+(?:_[^\W\d_]+)*|_+")
 _NUMBER = re.compile(r"\d+")
@@ -181,11 +183,11 @@ def is_minified(lines: list[str], ext: str) -> bool:
     return full >= 0.8 * total and blanks <= 0.09 * total and sum(x.startswith((" ", "\t")) for x in lines) <= 0.25 * len(lines)
 
 
-def judge(rel_path: str, language: str | None, content: str | None) -> tuple[str | None, str | None]:
-    """What a file is (vendored, lock, generated, minified, data, or None) by itself, and its leaf hash.
+def judge(rel_path: str, language: str | None, content: str | None) -> tuple[str | None, str | None, int, int]:
+    """What a file is (vendored, lock, generated, minified, data, or None) by itself, its leaf hash, its lines and characters.
 
-    The leaf hash leaves out the leading comment, line ends and blank space at line ends; it is None for
-    documents, configuration and texts too short to tell a copy from a coincidence.
+    The leaf hash, and what is counted, leave out the leading comment, line ends and blank space at line ends; it is None for
+    documents and configuration.
     """
     path = rel_path.replace("\\", "/").strip("/ ")
     *folders, name = path.split("/")
@@ -194,37 +196,40 @@ def judge(rel_path: str, language: str | None, content: str | None) -> tuple[str
         ext = BY_LANGUAGE.get((language or "").lower(), ext)
     text = content or ""
     if name in LOCK_NAMES or (re.search(r"(?:^|[.-])lock\.(?:json|ya?ml)$", name) and _LOCK_TEXT.search(text)):
-        return "lock", None
+        return "lock", None, 0, 0
     in_packages = any(f in VENDOR_FOLDERS for f in folders)
     if ext not in PROGRAM and ext != "css":
-        return ("vendored" if in_packages and ext not in OTHER and text else None), None
+        return ("vendored" if in_packages and ext not in OTHER and text else None), None, 0, 0
     lines = [x.rstrip() for x in _EOL.split(text)]
     said, start = leading_comment(lines, PROGRAM.get(ext, "//"))
     code = [x for x in lines[start:] if x]
-    leaf = None
-    if sum(map(len, code)) >= 120 and len(code) >= 4:
-        leaf = hashlib.blake2b("\n".join(code).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    leaf = hashlib.blake2b("\n".join(code).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return _kind(in_packages, ext, said, lines, code), leaf, len(code), sum(map(len, code))
+
+
+def _kind(in_packages: bool, ext: str, said: str, lines: list[str], code: list[str]) -> str | None:
+    """What a program file is by its folders, leading comment and code lines."""
     if in_packages:
-        return "vendored", leaf
+        return "vendored"
     for line in said.split("\n"):
         if _THIRD_PARTY.search(line) and not _NO_COPY.search(line):
-            return "vendored", leaf
+            return "vendored"
     if is_minified(lines, ext):
-        return "minified", leaf
+        return "minified"
     if ext == "css":
-        return None, leaf
+        return None
     plain = _QUOTED.sub("", said)
     if _GENERATED.search(plain) and not _NEGATED.search(plain):
-        return "generated", leaf
+        return "generated"
     if is_generated_layout(code):
-        return "generated", leaf
+        return "generated"
     if is_data(code):
-        return "data", leaf
-    return None, leaf
+        return "data"
+    return None
 
 
 def judged_files(records: DataFrame) -> DataFrame:
-    """(project_id, rel_path, kind, leaf) of each file's latest scan; ties go to the greatest row."""
+    """(project_id, rel_path, kind, leaf, lines, chars) of each file's latest scan; ties go to the greatest row."""
 
     def run(batches):
         for pdf in batches:
@@ -232,31 +237,37 @@ def judged_files(records: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "project_id": pdf["project_id"], "rel_path": pdf["rel_path"], "scanned_at": pdf["scanned_at"],
-                    "kind": [g[0] for g in got], "leaf": [g[1] for g in got],
+                    "kind": [g[0] for g in got], "leaf": [g[1] for g in got], "lines": [g[2] for g in got], "chars": [g[3] for g in got],
                 }
             )
 
     seen = (
         records.where(F.col("rel_path").isNotNull())
         .select("project_id", "rel_path", "language", "content", F.unix_micros("scanned_at").alias("scanned_at"))
-        .mapInPandas(run, "project_id string, rel_path string, scanned_at long, kind string, leaf string")
+        .mapInPandas(run, "project_id string, rel_path string, scanned_at long, kind string, leaf string, lines long, chars long")
     )
-    newest = F.max(F.struct("scanned_at", "leaf", "kind")).alias("x")
-    return seen.groupBy("project_id", "rel_path").agg(newest).select("project_id", "rel_path", "x.kind", "x.leaf")
+    newest = F.max(F.struct("scanned_at", "leaf", "kind", "lines", "chars")).alias("x")
+    return seen.groupBy("project_id", "rel_path").agg(newest).select("project_id", "rel_path", "x.kind", "x.leaf", "x.lines", "x.chars")
 
 
 def merkle_copies(leaves: DataFrame, max_depth: int = 64) -> DataFrame:
     """(project_id, node): files and folders whose Merkle hash occurs in several projects, or is that of a known copy.
 
-    ``leaves`` has (project_id, node, h, known), one row per file. Folder hashes are computed bottom-up, one level a
+    ``leaves`` has (project_id, node, h, known), one row per file, and (lines, chars), without which every file counts as long
+    enough. A file or folder with fewer than ``MIN_LINES`` and ``MIN_CHARS`` in all is a coincidence, but a short file enters the
+    hash of its folder. A folder is known if all its files are. Folder hashes are computed bottom-up, one level a
     round; deeper paths than ``max_depth`` are hashed as if they lay at that depth.
     """
+    for column, least in (("lines", MIN_LINES), ("chars", MIN_CHARS)):
+        if column not in leaves.columns:
+            leaves = leaves.withColumn(column, F.lit(least))
+    held = ["known", "lines", "chars"]
     depth = F.least(F.size(F.split("node", "/")), F.lit(max_depth))
     level_of = leaves.withColumn("depth", depth)
     deepest = level_of.agg(F.max("depth")).first()[0] or 0
-    nodes, below = [level_of.select("project_id", "node", "h", "known")], None
+    nodes, below = [level_of.select("project_id", "node", "h", *held)], None
     for d in range(deepest, 1, -1):
-        here = level_of.where(F.col("depth") == d).select("project_id", "node", "h")
+        here = level_of.where(F.col("depth") == d).select("project_id", "node", "h", *held)
         here = here if below is None else here.unionByName(below)
         entry = F.xxhash64(F.substring_index("node", "/", -1), "h")
         other = F.xxhash64(F.lit(5), F.substring_index("node", "/", -1), "h")
@@ -266,16 +277,21 @@ def merkle_copies(leaves: DataFrame, max_depth: int = 64) -> DataFrame:
                 F.expr("left(node, length(node) - length(substring_index(node, '/', -1)) - 1)").alias("node"),
                 entry.alias("e1"),
                 other.alias("e2"),
+                *held,
             )
             .groupBy("project_id", "node")
-            .agg(F.count("*").alias("n"), F.expr("bit_xor(e1)").alias("x"), F.expr("bit_xor(e2)").alias("y"))
-            .select("project_id", "node", F.concat_ws(":", "n", "x", "y").alias("h"))
+            .agg(
+                F.count("*").alias("n"), F.expr("bit_xor(e1)").alias("x"), F.expr("bit_xor(e2)").alias("y"),
+                F.min("known").alias("known"), F.sum("lines").alias("lines"), F.sum("chars").alias("chars"),
+            )
+            .select("project_id", "node", F.concat_ws(":", "n", "x", "y").alias("h"), *held)
         )
         below = shared.kept(below, f"merkle{d}")
-        nodes.append(below.withColumn("known", F.lit(False)))
+        nodes.append(below)
     every = nodes[0]
     for n in nodes[1:]:
         every = every.unionByName(n)
+    every = every.where((F.col("lines") >= MIN_LINES) & (F.col("chars") >= MIN_CHARS))
     per_project = every.groupBy("h", "project_id").agg(F.max("known").alias("known"))
     copied = per_project.groupBy("h").agg(F.count("*").alias("n"), F.max("known").alias("known")).where("n > 1 OR known").select("h")
     return every.join(copied, "h", "left_semi").select("project_id", "node")
@@ -292,10 +308,10 @@ def not_handwritten(records: DataFrame) -> DataFrame:
     plain = F.regexp_replace(F.translate("rel_path", "\\", "/"), "^(?:\\./|/)+", "")
     # files another rule has settled are no evidence of copying, except known third-party ones
     leaves = files.where(F.col("leaf").isNotNull() & (F.col("kind").isNull() | (F.col("kind") == "vendored"))).select(
-        "project_id", plain.alias("node"), F.col("leaf").alias("h"), F.col("kind").isNotNull().alias("known")
+        "project_id", plain.alias("node"), F.col("leaf").alias("h"), F.col("kind").isNotNull().alias("known"), "lines", "chars"
     )
     copies = shared.kept(merkle_copies(leaves).distinct(), "copies")
-    # a file is a copy if it, or a folder above it, is one: each file asks for its own ancestors
+    # a file is a copy if it, or a folder above it, is one, however short: each file asks for its own ancestors
     own = files.where("kind IS NULL AND leaf IS NOT NULL").select("project_id", "rel_path", plain.alias("node"))
     parts = F.split("node", "/")
     up = own.select(

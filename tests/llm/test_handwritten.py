@@ -62,3 +62,19 @@ def test_blobs_of_every_length_and_layout():
     field = [f"field_{i} = table.add_row({i});" for i in range(4000)]
     assert H.is_generated_layout(field) and not H.is_generated_layout(field + CODE.splitlines() * 200)
     assert H.is_literals('"\\"' * 200_000) and not H.is_literals("1" * 200_000 + "n") and not H.is_literals('["a", f(1)]')
+
+
+def test_short_files_of_a_shared_folder(spark):
+    def row(project, path, content):
+        return project, path, None, 1, content, None, 0
+
+    short, index = "", "module.exports = require('./lib/walk').walk;\nmodule.exports.all = true;\n"
+    rows = [row(p, f"{at}/{n}", c) for p, at in (("p", "lib/walk"), ("q", "src/tools/k")) for n, c in (("__init__.py", short), ("x.py", CODE), ("sub/index.js", index))]
+    rows += [row(p, "pkg/__init__.py", "") for p in "pqr"] + [row("q", "src/own.py", CODE.replace("walk", "scan")), row("p", "own/index.js", index)]
+    # many short ones are as good as a long one; known copies mark their folder's twin in the same project
+    rows += [row(p, f"{at}/f{i}.js", f"module.exports = require('./other/place/of/number{i}');\n") for p, at in (("p", "m"), ("r", "w/m2")) for i in range(5)]
+    rows += [row("s", f"{at}/{n}", c) for at in ("vendor/k", "app/k") for n, c in (("y.py", CODE.replace("tree", "bush")), ("__init__.py", ""))]
+    got = {(r.project_id, r.rel_path) for r in H.not_handwritten(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {(p, f"{at}/{n}") for p, at in (("p", "lib/walk"), ("q", "src/tools/k")) for n in ("__init__.py", "x.py", "sub/index.js")}
+    want |= {(p, f"{at}/f{i}.js") for p, at in (("p", "m"), ("r", "w/m2")) for i in range(5)}
+    assert got == want | {("s", f"{at}/{n}") for at in ("vendor/k", "app/k") for n in ("y.py", "__init__.py")}
