@@ -160,7 +160,7 @@ def find_phone(text: str):
 # -- identity numbers -----------------------------------------------------------------------------
 # What announces an identity number, in four languages.
 _ID_CUES = (
-    r"SSN|social(?:\s+(?:security|insurance))?(?:\s+(?:number|no\.?|num\.?|id))?|(?:NI|NIN|NINO|SIN|TIN|ITIN|EIN|UTR|NIF|NIE|DNI|CURP|RFC|CPF|NIR|BSN|PESEL|AHV|IdNr|USt-?Id(?:Nr)?)(?:\s*(?:number|no\.?|nr\.?))?"
+    r"SSN|social(?:\s+(?:security|insurance))?(?:\s+(?:number|no\.?|num\.?|id))?|(?:NINO|NIN|NIF|NIE|NIR|NI|SIN|TIN|ITIN|EIN|UTR|DNI|CURP|RFC|CPF|BSN|PESEL|AHV|IdNr|USt-?Id(?:Nr)?)(?:\s*(?:number|no\.?|nr\.?))?"
     r"|national\s+(?:insurance|identity|id)(?:\s+(?:number|no\.?))?|insurance\s+(?:number|no\.?|id|policy)|health\s+insurance(?:\s+(?:number|no\.?))?|policy\s+(?:number|no\.?)"
     r"|passport(?:\s+(?:number|no\.?|nr\.?|id))?|tax(?:payer)?\s+(?:id|number|no\.?|reference|identification(?:\s+number)?|file\s+number)|TFN"
     r"|(?:driving|driver'?s?|drivers)?\s*licen[cs]e(?:\s+(?:number|no\.?|id))?|identity\s+(?:card|number|no\.?)(?:\s+(?:number|no\.?))?|ID\s+(?:card|number|no\.?)"
@@ -172,11 +172,6 @@ _ID = re.compile(
     r"(?<![\w-])(?:" + _ID_CUES + r")(?:\s*(?:is|ist|est|es|was|:|=|#|\(|n[°o]\.?))*\s*[\"'`]?(?P<v>(?=[A-Z0-9]*[ .\-/]?[A-Z0-9 .\-/]*\d)[A-Z0-9](?:[ .\-/]?[A-Z0-9]){5,19})(?![\w])",
     re.I,
 )
-_ID_TRIGGERS = (
-    "ssn", "social", "nin", "ni n", "insurance", "policy", "passport", "tax", "tfn", "licen", "identi", "id card", "id number", "id no", "nummer", "-nr",
-    "reisepass", "ausweis", "steuer", "führerschein", "num", "núm", "passeport", "permis", "fiscal", "pasaporte", "sin ", "tin", "ein", "utr", "nif", "nie",
-    "dni", "curp", "rfc", "cpf", "nir", "bsn", "pesel", "ahv", "idnr",
-)
 _ID_BARE = re.compile(
     r"(?<![\w.+/-])(?:\d{3}-\d{2}-\d{4}|[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{2,5}9?\d{6}[A-Z]\d[A-Z]{2})(?![\w-]|\.\d)"
 )
@@ -190,8 +185,7 @@ def _id_end(text: str, a: int, b: int) -> int:
 
 def find_id(text: str):
     seen = []
-    low = text.lower()
-    for m in _ID.finditer(text) if any(t in low for t in _ID_TRIGGERS) else ():
+    for m in _ID.finditer(text):
         a, b = m.span("v")
         b = _id_end(text, a, b)
         if sum(c.isdigit() for c in text[a:b]) >= 5:
@@ -314,33 +308,33 @@ _CUES = [
     rf"\b(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo|[Ii] am|[Tt]his is|named|called)[ \t]+{_TITLE}(?P<n>{_N_NO_COMMA})(?=\s*(?:[.,;:!?]|and|from|$))",
     rf"\b(?:Mr|Mrs|Ms|Mx|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora)\.?[ \t]+(?P<n>{_N_NO_COMMA})",
 ]
-#: For each cue the words (in lower case) of which a text must hold one, tested before the pattern.
+#: For each cue the literals (in lower case) of which every match of its pattern holds one, tested before the pattern.
 _TRIGGERS = [
-    '-by:|committer|author|maintainer|reporter|assignee|owner|contact|reviewer|approver|from:|to:|cc:|name:|nombre:|nom:|von:|an:|from |to =|-by',
+    ':|->|=',
     'assignee|owner|reporter|author|reviewer|maintainer|contact|approver|lead|manager',
-    '@param|@author|@owner|@maintainer|@contact|\\\\param|\\\\author',
+    'param|author|owner|maintainer|contact|since by',
     'name|owner|user|author|reporter|customer|patient|employee|contact|assignee|recipient|sender|holder|person',
-    'cc ',
-    '-- |— |– |~ ',
-    'ed by|en by|ed to|n to|found by',
-    ' with ',
-    'hi |hello |hey |dear |hallo |liebe|moin |servus |guten |bonjour |bonsoir |salut |cher|hola |querid|estimad|buenos |ciao |good ',
+    'cc',
+    '--|—|–|~',
+    'found|reported|written|fixed|spotted|reviewed|approved|submitted|requested|signed|authored|created|opened|closed',
+    'with',
+    'hi |hi\t|hello|hey |hey\t|dear|hallo|liebe|moin|servus|guten|bonjour|bonsoir|salut|cher|chère|hola|querid|estimad|buenos|ciao|good',
     'regards|best|cheers|thanks|sincerely|grüße|gruß|cordialement|bien à|saludos|atentamente',
     'thank|kudos|credit|dank',
-    'merci |gracias |grazie |obrigad',
-    'bitte ',
-    'ask |ping |call |mail |message |notify |tell |contact |phone |ring |page ',
-    'day|mon |tue|wed|thu|fri |sat |sun ',
-    ' wrote| schrieb| escribió| a écrit',
-    'say|said|ask|write|wrote|according|sagt|laut|dit |selon|dice|según',
+    'merci|gracias|grazie|obrigad',
+    'bitte',
+    'ask |ask\t|ping |ping\t|call |call\t|mail |mail\t|message |message\t|notify|tell |tell\t|contact |contact\t|phone |phone\t|ring |ring\t|page |page\t',
+    'wrote|schrieb|said|asked',
+    'wrote|schrieb|escribió|a écrit',
+    'say|said|ask|write|wrote|according|sagt|laut|dit |dit\t|selon|dice|según',
     'merged',
-    'as ',
-    'as ',
+    'as |as\t',
+    'as |as\t',
     'customer|client|user|tenant|patient|employee|colleague|kund',
     'fixture:',
     'values',
     '|',
-    '# ',
+    '#',
     "my name|ich hei|je m'|me llamo|i am|this is|named|called",
     'mr|mrs|ms|mx|dr|prof|herr|frau|mme|mlle|monsieur|madame|señor',
 ]

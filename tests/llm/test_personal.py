@@ -55,3 +55,17 @@ def test_operator_links_equal_values(spark):
     tag = b.split("is ")[1]
     assert tag.startswith("<PHONE +") and tag in a[1] and tag in a[2] and "415 555" not in by[1].text and a[0].startswith("Hi <PERSON ")
     assert P.pseudonymised(df.where("false"), parts).count() == 0
+
+
+def test_each_cue_alone():
+    for text, n in [
+        ("Cc: Anna Roe, Bob Jones", 2), ("On Fri, Jane Doe wrote:", 1), ("Am Sat, Jane Doe schrieb", 1), ("From\t=> Jane Doe", 1), ("Name -> Jane Doe", 1), ("Bcc: Jane Doe", 1), ("\\param Jane Doe", 1), ("@since by Jane Doe", 1), ("--\tJane Doe", 1),
+        ("Reported\tby Jane Doe.", 1), ("assigned to\tJane Doe.", 1), ("Spoke\twith\tJane Doe today", 1), ("Hi\tJane,", 1), ("Chère Jane,", 1), ("Good morning Jane,", 1), ("Merci\tà Jane Doe.", 1), ("Bitte\tJane Doe fragen", 1), ("Ping\tJane Doe about", 1), ("Jane Doe\twrote:", 1),
+        ("Dit\tJane Doe.", 0), ("dit\tJane Doe.", 1), ("As\tJane Doe noted", 1), ("555 #Jane Doe", 1), ("VALUES ('Jane Doe'", 1), ("| Jane Doe | x@", 1), ("Dr. Jane Doe", 1), ("user: Jane Doe", 1), ("Regards,\nJane Doe", 1),
+    ]:
+        assert [k for k, _ in kinds(text)] == ["person"] * n, text
+    for cue in ("National ID", "USt-IdNr", "UStId", "SIN", "sin:", "NI", "ni:", "NIN", "TIN", "SSN", "Social insurance no.", "policy number", "passport no.", "taxpayer id", "TFN", "driver's licence", "license", "identity card", "ID\tcard", "ID number", "Steuer-ID", "Reisepass", "Führerschein-Nr", "numéro de passeport", "permis", "n° fiscal", "número de licencia", "pasaporte", "RFC", "NIE", "AHV", "IdNr"):
+        assert kinds(f"{cue} AB1234567") == [("id_number", "AB1234567")], cue
+    # a literal is held by every match of its pattern, whatever stands around it
+    for text in ("Cc: Anna Roe, Bob Jones", "On Fri, Jane Doe wrote:", "National ID: AB1234567"):
+        assert kinds(text) == kinds(text + "\n\ntesting it on Monday, cc of all, - with # = : ~"), text
