@@ -1,7 +1,8 @@
 """Evaluation texts leaking into training text.
 
 Method. The test items are indexed in an inverted index with BM25 weights and block maxima; its terms are pairs of
-neighbouring words, as single words of one field's jargon tell items apart too badly. Every document is cut into
+neighbouring words, as single words of one field's jargon tell items apart too badly; only an item of one word has that word as
+its term. Every document is cut into
 overlapping passages, each passage is a query: block-max WAND retrieves all items whose score reaches the item's own threshold, and an
 alignment of the item's words with the document's words verifies the overlap.
 
@@ -97,7 +98,9 @@ class ItemIndex:
             for w in ws:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         self.words = [np.array([self.vocabulary[w] for w in ws], dtype=np.int64) for _, ws in self.items]
-        raw = [self._pairs(ids) for ids in self.words]
+        # an item of one word has no pair: its term is the word, coded behind all pairs
+        self.single_words = any(len(ids) == 1 for ids in self.words)
+        raw = [self._words(ids) if len(ids) == 1 else self._pairs(ids) for ids in self.words]
         self.codes = np.unique(np.concatenate([*raw, np.zeros(0, dtype=np.int64)]))
         terms_of = [np.searchsorted(self.codes, c) for c in raw]
         n, df = len(self.items), np.zeros(len(self.codes))
@@ -121,21 +124,26 @@ class ItemIndex:
             self.upper[t] = max(w)
 
     def _pairs(self, ids: np.ndarray) -> np.ndarray:
-        """Codes of neighbouring words, -1 where one is unknown; an item of one word is a pair with itself."""
-        if len(ids) == 1:
-            ids = np.repeat(ids, 2)
+        """Codes of neighbouring words, -1 where one is unknown."""
         a, b = ids[:-1], ids[1:]
         return np.where((a >= 0) & (b >= 0), a * len(self.vocabulary) + b, -1)
 
-    def terms(self, ids: np.ndarray) -> np.ndarray:
-        """Term numbers of a document's neighbouring words, the last number for unknown ones."""
-        if not len(self.codes):
-            return np.zeros(0, dtype=np.int64)
-        pairs = self._pairs(ids)
-        at = np.searchsorted(self.codes, pairs)
-        hit = (at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == pairs)
+    def _words(self, ids: np.ndarray) -> np.ndarray:
+        """Codes of single words, -1 where one is unknown."""
+        return np.where(ids >= 0, len(self.vocabulary) ** 2 + ids, -1)
+
+    def _numbers(self, codes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.codes, codes)
+        hit = (at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == codes)
         return np.where(hit, at, len(self.codes))
 
+    def terms(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers of a document's neighbouring words and of its single words, the last number for unknown ones."""
+        if not len(self.codes):
+            return np.zeros(max(0, len(ids) - 1), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        single = self._numbers(self._words(ids)) if self.single_words else np.full(len(ids), len(self.codes))
+        return self._numbers(self._pairs(ids)), single
+
     @staticmethod
     def _least(ids: np.ndarray, weight: dict[int, float]) -> float:
         """The least score of an admissible stretch of this item."""
@@ -207,14 +215,16 @@ class ItemIndex:
         ids = np.array([self.vocabulary.get(w, -1) for w in words(text)], dtype=np.int64)
         if not len(ids):
             return []
-        terms = self.terms(ids)
+        terms, single = self.terms(ids)
         reach = np.concatenate([[0.0], np.cumsum(self.upper[terms])])
+        alone = np.concatenate([[0.0], np.cumsum(self.upper[single])])
         step = PASSAGE - OVERLAP
         starts = np.arange(0, max(1, len(terms) - OVERLAP), step)
         ends = np.minimum(starts + PASSAGE, len(terms))
         regions: dict[int, list[list[int]]] = {}
-        for a, b in zip(*(x[reach[ends] - reach[starts] >= 1.0 - 1e-9].tolist() for x in (starts, ends))):
-            here = set(terms[a:b].tolist())
+        most = reach[ends] - reach[starts] + alone[ends + 1] - alone[starts]
+        for a, b in zip(*(x[most >= 1.0 - 1e-9].tolist() for x in (starts, ends))):
+            here = {*terms[a:b].tolist(), *single[a : b + 1].tolist()}
             here.discard(len(self.codes))
             if sum(self.upper[t] for t in here) < 1.0 - 1e-9:
                 continue

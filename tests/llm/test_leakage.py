@@ -45,3 +45,20 @@ def test_operator(spark):
     for block in (8192, 1):
         assert {(r.doc_id, r.item_id) for r in L.leaked(df, its, block).collect()} == {(1, 1), (3, 2), (6, 1), (8, 1)}
     assert L.leaked(df.where("false"), its).count() == 0 and L.leaked(df, its.where("false")).count() == 0
+
+
+def test_items_of_one_word_and_few_words():
+    its = [(1, ["lumak"]), (2, ["taret"]), (3, ["lumak", "taret"]), (4, ["vesis", "koron", "minul"]), (5, ["lumak"])]
+    index = L.ItemIndex(its)
+    assert {m[0] for m in index.matches("lumak")} == {1, 5}
+    assert {m[0] for m in index.matches("before lumak after")} == {1, 5}
+    assert {m[0] for m in index.matches("x " * 500 + "taret")} == {2} and {m[0] for m in index.matches("taret" + " x" * 500)} == {2}
+    assert {m[0] for m in index.matches("a lumak taret b vesis koron minul")} == {1, 2, 3, 4, 5} and index.matches("none of them") == []
+    rnd = random.Random(5)
+    its = [(i, [rnd.choice(WORDS) for _ in range(rnd.choice((1, 1, 2, 3, 7, 20)))]) for i in range(30)]
+    index = L.ItemIndex(its)
+    for _ in range(60):
+        doc = [rnd.choice([*WORDS, "other"]) for _ in range(rnd.choice((1, 2, 5, 63, 64, 65, 66, 200)))] + rnd.choice(its)[1]
+        ids = np.array([index.vocabulary.get(w, -1) for w in doc])
+        want = {j for j, w in its if L.admissible_stretch(np.array([index.vocabulary[x] for x in w]), ids)[0] >= min(15, len(w))}
+        assert {m[0] for m in index.matches(" ".join(doc))} == want
