@@ -9,7 +9,7 @@ Scale. K grows with the square root of the rows up to ``MAX_K``; centroids are f
 dimension, but every row is indexed and every row is a query. What is broadcast is bounded by MAX_K: two
 codebooks and the K x K cell sizes. Cells are packed into units of at most ``UNIT`` rows (a larger cell is
 split), a unit's queries into blocks of about ``UNIT``; one task step multiplies one block by one unit, whatever the
-skew. Equal vectors are one class: only a representative is indexed, and of a class's members only the
+skew. Vectors of one direction, whatever their lengths, are one class: only a representative is indexed, and of a class's members only the
 ``k + 1`` smallest keys travel, so a vector that a third of all keys share costs no more than another.
 """
 
@@ -30,6 +30,8 @@ OCCUPANCY = 16
 MIN_CELLS = 16
 UNIT = 4096
 MAX_DIMS = 64
+#: Pairs whose exact cosines are computed at once.
+PAIRS = 49_152
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def pack_units(sizes: np.ndarray, second: np.ndarray, unit: int) -> tuple[np.nda
 
 
 def most_similar(
-    vectors: DataFrame, k: int = 5, min_cosine: float = 0.8, candidates: int = 256, sample_rows: int = SAMPLE_ROWS
+    vectors: DataFrame, k: int = 5, min_cosine: float = 0.8, candidates: int = 2048, sample_rows: int = SAMPLE_ROWS
 ) -> DataFrame:
     """(h, other, cosine, rank): for every usable key its ``k`` most similar other keys of the same ``dim``.
 
@@ -135,7 +137,9 @@ def most_similar(
     usable vectors, empty tables and dimensions with a single vector give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    keyed = usable(vectors).withColumn("g1", F.xxhash64("dim", "vec")).withColumn("g2", F.xxhash64(F.lit(29), "vec", "dim"))
+    # the direction, to twelve digits: scaled copies agree in it
+    unit = F.expr("aggregate(vec, 0D, (a, x) -> a + double(x) * double(x), a -> transform(vec, x -> floor(double(x) / sqrt(a) * 1e12D + 0.5D)))")
+    keyed = usable(vectors).withColumn("g1", F.xxhash64("dim", unit)).withColumn("g2", F.xxhash64(F.lit(29), unit, "dim"))
     keyed = shared.kept(keyed, "vectors")
     members = keyed.select("h", "dim", "g1", "g2")
     # a class's k + 1 smallest keys: the limit on the rank is applied before the shuffle too
@@ -237,25 +241,33 @@ def _of_one_dim(base: DataFrame, dim: int, n: int, k: int, min_cosine: float, ca
             return empty
         mq, me = _stack(q["vec"], dim), _stack(e["evec"], dim)
         fq, fe = mq.astype(np.float32), me.astype(np.float32)
-        names = e["entry"].to_numpy(dtype=object)
+        names, asking = e["entry"].to_numpy(dtype=object), q["cls"].to_numpy(dtype=object)
+        at = {x: i for i, x in enumerate(names)}
+        own = np.array([at.get(x, -1) for x in asking])
+        by_key = np.empty(len(names), dtype=np.int64)
+        by_key[np.argsort(names)] = np.arange(len(names))
+        error = 2 * (dim + 4) * 2.0**-24  # of a difference of two float32 products of unit vectors
         out = []
         for a in range(0, len(q), 1024):
             s = fq[a : a + 1024] @ fe.T
-            r, c = np.nonzero(s >= min_cosine - 1e-4)
+            least = min_cosine - max(1e-4, error)
+            if np.count_nonzero(s >= least) > PAIRS:
+                # dense: of each query all that may be among its k best, itself not counted, given the error
+                kth = max(0, s.shape[1] - k - 1)
+                least = np.maximum(np.partition(s, kth, axis=1)[:, kth] - error, least)[:, None]
+            r, c = np.nonzero(s >= least)
+            del s
             if not len(r):
                 continue
-            if len(r) > (k + 1) * 64 * 1024 // 8:  # dense: keep each query's best before the exact cosine
-                keep = min(k + 8, s.shape[1])
-                c = np.argpartition(-s, keep - 1, axis=1)[:, :keep].ravel()
-                r = np.repeat(np.arange(s.shape[0]), keep)
-            exact = np.einsum("ij,ij->i", mq[a + r], me[c])
-            out.append(pd.DataFrame({"cls": q["cls"].to_numpy(dtype=object)[a + r], "near": names[c], "cosine": exact}))
-        if not out:
-            return empty
-        got = pd.concat(out)
-        got = got[(got["cosine"] >= min_cosine) & (got["cls"] != got["near"])]
-        got = got.sort_values(["cls", "cosine", "near"], ascending=[True, False, True])
-        return got[got.groupby("cls").cumcount() < k]
+            exact = np.concatenate([np.einsum("ij,ij->i", mq[a + r[i : i + PAIRS]], me[c[i : i + PAIRS]]) for i in range(0, len(r), PAIRS)])
+            good = (exact >= min_cosine) & (c != own[a + r])
+            # cosines that differ by rounding only are equal
+            r, c, exact = r[good], c[good], np.round(exact[good], 14)
+            order = np.lexsort((by_key[c], -exact, r))
+            r, c, exact = r[order], c[order], exact[order]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"cls": asking[a + r[best]], "near": names[c[best]], "cosine": exact[best]}))
+        return pd.concat(out) if out else empty
 
     near = asks.groupBy("unit", "block").cogroup(entries.groupBy("unit", "block")).applyInPandas(
         rerank, "cls string, near string, cosine double"

@@ -33,3 +33,23 @@ def test_empty_and_parts(spark):
     assert parts[2] == 3 and n >= 4 and first[3] not in (first[2], first[2] + 1, first[2] + 2)
     order = N.traverse(np.array([0.0, 5.0]), np.array([0.0, 1.0]), np.array([1, 1, 1, 1]), 10**6)
     assert order == [0, 1, 2, 3]
+
+
+def test_hot_group_within_float32_error_is_exact(spark):
+    rnd = np.random.default_rng(4)
+    v = (rnd.normal(size=16) + rnd.normal(scale=3e-5, size=(1200, 16))).astype(np.float32)
+    v = np.concatenate([v, v[:100] * np.float32(2), v[:100] * np.float32(0.25)])
+    keys = [f"k{i:05d}" for i in rnd.permutation(len(v))]
+    rows = [(k, 16, x.tolist(), 0.0) for k, x in zip(keys, v)]
+    got = {}
+    for r in N.most_similar(spark.createDataFrame(rows, SCHEMA), candidates=10**9).collect():
+        got.setdefault(r.h, []).append((r.rank, r.other, r.cosine))
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = -np.sort(-s, axis=1)[:, :5]
+    assert np.abs(np.array([[x[2] for x in sorted(got[k])] for k in keys]) - want).max() < 1e-13
+    for i in range(100):  # scaled copies are equally similar, so the keys rank them
+        a, b, c = keys[i], keys[1200 + i], keys[1300 + i]
+        assert [x[1] for x in sorted(got[a])[:2]] == sorted((b, c)) and [x[1] for x in sorted(got[b])[:2]] == sorted((a, c))
