@@ -3,7 +3,8 @@
 Kinds: email, phone, id_number, address, person. A find is replaced by a placeholder that names its kind and carries a keyed
 pseudonym. Method for the pseudonyms: a Feistel network permutes the digits of a number, and its letters, within their format, so
 ``+1 415 555 0199`` becomes another number of the same shape, equal values get equal pseudonyms in all documents, and
-without the key nothing can be read back. Dates are permuted among the dates of their calendar range. Names, mail and street
+without the key nothing can be read back. Dates are not sought; ``Pseudonyms.date``
+permutes one among the dates of its calendar range. Names, mail and street
 addresses, which have no fixed format, get a keyed tag of their normalised form.
 
 Finding rests on format checks (mail, phone, identity numbers, street and house number) and, for names, on what stands
