@@ -1,13 +1,15 @@
-"""Reading input tables, and the shared folder in which intermediate tables are kept.
+"""Reading input tables, the shared folder in which intermediate tables are kept, and small files that are committed.
 
 Intermediate results that later jobs read more than once are written as Parquet into the folder
 that the cluster names in ``spark.checkpoint.dir``; executors may then be lost without losing data.
-Only where that setting is missing (tests) a local folder is made.
+Only a local session without that setting gets a folder of its own; on a cluster its absence is an error. The folder of
+an application is removed when it ends, and earlier by :func:`release`.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -19,13 +21,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; from the session, else a local one made once."""
+    """The application's part of the folder all executors share."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="lodelens-")
         spark.conf.set("spark.checkpoint.dir", given)
         spark.sparkContext.setCheckpointDir(given)
-    return f"{given.rstrip('/')}/lodelens-{spark.sparkContext.applicationId}"
+    folder = f"{given.rstrip('/')}/lodelens-{spark.sparkContext.applicationId}"
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables kept so far; results that still read them must have been used up."""
+    fs, p = _fs(spark, shared_folder(spark))
+    for s in fs.listStatus(p):
+        fs.delete(s.getPath(), True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -68,6 +84,12 @@ def list_files(spark: SparkSession, path: str) -> list[dict]:
     ]
 
 
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under ``path``."""
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
+
 def read_json(spark: SparkSession, path: str) -> dict | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):
@@ -80,20 +102,56 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
     return json.loads(raw)
 
 
-def commit_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Replace a small JSON file in one step: write beside it, then rename over it."""
-    fs, p = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.new")
-    fs.mkdirs(p.getParent())
+def _write_beside(fs, path, value: dict):
+    """A new file with the value beside ``path``, to be renamed into its place."""
+    beside = path.suffix(f".{uuid.uuid4().hex[:8]}.new")
+    fs.mkdirs(path.getParent())
     out = fs.create(beside, True)
     try:
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
     finally:
         out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()
-    )
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(beside, p, options)
+    return beside
+
+
+def _rename(spark: SparkSession, source, target, overwrite: bool) -> None:
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE if overwrite else kind.NONE
+    context.rename(source, target, options)
+
+
+def commit_json(spark: SparkSession, path: str, value: dict) -> None:
+    """Replace a small JSON file in one step: write beside it, then rename over it."""
+    fs, p = _fs(spark, path)
+    _rename(spark, _write_beside(fs, p, value), p, True)
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first; nothing of this one counts."""
+
+
+def newest(spark: SparkSession, folder: str) -> tuple[int, dict]:
+    """Number and value of the last version committed in ``folder``; (0, {}) before the first."""
+    names = [re.search(r"/v(\d+)\.json$", f["path"]) for f in list_files(spark, folder)]
+    n = max((int(m.group(1)) for m in names if m), default=0)
+    return n, (read_json(spark, f"{folder}/v{n:09d}.json") or {}) if n else {}
+
+
+def commit_version(spark: SparkSession, folder: str, version: int, value: dict, keep: int = 4) -> None:
+    """Commit version ``version``, the one after that which was read: of two writers the second gets :class:`Conflict`.
+
+    The file appears under its name in one rename that fails if there is one. Versions older than the last ``keep`` are removed.
+    """
+    fs, p = _fs(spark, f"{folder}/v{version:09d}.json")
+    beside = _write_beside(fs, p, value)
+    try:
+        _rename(spark, beside, p, False)
+    except Exception as e:
+        fs.delete(beside, False)
+        if fs.exists(p):
+            raise Conflict(f"version {version} of {folder} was committed by another writer") from e
+        raise
+    remove(spark, f"{folder}/v{version - keep:09d}.json")
