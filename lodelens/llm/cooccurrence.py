@@ -1,18 +1,24 @@
 """Items that appear together: an incremental pair table with association scores.
 
-Method. Baskets (here: the files of one commit) live in a persistent table. A batch of baskets is compared with
-it; every basket that is new, changed or withdrawn emits *signed* deltas: +1 for each pair, item and basket of
-its new contents, -1 for those of its old contents. Deltas are summed and merged into counts that are
-hash-bucketed on disk, and scores are recomputed for the groups (projects) the batch touched.
-
-Scale. Pairs exist only inside one basket of at most ``max_items`` items, so rows grow linearly with the baskets. An item is
-carried as a 64-bit hash, a pair as two; equal hashes of different items are detected, not assumed away. The sum
-over pairs combines before its shuffle, so a pair or item found in a third of all baskets arrives
-as one row per task. The pair table is written with as many buckets as the shuffle has partitions, each task
-one file; a later merge joins the delta to it bucket by bucket and moves only the delta.
-
-Failures. Each update writes a new generation beside the old one and commits it by renaming one JSON file; a batch
-identifier that is already committed is skipped.
+Method. The state of every basket (here: the files of one commit) is kept, merged from all its deliveries, so it doesn't depend on how
+deliveries fall into batches. A batch is compared with the states of its own baskets; each basket that thereby appears, changes
+or goes emits *signed* deltas: +1 for each pair, item and basket of its new contents, -1 for those of its old contents. Deltas are
+summed and appended to counts that are hash-bucketed on disk, and scores are recomputed for the groups (projects) the
+batch touched.
+
+Scale. A table is a sequence of runs, one a batch, each in folders by bucket (:data:`RUNS`); a reader sums over the runs. A run
+is merged with the one before it once it has grown to its size, so a row is rewritten a logarithmic number of times and a
+batch costs what it holds, not what is there already. Baskets lie in buckets of (group, basket), counts in buckets of the group: a batch
+reads the buckets of its baskets, scores of some groups read those groups' buckets. A bucket that holds much (a group with a third
+of all rows, say) is written by several tasks (rebalanced at run time). Pairs exist only inside one basket of at most
+``max_items`` items; the sum over them combines before its shuffle, so a pair found in a third of all baskets arrives as
+one row a task.
+
+An item travels as a hash of (group, item), a pair as two. Different items of one hash are told apart exactly: all but the first get
+another hash, and those exceptions (expected: none below some billion items) are part of the committed state.
+
+Failures. A batch writes folders of its own and commits by creating the next version file; until then nothing refers to them. Of two
+writers the second is refused. A batch identifier that is already committed is skipped.
 """
 
 from __future__ import annotations
@@ -23,7 +29,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodelens import shared
-from lodelens.session import settings
+
+#: The tables of the state: key columns, and the columns that hash to the bucket.
+RUNS = {
+    "baskets": (["grp", "basket"], ["grp", "basket"]),
+    "items": (["grp", "item"], ["grp"]),
+    "groups": (["grp"], ["grp"]),
+    "pairs": (["a", "b"], ["grp"]),
+}
+COLUMNS = {
+    "baskets": "grp string, basket string, epoch int, n_parents int, items array<string>, bucket int",
+    "items": "grp string, item string, n long, bucket int",
+    "groups": "grp string, n long, bucket int",
+    "pairs": "a long, b long, n long, bucket int",
+}
 
 
 def plain_path(c: Column) -> Column:
@@ -33,156 +52,236 @@ def plain_path(c: Column) -> Column:
     return F.when((bare != "") & (bare != "."), bare)
 
 
-def change_sets(commits: DataFrame, max_items: int = 50) -> DataFrame:
-    """Baskets (grp, basket, items) from commits: at most one parent, 1 to ``max_items`` distinct files.
+def deliveries(commits: DataFrame) -> DataFrame:
+    """Rows (grp, basket, n_parents, items) from commits: distinct non-null plain paths in order. Null parents are none.
 
-    A commit delivered twice is one basket: the deliveries' files are those of the delivery with the
-    greatest file list, its parents those of the delivery with most. Null parents are none; null, empty
-    and blank paths don't count; commits without an identifier or project are no baskets.
+    Null, empty and blank paths don't count; commits without an identifier or project give no rows.
     """
     items = F.array_sort(F.array_distinct(F.filter(F.transform("paths.path", plain_path), lambda p: p.isNotNull())))
     n_parents = F.coalesce(F.size(F.array_compact("parents")), F.lit(0))
-    return (
-        commits.where(F.col("project_id").isNotNull() & F.col("commit").isNotNull())
-        .select("project_id", "commit", F.greatest(n_parents, F.lit(0)).alias("n_parents"), items.alias("items"))
-        .groupBy(F.col("project_id").alias("grp"), F.col("commit").alias("basket"))
-        .agg(F.max("n_parents").alias("n_parents"), F.max("items").alias("items"))
-        .where((F.col("n_parents") <= 1) & F.size("items").between(1, max_items))
-        .select("grp", "basket", "items")
+    return commits.where(F.col("project_id").isNotNull() & F.col("commit").isNotNull()).select(
+        F.col("project_id").alias("grp"), F.col("commit").alias("basket"), F.greatest(n_parents, F.lit(0)).alias("n_parents"),
+        F.coalesce(items, F.array().cast("array<string>")).alias("items"),
     )
 
 
 class PairCounts:
     """The persistent pair table under ``folder`` (on storage all executors share).
 
-    Tables of a generation: ``baskets`` (grp, basket, items), ``pairs`` (a, b, n), ``items`` (grp, item, h, n),
-    ``groups`` (grp, n). Counts that reach zero are dropped.
+    A basket's state is the greatest item list and the greatest number of parents among its deliveries; it counts if it has at most
+    ``max_parents`` parents and 1 to ``max_items`` items. ``bits`` is the length of the items' hashes.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, max_items: int = 50, max_parents: int = 1, bits: int = 64):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.max_items, self.max_parents, self.bits = max_items, max_parents, bits
 
     # -- state ----------------------------------------------------------------------------------
-    def _head(self) -> dict:
-        return shared.read_json(self.spark, f"{self.folder}/head.json") or {"generation": 0, "batches": []}
+    def _head(self) -> tuple[int, dict]:
+        version, head = shared.newest(self.spark, f"{self.folder}/head")
+        if not version:
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            head = {"batches": [], "buckets": buckets, "exceptions": [], "runs": {t: [] for t in RUNS}}
+        return version, head
 
-    def _table(self, head: dict, name: str) -> DataFrame | None:
-        if not head["generation"]:
-            return None
-        path = f"{self.folder}/{name}-{head['generation']}"
-        if name != "pairs":
-            return self.spark.read.parquet(path)
-        return self.spark.table(self._pairs_as_table(path, head["buckets"], head["key"]))
-
-    def _pairs_as_table(self, path: str, buckets: int, key: str) -> str:
-        name = f"lodelens_pairs_{key}"
-        if not self.spark.catalog.tableExists(name):
-            self.spark.sql(
-                f"CREATE TABLE {name} (a BIGINT, b BIGINT, n BIGINT) USING parquet "
-                f"CLUSTERED BY (a, b) INTO {buckets} BUCKETS LOCATION '{path}'"
-            )
-        return name
+    def _runs(self, table: str, runs: list[dict], buckets: list[int] | None = None) -> DataFrame:
+        """The rows of some runs of one table, of some buckets only if given."""
+        df = None
+        for r in runs:
+            one = self.spark.read.schema(COLUMNS[table]).parquet(f"{self.folder}/{r['name']}")
+            df = one if df is None else df.unionByName(one)
+        return df if buckets is None else df.where(F.col("bucket").isin(buckets))
+
+    @staticmethod
+    def _summed(table: str, rows: DataFrame) -> DataFrame:
+        """Runs of one table merged: counts are summed and zeros dropped, of a basket's states the last epoch's greatest stay."""
+        keys = RUNS[table][0]
+        if table == "baskets":
+            return PairCounts._states(rows)
+        return rows.groupBy("bucket", *keys).agg(F.sum("n").alias("n")).where("n <> 0")
+
+    @staticmethod
+    def _states(rows: DataFrame) -> DataFrame:
+        return (
+            rows.groupBy("bucket", "grp", "basket")
+            .agg(F.max(F.struct("epoch", "n_parents")).alias("p"), F.max(F.struct("epoch", "items")).alias("i"))
+            .select("bucket", "grp", "basket", "p.epoch", "p.n_parents", "i.items")
+        )
+
+    def _table(self, head: dict, name: str, buckets: list[int] | None = None) -> DataFrame:
+        runs = head["runs"][name]
+        rows = self._runs(name, runs, buckets)
+        return rows if len(runs) == 1 else self._summed(name, rows)
+
+    def _write(self, table: str, rows: DataFrame) -> dict:
+        """A run of ``table``; its folders are buckets, a large one written by several tasks, small ones by one."""
+        name = f"{table}-{uuid.uuid4().hex[:12]}"
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        return {"name": name, "rows": self.spark.read.schema(COLUMNS[table]).parquet(f"{self.folder}/{name}").count()}
+
+    def _appended(self, table: str, runs: list[dict], run: dict) -> list[dict]:
+        """The runs with one more; the last two are merged as long as the last has grown to the one before."""
+        runs = [*runs, run]
+        while len(runs) > 1 and runs[-1]["rows"] >= runs[-2]["rows"]:
+            last = self._runs(table, runs[-2:])
+            runs = [*runs[:-2], self._write(table, self._summed(table, last))]
+        return [r for r in runs if r["rows"]] or runs[-1:]
 
     # -- update ---------------------------------------------------------------------------------
     def update(self, baskets: DataFrame, batch: str, withdrawn: DataFrame | None = None) -> DataFrame | None:
-        """Merge a batch of baskets (grp, basket, items: sorted distinct non-null); give the groups it touched.
+        """Merge a batch of deliveries (grp, basket, n_parents, items: sorted distinct non-null); give the groups it touched.
 
-        A basket already known is replaced; ``withdrawn`` (grp, basket) are removed. A batch already
-        committed changes nothing and gives None. An empty batch is committed and touches nothing.
+        ``n_parents`` may be missing. Several rows of a basket, in one batch or in several, are deliveries of the same basket.
+        ``withdrawn`` (grp, basket) are removed first, with all their earlier deliveries. A batch already committed changes nothing and
+        gives None. An empty batch is committed and touches nothing.
         """
-        head = self._head()
+        version, head = self._head()
         if batch in head["batches"]:
             return None
-        g, first = head["generation"] + 1, not head["generation"]
-        path = {t: f"{self.folder}/{t}-{g}" for t in ("delta", "baskets", "pairs", "items", "groups")}
-        new = baskets.select("grp", "basket", "items")
+        n = head["buckets"]
+        at = F.pmod(F.xxhash64("grp", "basket"), F.lit(n)).cast("int").alias("bucket")
+        parents = F.col("n_parents") if "n_parents" in baskets.columns else F.lit(0)
+        new = baskets.select(at, "grp", "basket", F.lit(0).alias("epoch"), parents.cast("int").alias("n_parents"), "items")
+        new = self._states(new).withColumn("gone", F.lit(False))
         if withdrawn is not None:
-            new = new.unionByName(
-                withdrawn.select("grp", "basket", F.array().cast("array<string>").alias("items"))
-            ).groupBy("grp", "basket").agg(F.min("items").alias("items"))
-        if first:
-            delta = new.where(F.size("items") > 0).withColumn("sign", F.lit(1))
-            delta.write.mode("overwrite").parquet(path["delta"])
-            path["baskets"] = path["delta"]
+            empty = F.array().cast("array<string>").alias("items")
+            new = new.unionByName(withdrawn.select(at, "grp", "basket", F.lit(0).alias("epoch"), F.lit(0).alias("n_parents"), empty, F.lit(True).alias("gone")).distinct())
+        if not head["runs"]["baskets"]:
+            # nothing is there yet: every state is new
+            states = new.where("NOT gone").select("bucket", "grp", "basket", "epoch", "n_parents", "items")
+            path = shared.fresh_path(self.spark, "states")
+            states.write.parquet(path)
+            states = self.spark.read.schema(states.schema).parquet(path)
+            signed = states.where(self._counts("n_parents", "items")).select("grp", "items", F.lit(1).alias("sign"))
         else:
-            old = self._table(head, "baskets").select("grp", "basket", "items")
-            both = new.alias("n").join(old.alias("o"), ["grp", "basket"], "left").where(
-                F.col("o.items").isNull() | (F.col("o.items") != F.col("n.items"))
-            )
-            signed = F.array(
-                F.struct(F.col("n.items").alias("items"), F.lit(1).alias("sign")),
-                F.struct(F.col("o.items").alias("items"), F.lit(-1).alias("sign")),
-            )
-            both.select("grp", "basket", F.inline(signed)).where("size(items) > 0").write.mode("overwrite").parquet(
-                path["delta"]
-            )
-        # what was written is read again: the counts below don't depend on recomputing the batch
-        delta = self.spark.read.parquet(path["delta"])
-        if not first:
-            kept = old.join(new, ["grp", "basket"], "left_anti").unionByName(new.where("size(items) > 0"))
-            kept.write.mode("overwrite").parquet(path["baskets"])
-
-        buckets = head.get("buckets") or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        seed = head.get("seed", 0)
-        hashed = F.transform("items", lambda i: F.xxhash64(F.lit(seed), F.col("grp"), i))
-
-        items = delta.select("grp", F.explode("items").alias("item"), "sign").groupBy("grp", "item").agg(
-            F.sum("sign").cast("long").alias("n")
-        )
-        groups = delta.groupBy("grp").agg(F.sum("sign").cast("long").alias("n"))
-        if not first:
-            items = self._merged(self._table(head, "items").select("grp", "item", "n"), items, ["grp", "item"])
-            groups = self._merged(self._table(head, "groups"), groups, ["grp"])
-        items.select("grp", "item", F.xxhash64(F.lit(seed), "grp", "item").alias("h"), "n").write.mode(
-            "overwrite"
-        ).parquet(path["items"])
-        groups.write.mode("overwrite").parquet(path["groups"])
-        doubles = self.spark.read.parquet(path["items"]).groupBy("h").count().where("count > 1")
-        if not doubles.isEmpty():
-            raise ValueError(f"two items share a 64-bit hash under seed {seed}; start the table anew with another seed")
+            states, signed, path = self._compared(head, new)
+        gb = F.pmod(F.xxhash64("grp"), F.lit(n)).cast("int").alias("bucket")
+        runs = {t: list(r) for t, r in head["runs"].items()}
+
+        def append(table: str, rows: DataFrame) -> dict:
+            run = self._write(table, rows)
+            runs[table] = self._appended(table, runs[table], run)
+            return run
+
+        append("baskets", states.select("bucket", "grp", "basket", "epoch", "n_parents", "items"))
+        append("groups", signed.groupBy(gb, "grp").agg(F.sum("sign").cast("long").alias("n")).where("n <> 0"))
+        items = signed.select("grp", F.explode("items").alias("item"), "sign").groupBy(gb, "grp", "item").agg(F.sum("sign").cast("long").alias("n"))
+        run = append("items", items)  # zeros stay: an item keeps its hash once it has one
+        exceptions = self._exceptions(head["exceptions"], head["runs"]["items"], run)
 
         # every item with those after it in path order: two generators, no array of pairs is built
-        left = delta.where("size(items) > 1").select(hashed.alias("hs"), "sign").select(
-            F.posexplode("hs").alias("i", "a"), "hs", "sign"
+        hashed = F.transform("items", lambda i: self._hash(F.col("grp"), i, exceptions))
+        left = signed.where("size(items) > 1").select(gb, hashed.alias("hs"), "sign").select("bucket", F.posexplode("hs").alias("i", "a"), "hs", "sign")
+        pairs = left.select("bucket", "a", F.explode(F.expr("slice(hs, i + 2, size(hs))")).alias("b"), "sign").groupBy("bucket", "a", "b")
+        append("pairs", pairs.agg(F.sum("sign").cast("long").alias("n")).where("n <> 0"))
+
+        head = head | {"batches": [*head["batches"], batch], "exceptions": exceptions, "runs": runs}
+        shared.commit_version(self.spark, f"{self.folder}/head", version + 1, head)
+        self._sweep(version)
+        return signed.select("grp").distinct()
+
+    def _counts(self, parents: str, items: str) -> Column:
+        return (F.col(parents) <= self.max_parents) & F.size(items).between(1, self.max_items)
+
+    def _compared(self, head: dict, new: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+        """New states of the batch's baskets, and the signed item lists that lead from the old ones to them.
+
+        Only the buckets the batch touches are read, and of those only the baskets it names are aggregated.
+        """
+        new = shared.kept(new, "batch")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        old = self._runs("baskets", head["runs"]["baskets"], touched).withColumn("is_old", F.lit(True)).withColumn("gone", F.lit(False))
+        keys = ["bucket", "grp", "basket"]
+        old = old.join(new.select(*keys).distinct(), keys, "left_semi")
+        both = old.unionByName(new.withColumn("is_old", F.lit(False)))
+
+        def greatest(column: str, old_rows: bool) -> Column:
+            row = F.struct("epoch", column) if old_rows else F.struct(F.lit(0).alias("epoch"), column)
+            mine = F.col("is_old") if old_rows else ~F.col("is_old") & ~F.col("gone")
+            return F.max(F.when(mine, row))
+
+        j = both.groupBy(*keys).agg(
+            greatest("n_parents", True).alias("op"), greatest("items", True).alias("oi"), greatest("n_parents", False).alias("np"),
+            greatest("items", False).alias("ni"), F.max("gone").alias("gone"),
         )
-        pairs = (
-            left.select("a", F.explode(F.expr("slice(hs, i + 2, size(hs))")).alias("b"), "sign")
-            .groupBy("a", "b")
-            .agg(F.sum("sign").cast("long").alias("n"))
+        none = F.array().cast("array<string>")
+        was = j.withColumn("epoch", F.coalesce("op.epoch", F.lit(0)) + F.col("gone").cast("int"))
+        keep = ~F.col("gone")
+        state = was.select(
+            *keys, "epoch",
+            F.greatest(F.when(keep, F.coalesce("op.n_parents", F.lit(0))).otherwise(0), F.coalesce("np.n_parents", F.lit(0))).alias("n_parents"),
+            F.greatest(F.when(keep, F.coalesce("oi.items", none)).otherwise(none), F.coalesce("ni.items", none)).alias("items"),
+            F.coalesce("op.n_parents", F.lit(0)).alias("old_parents"), F.coalesce("oi.items", none).alias("old_items"), F.col("op").isNotNull().alias("known"),
         )
-        if not first:
-            pairs = self._merged(self._table(head, "pairs"), pairs, ["a", "b"])
-        key = uuid.uuid4().hex[:12]
-        with settings(
-            self.spark, spark__sql__shuffle__partitions=buckets, spark__sql__adaptive__coalescePartitions__enabled="false"
-        ):
-            pairs.write.mode("overwrite").bucketBy(buckets, "a", "b").option("path", path["pairs"]).saveAsTable(
-                f"lodelens_pairs_{key}"
-            )
-        shared.commit_json(
-            self.spark,
-            f"{self.folder}/head.json",
-            {"generation": g, "batches": [*head["batches"], batch], "buckets": buckets, "seed": seed, "key": key},
-        ) if not first else self._commit_first(path, g, batch, buckets, seed, key)
-        return delta.select("grp").distinct()
-
-    def _commit_first(self, path: dict, g: int, batch: str, buckets: int, seed: int, key: str) -> None:
-        """The first batch's delta is the basket table; it is used in place under its own name."""
-        fs, src = shared._fs(self.spark, path["delta"])
-        dst = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/baskets-{g}")
-        fs.delete(dst, True)
-        fs.rename(src, dst)
-        shared.commit_json(
-            self.spark,
-            f"{self.folder}/head.json",
-            {"generation": g, "batches": [batch], "buckets": buckets, "seed": seed, "key": key},
+        path = shared.fresh_path(self.spark, "states")
+        state.write.parquet(path)
+        state = self.spark.read.schema(state.schema).parquet(path)
+        before = F.when(self._counts("old_parents", "old_items"), F.col("old_items")).otherwise(none)
+        after = F.when(self._counts("n_parents", "items"), F.col("items")).otherwise(none)
+        signed = (
+            state.select("grp", before.alias("before"), after.alias("after")).where("before <> after")
+            .select("grp", F.inline(F.array(F.struct(F.col("after").alias("items"), F.lit(1).alias("sign")), F.struct(F.col("before").alias("items"), F.lit(-1).alias("sign")))))
+            .where("size(items) > 0")
         )
+        changed = state.where("NOT known OR items <> old_items OR n_parents <> old_parents OR epoch > 0").drop("old_parents", "old_items", "known")
+        return changed, signed, path
 
-    @staticmethod
-    def _merged(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-        both = old.withColumnRenamed("n", "n_old").join(delta.withColumnRenamed("n", "n_new"), keys, "full_outer")
-        n = F.coalesce("n_old", F.lit(0)) + F.coalesce("n_new", F.lit(0))
-        return both.select(*keys, n.cast("long").alias("n")).where("n <> 0")
+    # -- hashes of items ------------------------------------------------------------------------
+    def _plain_hash(self, grp: Column, item: Column, again: int = 0) -> Column:
+        h = F.xxhash64(F.lit(again), grp, item)
+        return h if self.bits == 64 else F.pmod(h, F.lit(1 << self.bits))
+
+    def _hash(self, grp: Column, item: Column, exceptions: list) -> Column:
+        h = self._plain_hash(grp, item)
+        if not exceptions:
+            return h
+        pairs = [x for g, i, v in exceptions for x in (F.lit(f"{len(g)}:{g}{i}"), F.lit(v).cast("long"))]
+        return F.coalesce(F.element_at(F.create_map(*pairs), F.concat(F.length(grp), F.lit(":"), grp, item)), h)
+
+    def _exceptions(self, known: list, before: list[dict], run: dict) -> list:
+        """The exceptions with those of the items of ``run`` added: of items of one hash in a bucket the first keeps it, the others get a free one."""
+        if not run["rows"]:
+            return known
+        h = self._hash(F.col("grp"), F.col("item"), known).alias("h")
+        fresh = self._runs("items", [run]).select("bucket", h, "grp", "item", F.lit(False).alias("old"))
+        every = fresh
+        if before:
+            buckets = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most as many as there are buckets
+            every = every.unionByName(self._runs("items", before, buckets).select("bucket", h, "grp", "item", F.lit(True).alias("old")))
+        who = F.struct("grp", "item")
+        clash = every.groupBy("bucket", "h").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("bucket", "h")
+        if clash.isEmpty():
+            return known
+        # as many rows as hashes clash
+        rows = every.join(clash, ["bucket", "h"], "left_semi").groupBy("bucket", "h", "grp", "item").agg(F.max("old").alias("old")).collect()
+        out, taken, held = list(known), {v for _, _, v in known}, set()
+        for r in sorted(rows, key=lambda r: (r.bucket, r.h, not r.old, r.grp, r["item"])):
+            if (r.bucket, r.h) in held:
+                out.append([r.grp, r["item"], self._free(r.grp, r["item"], taken, every)])
+                taken.add(out[-1][2])
+            held.add((r.bucket, r.h))
+        return out
+
+    def _free(self, grp: str, item: str, taken: set, items: DataFrame) -> int:
+        """A hash that no other item has."""
+        if self.bits < 64:
+            return (1 << self.bits) + len(taken)
+        again = 1
+        while True:
+            value = self.spark.range(1).select(self._plain_hash(F.lit(grp), F.lit(item), again)).first()[0]
+            if value not in taken and items.where(F.col("h") == value).isEmpty():
+                return value
+            again += 1
+
+    def _sweep(self, version: int) -> None:
+        """Remove run folders that neither the version before nor a later one refers to."""
+        used = set()
+        for v in (version, version + 1):
+            head = shared.read_json(self.spark, f"{self.folder}/head/v{v:09d}.json") or {"runs": {}}
+            used |= {r["name"] for runs in head["runs"].values() for r in runs}
+        for name in shared.list_folders(self.spark, self.folder):
+            if name.split("-")[0] in RUNS and name not in used:
+                shared.remove(self.spark, f"{self.folder}/{name}")
 
     # -- scores ---------------------------------------------------------------------------------
     def scores(self, touched: DataFrame | None = None, min_support: int = 1, min_lift: float = 0.0) -> DataFrame:
@@ -190,26 +289,32 @@ class PairCounts:
 
         ``lift = support * N / (n_a * n_b)``, N being the group's baskets. Before any batch: no rows.
         """
-        head = self._head()
-        if not head["generation"]:
+        version, head = self._head()
+        if not version or not head["runs"]["pairs"]:
             return self.spark.createDataFrame(
                 [], "grp string, item_a string, item_b string, support long, n_a long, n_b long, n_baskets long, lift double, pmi double"
             )
-        pairs = self._table(head, "pairs").where(F.col("n") >= min_support)
-        items, groups = self._table(head, "items"), self._table(head, "groups")
-        if min_support > 1:  # an item rarer than the support is in no such pair
-            items = items.where(F.col("n") >= min_support)
+        buckets = None
+        if touched is not None:
+            touched = touched.select("grp").distinct()
+            at = touched.select(F.pmod(F.xxhash64("grp"), F.lit(head["buckets"])).cast("int").alias("b")).distinct()
+            buckets = [r.b for r in at.collect()]  # at most as many as there are buckets
+        pairs = self._table(head, "pairs", buckets).where(F.col("n") >= min_support)
+        # an item rarer than the support is in no such pair
+        items = self._table(head, "items", buckets).where(F.col("n") >= max(1, min_support))
+        groups = self._table(head, "groups", buckets)
         if touched is not None:
             items = items.join(touched, "grp", "left_semi")
-        a = items.join(groups.withColumnRenamed("n", "n_baskets"), "grp").select(
-            "grp", F.col("item").alias("item_a"), F.col("h").alias("a"), F.col("n").alias("n_a"), "n_baskets"
+        items = items.withColumn("h", self._hash(F.col("grp"), F.col("item"), head["exceptions"]))
+        a = items.join(groups.select("grp", F.col("n").alias("n_baskets")), "grp").select(
+            "bucket", "grp", F.col("item").alias("item_a"), F.col("h").alias("a"), F.col("n").alias("n_a"), "n_baskets"
         )
-        b = items.select(F.col("item").alias("item_b"), F.col("h").alias("b"), F.col("n").alias("n_b"))
+        b = items.select("bucket", F.col("item").alias("item_b"), F.col("h").alias("b"), F.col("n").alias("n_b"))
         lift = F.col("support") * F.col("n_baskets") / (F.col("n_a") * F.col("n_b"))
         return (
-            pairs.withColumnRenamed("n", "support")
-            .join(a, "a")
-            .join(b, "b")
+            pairs.select("bucket", "a", "b", F.col("n").alias("support"))
+            .join(a, ["bucket", "a"])
+            .join(b, ["bucket", "b"])
             .withColumn("lift", lift)
             .where(F.col("support") * F.col("n_baskets") >= min_lift * F.col("n_a") * F.col("n_b"))
             .withColumn("pmi", F.log2("lift"))
@@ -217,9 +322,21 @@ class PairCounts:
         )
 
 
-def co_changes(commits: DataFrame, min_support: int = 5, min_lift: float = 3.0, max_items: int = 50) -> DataFrame:
-    """Pairs of files that change together, through a pair table that starts empty."""
+def co_changes(commits: DataFrame, min_support: int = 5, min_lift: float = 3.0, max_items: int = 50, late: float = 0.1) -> DataFrame:
+    """Pairs of files that change together, through a pair table that starts empty.
+
+    The rows come in two batches, as they would from a running system: those loaded first, and the last share ``late`` of them by
+    ``loaded_at`` (rows without it come first). Without that column there is one batch. How rows are dealt to batches doesn't matter.
+    """
     spark = commits.sparkSession
-    counts = PairCounts(spark, shared.fresh_path(spark, "pairs"))
-    counts.update(change_sets(commits, max_items), "all")
+    counts = PairCounts(spark, shared.fresh_path(spark, "pairs"), max_items)
+    cut = None
+    if "loaded_at" in commits.columns and late > 0:
+        cut = commits.agg(F.percentile_approx(F.unix_micros("loaded_at"), 1 - late, 1000).alias("c")).first()["c"]
+    if cut is None:
+        counts.update(deliveries(commits), "all")
+    else:
+        is_late = F.coalesce(F.unix_micros("loaded_at") > cut, F.lit(False))
+        counts.update(deliveries(commits.where(~is_late)), "first")
+        counts.update(deliveries(commits.where(is_late)), "late")
     return counts.scores(min_support=min_support, min_lift=min_lift)
