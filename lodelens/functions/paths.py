@@ -31,8 +31,14 @@ def _c(x) -> Column:
 
 def plain(path) -> Column:
     """``\\`` to ``/``, no outer blanks and slashes, no leading ``./``; empty for null."""
-    slashed = F.translate(F.coalesce(_c(path), F.lit("")), "\\", "/")
-    return F.regexp_replace(slashed, r"^(\s|/|\./)+|(\s|/)+$", "")
+    p = F.coalesce(_c(path), F.lit(""))
+    return F.when(is_plain(p), p).otherwise(F.regexp_replace(F.translate(p, "\\", "/"), r"^(\s|/|\./)+|(\s|/)+$", ""))
+
+
+def is_plain(path: Column) -> Column:
+    """True for most paths that are in normal form already: their ends need no pattern."""
+    edge = [" ", "\t", "\n", "\x0b", "\f", "\r", "/"]
+    return ~(F.left(path, F.lit(1)).isin([*edge, "."]) | F.right(path, F.lit(1)).isin(edge) | F.contains(path, F.lit("\\")))
 
 
 def posix(path) -> Column:
