@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodelens import shared
+from lodelens.functions import paths
 
 #: The tables of the state: key columns, and the columns that hash to the bucket.
 RUNS = {
@@ -47,8 +48,7 @@ COLUMNS = {
 
 def plain_path(c: Column) -> Column:
     """``\\`` to ``/``, without outer blanks and slashes and leading ``./``; null if nothing is left."""
-    slashed = F.translate(c, "\\", "/")
-    bare = F.regexp_replace(slashed, r"^(?:\s|/|\./)+|(?:\s|/)+$", "")
+    bare = F.when(c.isNotNull(), paths.plain(c))
     return F.when((bare != "") & (bare != "."), bare)
 
 
@@ -116,8 +116,10 @@ class PairCounts:
     def _write(self, table: str, rows: DataFrame) -> dict:
         """A run of ``table``; its folders are buckets, a large one written by several tasks, small ones by one."""
         name = f"{table}-{uuid.uuid4().hex[:12]}"
-        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
-        return {"name": name, "rows": self.spark.read.schema(COLUMNS[table]).parquet(f"{self.folder}/{name}").count()}
+        seen = Observation()
+        counted = rows.hint("rebalance", "bucket").observe(seen, F.count(F.lit(1)).alias("n"))
+        counted.write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        return {"name": name, "rows": seen.get["n"]}
 
     def _appended(self, table: str, runs: list[dict], run: dict) -> list[dict]:
         """The runs with one more; the last two are merged as long as the last has grown to the one before."""
