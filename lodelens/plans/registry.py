@@ -62,7 +62,7 @@ def _scan_and_index(spark, d):
 
 @query(f"WITH {_NOW_WAS} SELECT now.project_id, now.rel_path FROM now LEFT JOIN was ON now.project_id IS NOT DISTINCT FROM was.project_id AND now.rel_path = was.rel_path WHERE was.rel_path IS NULL OR NOT {_SAME}")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.files_to_index(table(spark, d, "file_records"), table(spark, d, "files"), table(spark, d, "index_runs"))
+    return incremental.index_pending(table(spark, d, "file_records"), table(spark, d, "files"), table(spark, d, "index_runs"))
 
 
 _CHANGES = f"""WITH {_NOW_WAS} SELECT coalesce(now.project_id, was.project_id) AS project_id, coalesce(now.rel_path, was.rel_path) AS rel_path,
