@@ -3,19 +3,23 @@
 Method. Unit vectors are cut into two halves, each half is quantised by its own K centroids, so the index has K x K
 cells. For every vector the cells are visited in ascending order of the summed distance of its halves to the two
 centroids, taken from a heap (multi-sequence traversal), until at least ``MIN_CELLS`` cells that hold at least ``candidates``
-rows are visited. Candidates are reranked by their exact cosine.
-
-Scale. K grows with the square root of the rows up to ``MAX_K``; centroids are fitted on at most ``SAMPLE_ROWS`` rows of a
-dimension, but every row is indexed and every row is a query. What is broadcast is bounded by MAX_K: two
-codebooks and the K x K cell sizes. Cells are packed into units of at most ``UNIT`` rows (a larger cell is
-split), a unit's queries into blocks of about ``UNIT``; one task step multiplies one block by one unit, whatever the
-skew. Vectors of one direction, whatever their lengths, are one class: only a representative is indexed, and of a class's members only the
-``k + 1`` smallest keys travel, so a vector that a third of all keys share costs no more than another.
+rows are visited. The entries of those cells, and no others, are reranked by their exact cosine.
+
+Scale. K grows with the square root of the rows up to ``MAX_K``; centroids are fitted on about ``SAMPLE_ROWS`` rows of a
+dimension at most, drawn by hash, but every row is indexed and every row is a query. What is broadcast is bounded by MAX_K: two
+codebooks and the K x K cell sizes. Cells are packed into units, tiles of neighbouring centroids of both halves with at most
+``UNIT`` rows (a larger cell is split), so that the cells of one query lie in few of them; a vector travels once to each. A unit's queries
+form blocks of about ``UNIT``; one task step takes one block and one unit, and in it multiplies each cell by the queries that visit it, whatever
+the skew. Above 16 * MAX_K ** 2 rows of a dimension cells hold more rows, and a query's work grows with them; results don't change.
+Vectors of one direction, whatever their lengths, are one class: only a representative is indexed, and of a class's members only the
+``k + 1`` smallest keys travel, so a vector that a third of all keys share costs no more than another; classes above
+``HOT`` members are split when their lists go back to the members.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -24,14 +28,16 @@ from pyspark.sql import functions as F
 
 from lodelens import shared
 
-SAMPLE_ROWS = 65_536
-MAX_K = 1024
+SAMPLE_ROWS = 262_144
+MAX_K = 4096
 OCCUPANCY = 16
 MIN_CELLS = 16
+CANDIDATES = 512
 UNIT = 4096
-MAX_DIMS = 64
 #: Pairs whose exact cosines are computed at once.
 PAIRS = 49_152
+#: Members above which a class is split, and into how many parts.
+HOT, HOT_PARTS = 100_000, 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -101,35 +107,46 @@ def traverse(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, candidates: int)
     return found
 
 
-def pack_units(sizes: np.ndarray, second: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Give each cell a first unit and a number of units.
-
-    Cells of one first-half centroid lie side by side, in the order of their second centroid along the widest
-    direction of that codebook, so that one query's cells fall into few units.
-    """
-    k = len(second)
-    spread = second - second.mean(0)
-    along = np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0])
+def _tiles(book: np.ndarray, groups: int) -> list[np.ndarray]:
+    """The centroids of one half in groups of neighbours: halved again and again along the widest direction."""
+    parts = [np.arange(len(book))]
+    while len(parts) < groups:
+        parts.sort(key=len)
+        p = parts.pop()
+        if len(p) < 2:
+            parts.append(p)
+            break
+        x = book[p] - book[p].mean(0)
+        order = np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")
+        parts += [p[order[: len(p) // 2]], p[order[len(p) // 2 :]]]
+    return parts
+
+
+def pack_units(sizes: np.ndarray, books: tuple[np.ndarray, np.ndarray], unit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Give each cell a first unit and a number of units: tiles of neighbouring cells, filled up to ``unit`` rows."""
+    k = len(books[0])
     first, parts, u = np.zeros(k * k, dtype=np.int32), np.ones(k * k, dtype=np.int32), 0
-    for i in range(k):
-        room = unit
-        for j in along:
-            n = int(sizes[i * k + j])
-            if n > unit:
-                u += room < unit
-                first[i * k + j], parts[i * k + j] = u, -(-n // unit)
-                u, room = u + int(parts[i * k + j]), unit
-                continue
-            if n > room:
-                u, room = u + 1, unit
-            first[i * k + j] = u
-            room -= n
-        u += room < unit
+    groups = max(1, math.isqrt(int(sizes.sum()) // unit + 1))
+    for rows in _tiles(books[0], groups):
+        for columns in _tiles(books[1], groups):
+            room = unit
+            for cell in (rows[:, None] * k + columns).ravel().tolist():
+                n = int(sizes[cell])
+                if n > unit:
+                    u += room < unit
+                    first[cell], parts[cell] = u, -(-n // unit)
+                    u, room = u + int(parts[cell]), unit
+                    continue
+                if n > room:
+                    u, room = u + 1, unit
+                first[cell] = u
+                room -= n
+            u += room < unit
     return first, parts, u
 
 
 def most_similar(
-    vectors: DataFrame, k: int = 5, min_cosine: float = 0.8, candidates: int = 2048, sample_rows: int = SAMPLE_ROWS
+    vectors: DataFrame, k: int = 5, min_cosine: float = 0.8, candidates: int = CANDIDATES, sample_rows: int = SAMPLE_ROWS, hot: int = HOT
 ) -> DataFrame:
     """(h, other, cosine, rank): for every usable key its ``k`` most similar other keys of the same ``dim``.
 
@@ -144,21 +161,13 @@ def most_similar(
     members = keyed.select("h", "dim", "g1", "g2")
     # a class's k + 1 smallest keys: the limit on the rank is applied before the shuffle too
     w = Window.partitionBy("dim", "g1", "g2").orderBy("h")
-    heads = (
-        members.withColumn("r", F.row_number().over(w))
-        .where(F.col("r") <= k + 1)
-        .groupBy("dim", "g1", "g2")
-        .agg(F.array_sort(F.collect_list("h")).alias("heads"))
-        .withColumn("cls", F.col("heads")[0])
-    )
-    heads = shared.kept(heads, "classes")
+    smallest = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("dim", "g1", "g2").agg(F.array_sort(F.collect_list("h")).alias("heads"))
+    heads = shared.kept(smallest.withColumn("cls", F.col("heads")[0]), "classes")
     base = keyed.join(heads.select(F.col("cls").alias("h"), "dim"), ["h", "dim"], "left_semi").select(
         F.col("h").alias("cls"), "dim", "vec"
     )
     base = shared.kept(base, "representatives")
-    sizes = {r.dim: r["count"] for r in base.groupBy("dim").count().orderBy("dim").limit(MAX_DIMS + 1).collect()}
-    if len(sizes) > MAX_DIMS:
-        raise ValueError(f"more than {MAX_DIMS} different dimensions")
+    sizes = {r.dim: r["count"] for r in base.groupBy("dim").count().orderBy("dim").collect()}
     found = None
     for dim, n in sizes.items():
         if dim < 2:
@@ -183,8 +192,16 @@ def most_similar(
             flatten(transform(coalesce(near, array()), y -> transform(y.others, x -> struct(-y.cosine as neg, x as other))))
         ))), 1, {k})
     """.format(k=k)
+    # at most one class in ``hot`` rows is hot, so their list is small whatever the rows
+    many = members.groupBy("dim", "g1", "g2").count().where(F.col("count") > hot).select("dim", "g1", "g2", F.lit(True).alias("is_hot"))
+    many = F.broadcast(shared.kept(many, "hot"))
+    keys = ["dim", "g1", "g2"]
+    part = F.when(F.col("is_hot"), F.pmod(F.xxhash64("h"), F.lit(HOT_PARTS))).otherwise(0).cast("int")
+    parts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = members.join(many, keys, "left").withColumn("part", part).drop("is_hot")
+    lists = lists.join(many, keys, "left").withColumn("part", F.explode(parts)).drop("is_hot")
     return (
-        members.join(lists, ["dim", "g1", "g2"])
+        spread.join(lists, [*keys, "part"])
         .select("h", F.posexplode(F.expr(pick)).alias("p", "n"))
         .select("h", F.col("n.other").alias("other"), (-F.col("n.neg")).alias("cosine"), (F.col("p") + 1).alias("rank"))
     )
@@ -194,7 +211,13 @@ def _of_one_dim(base: DataFrame, dim: int, n: int, k: int, min_cosine: float, ca
     """(dim, cls, near, cosine) among the representatives of one dimension; at least each one's ``k`` best candidates."""
     spark = base.sparkSession
     size = int(min(MAX_K, max(2, round((n / OCCUPANCY) ** 0.5)), n))
-    rows = base.orderBy(F.xxhash64("cls"), "cls").limit(min(sample_rows, max(64 * size, 1024))).select("vec").toPandas()
+    # by hash: about the wanted number of rows leaves the executors, not that number from each
+    wanted = min(sample_rows, max(64 * size, 1024))
+    share = min(1.0, 1.1 * wanted / n)
+    drawn = base.where(F.pmod(F.xxhash64(F.lit(3), "cls"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    rows = drawn.select(F.xxhash64("cls").alias("o"), "cls", "vec").toPandas().sort_values(["o", "cls"])
+    if len(rows) < size:  # a few rows, all of them drawn unlucky
+        rows = base.orderBy("cls").limit(max(size, 1024)).toPandas()
     books = fit_halves(_stack(rows["vec"], dim), size)
     model = spark.sparkContext.broadcast(books)
 
@@ -208,66 +231,68 @@ def _of_one_dim(base: DataFrame, dim: int, n: int, k: int, min_cosine: float, ca
     count = base.select("vec").mapInPandas(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     held = np.zeros(size * size, dtype=np.int64)
     held[count["cell"].to_numpy(dtype=np.int64)] = count["n"].to_numpy(dtype=np.int64)
-    first, parts, _ = pack_units(held, books[1], UNIT)
+    first, parts, _ = pack_units(held, books, UNIT)
     layout = spark.sparkContext.broadcast((held, first, parts))
 
     def visit(batches):
         sizes, start, split = layout.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d1, d2 = _distances(_stack(pdf["vec"], dim), model.value)
-            own = d1.argmin(1) * size + d2.argmin(1)
-            part = pd.util.hash_array(pdf["cls"].to_numpy(dtype=object)) % split[own].astype(np.uint64)
-            units = []
-            for a, b in zip(d1, d2):
-                seen = traverse(a, b, sizes, candidates)
-                units.append(sorted({u for c in seen for u in range(int(start[c]), int(start[c] + split[c]))}))
-            yield pd.DataFrame(
-                {"cls": pdf["cls"], "vec": pdf["vec"], "own": start[own] + part.astype(np.int64), "units": units}
-            )
-
-    placed = shared.kept(base.select("cls", "vec").mapInPandas(visit, "cls string, vec array<float>, own int, units array<int>"), f"placed{dim}")
-    asks = placed.select("cls", "vec", F.explode("units").alias("unit"))
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                pdf = whole.iloc[at : at + 1024]
+                d1, d2 = _distances(_stack(pdf["vec"], dim), model.value)
+                own = d1.argmin(1) * size + d2.argmin(1)
+                part = pd.util.hash_array(pdf["cls"].to_numpy(dtype=object)) % split[own].astype(np.uint64)
+                units = []
+                for a, b in zip(d1, d2):
+                    by_unit: dict[int, list[int]] = {}
+                    for c in traverse(a, b, sizes, candidates):
+                        for u in range(int(start[c]), int(start[c] + split[c])):
+                            by_unit.setdefault(u, []).append(c)
+                    units.append([{"unit": u, "cells": cs} for u, cs in by_unit.items()])
+                yield pd.DataFrame({"cls": pdf["cls"], "vec": pdf["vec"], "cell": own, "own": start[own] + part.astype(np.int64), "units": units})
+
+    schema = "cls string, vec array<float>, cell int, own int, units array<struct<unit: int, cells: array<int>>>"
+    # float32 of a float64 vector would lose digits; the column keeps the type it has
+    schema = schema.replace("array<float>", base.schema["vec"].dataType.simpleString())
+    placed = shared.kept(base.select("cls", "vec").mapInPandas(visit, schema), f"placed{dim}")
+    asks = placed.select("cls", "vec", F.inline("units"))
     blocks = asks.groupBy("unit").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("blocks"))
-    asks = asks.join(blocks, "unit").select("unit", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), "cls", "vec")
-    entries = placed.select("cls", "vec", F.col("own").alias("unit")).join(blocks, "unit").select(
-        "unit", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("cls").alias("entry"), F.col("vec").alias("evec")
+    asks = asks.join(blocks, "unit").select("unit", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), "cls", "vec", "cells")
+    entries = placed.select("cls", "vec", "cell", F.col("own").alias("unit")).join(blocks, "unit").select(
+        "unit", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("cls").alias("entry"), F.col("vec").alias("evec"), "cell"
     )
 
     def rerank(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"cls": [], "near": [], "cosine": []})
         if not len(q) or not len(e):
             return empty
+        e = e.sort_values(["cell", "entry"], kind="stable")
         mq, me = _stack(q["vec"], dim), _stack(e["evec"], dim)
         fq, fe = mq.astype(np.float32), me.astype(np.float32)
-        names, asking = e["entry"].to_numpy(dtype=object), q["cls"].to_numpy(dtype=object)
-        at = {x: i for i, x in enumerate(names)}
-        own = np.array([at.get(x, -1) for x in asking])
-        by_key = np.empty(len(names), dtype=np.int64)
-        by_key[np.argsort(names)] = np.arange(len(names))
-        error = 2 * (dim + 4) * 2.0**-24  # of a difference of two float32 products of unit vectors
+        asking, names, cells = q["cls"].to_numpy(dtype=object), e["entry"].to_numpy(dtype=object), e["cell"].to_numpy()
+        # the queries of each cell
+        visits = q["cells"].map(len).to_numpy()
+        who, where = np.repeat(np.arange(len(q)), visits), np.concatenate(q["cells"].to_numpy())
+        order = np.argsort(where, kind="stable")
+        who, where = who[order], where[order]
+        least = min_cosine - 2 * (dim + 4) * 2.0**-24  # the error of a float32 product of unit vectors, twice
         out = []
-        for a in range(0, len(q), 1024):
-            s = fq[a : a + 1024] @ fe.T
-            least = min_cosine - max(1e-4, error)
-            if np.count_nonzero(s >= least) > PAIRS:
-                # dense: of each query all that may be among its k best, itself not counted, given the error
-                kth = max(0, s.shape[1] - k - 1)
-                least = np.maximum(np.partition(s, kth, axis=1)[:, kth] - error, least)[:, None]
-            r, c = np.nonzero(s >= least)
-            del s
-            if not len(r):
-                continue
-            exact = np.concatenate([np.einsum("ij,ij->i", mq[a + r[i : i + PAIRS]], me[c[i : i + PAIRS]]) for i in range(0, len(r), PAIRS)])
-            good = (exact >= min_cosine) & (c != own[a + r])
-            # cosines that differ by rounding only are equal
-            r, c, exact = r[good], c[good], np.round(exact[good], 14)
-            order = np.lexsort((by_key[c], -exact, r))
-            r, c, exact = r[order], c[order], exact[order]
-            best = np.arange(len(r)) - np.searchsorted(r, r) < k
-            out.append(pd.DataFrame({"cls": asking[a + r[best]], "near": names[c[best]], "cosine": exact[best]}))
-        return pd.concat(out) if out else empty
+        for cell in np.unique(cells).tolist():
+            a, b = np.searchsorted(cells, [cell, cell + 1])
+            x, y = np.searchsorted(where, [cell, cell + 1])
+            for at in range(x, y, 1024):
+                mine = who[at : min(y, at + 1024)]
+                r, c = np.nonzero(fq[mine] @ fe[a:b].T >= least)
+                for i in range(0, len(r), PAIRS):
+                    g, h = mine[r[i : i + PAIRS]], a + c[i : i + PAIRS]
+                    # cosines that differ by rounding only are equal
+                    exact = np.round(np.einsum("ij,ij->i", mq[g], me[h]), 14)
+                    good = (exact >= min_cosine) & (asking[g] != names[h])
+                    out.append(_best(pd.DataFrame({"g": g[good], "h": h[good], "cosine": exact[good]}), names, k))
+        if not out:
+            return empty
+        best = _best(pd.concat(out), names, k)
+        return pd.DataFrame({"cls": asking[best["g"]], "near": names[best["h"]], "cosine": best["cosine"]})
 
     near = asks.groupBy("unit", "block").cogroup(entries.groupBy("unit", "block")).applyInPandas(
         rerank, "cls string, near string, cosine double"
@@ -275,6 +300,12 @@ def _of_one_dim(base: DataFrame, dim: int, n: int, k: int, min_cosine: float, ca
     return near.withColumn("dim", F.lit(dim))
 
 
+def _best(found: pd.DataFrame, names: np.ndarray, k: int) -> pd.DataFrame:
+    """Of each query's entries the ``k`` of greatest cosine, equal ones by key."""
+    found = found.assign(key=names[found["h"]]).sort_values(["g", "cosine", "key"], ascending=[True, False, True])
+    return found[found.groupby("g").cumcount() < k].drop(columns="key")
+
+
 def similar_pairs(vectors: DataFrame, k: int = 5, min_cosine: float = 0.8) -> DataFrame:
     """(h_a, h_b), h_a < h_b: pairs where one is among the ``k`` most similar of the other."""
     near = most_similar(vectors, k, min_cosine)
