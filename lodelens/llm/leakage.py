@@ -10,8 +10,10 @@ The threshold loses nothing: for an item it is the least score that any admissib
 ``2 * MIN_WORDS - 1`` words, without its heaviest terms, two for each edit allowed) can have; a longer stretch
 contains such a one, and passages overlap by more than its length. Weights are divided by it, so WAND runs with threshold 1.
 
-Scale. Documents are never shuffled: one pass, one narrow row per verified pair. Items are indexed in blocks of at most
-``BLOCK`` rows, so what is broadcast is bounded by that number and by the items' lengths; a larger test set takes more
+An item's answers (the paths and the symbol it expects) are then sought in the documents that hold its text.
+
+Scale. Documents are never shuffled: one pass, one narrow row per verified pair. Items are cut into parts of bounded length and
+indexed in blocks of bounded rows and words (``BLOCK``, ``BLOCK_WORDS``), so what is broadcast is bounded; a larger test set takes more
 passes over the documents, not more memory.
 """
 
@@ -27,9 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodelens import shared
+
 MIN_WORDS, WORDS_PER_EDIT = 15, 6
 PASSAGE, OVERLAP = 64, 38
-BLOCK, BM25_BLOCK = 8192, 32
+#: Items and words indexed at once, about; at most twice as many are broadcast.
+BLOCK, BLOCK_WORDS = 8192, 1 << 20
+#: Entries of a posting list under one maximum.
+BM25_BLOCK = 32
 MAX_ITEM_WORDS = 4096
 K1, B = 1.2, 0.75
 
@@ -46,7 +53,8 @@ _UNSEEN = re.compile(
 )
 _TWICE_ENCODED = re.compile("[Â-ô][\u0080-¿]{1,3}")
 _ESCAPED = re.compile(r"\\[nrt]|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--.{0,400}?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
+_REMARK = re.compile(r"<!--.*?-->", re.S)
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n[\s>#*|/]*(?=[a-z])")
 _QUOTE = re.compile(r"(?<=[^\W_])['’ʼ`´](?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
@@ -74,6 +82,8 @@ def words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
+        if "-->" in text:
+            text = _REMARK.sub(" ", text)
         text = _TAG.sub(" ", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _UNSEEN.sub("", _TWICE_ENCODED.sub(_repair, text)))
@@ -298,34 +308,76 @@ def admissible_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best
 
 
+_PARTS = "item_id long, part int, words array<string>, item_words int, answers array<string>"
+
+
+def _cut_items(batches):
+    """Items as parts of at most ``MAX_ITEM_WORDS`` words; all but the only part have that length, the last reaches back for it."""
+    step = MAX_ITEM_WORDS - 2 * MIN_WORDS
+    for pdf in batches:
+        rows = []
+        for item, query, answers in zip(pdf["item_id"], pdf["query"], pdf["answers"]):
+            ws = words(query)
+            last = max(0, len(ws) - MAX_ITEM_WORDS)
+            said = sorted({a for a in (" ".join(words(x)) for x in answers) if a})
+            rows += [(item, i, ws[a : a + MAX_ITEM_WORDS], len(ws), said) for i, a in enumerate([*range(0, last, step), last]) if ws]
+        yield pd.DataFrame(rows, columns=["item_id", "part", "words", "item_words", "answers"])
+
+
+def _blocks(parts: DataFrame, rows: int) -> int:
+    """The least number of hash blocks, doubled from what an even spread needs, of which none holds more than its share of rows and words."""
+    whole = parts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("w")).first()
+    blocks = max(1, math.ceil(whole["n"] / rows), math.ceil(whole["w"] / BLOCK_WORDS))
+    while blocks > 1:
+        most = parts.groupBy(_block_of(blocks).alias("b")).agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("w")).agg(F.max("n"), F.max("w")).first()
+        if most[0] <= 2 * rows and most[1] <= 2 * BLOCK_WORDS:
+            break
+        blocks *= 2
+    return blocks
+
+
+def _block_of(blocks: int):
+    return F.pmod(F.xxhash64("item_id", "part", "words"), F.lit(blocks))
+
+
 def leaked(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, n_words, n_edits, item_words): documents that hold a test item wholly or in part.
+    """(doc_id, item_id, n_words, n_edits, item_words, n_answers, answers_found): documents that hold a test item wholly or in part.
 
     At least ``MIN_WORDS`` running words of the item, or all of it if shorter, with at most one edit in
-    ``WORDS_PER_EDIT`` words. Rows with null or empty texts, and items without a word, have no matches; an item longer than
-    ``MAX_ITEM_WORDS`` is indexed as several overlapping parts. Repeated rows count once, other columns are ignored.
+    ``WORDS_PER_EDIT`` words. Where ``items`` has the columns expected_path, expected_paths or expected_symbol, these are the item's answers:
+    ``answers_found`` of ``n_answers`` different ones stand in the same document, written in whatever way. Rows with null or empty texts,
+    and items without a word, have no matches; an item longer than ``MAX_ITEM_WORDS`` is indexed as several overlapping parts. Repeated
+    rows count once, other columns are ignored.
     """
     spark = documents.sparkSession
-    items = items.where(F.col("query").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "query")
-    blocks = max(1, math.ceil(items.count() / block))
-    schema = "doc_id long, item_id long, n_words int, n_edits int, item_words int"
+    none = F.array().cast("array<string>")
+    given = [F.array(c) for c in ("expected_path", "expected_symbol") if c in items.columns] + [F.coalesce("expected_paths", none)] * ("expected_paths" in items.columns)
+    answers = F.array_compact(F.concat(*given, none))
+    asked = items.where(F.col("query").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "query", answers.alias("answers")).distinct()
+    parts = shared.kept(asked.mapInPandas(_cut_items, _PARTS), "items")
+    blocks = _blocks(parts, block)
+    schema = "doc_id long, item_id long, n_words int, n_edits int, item_words int, n_answers int, answers_found int"
     out = None
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "query"), F.lit(blocks)) == b).distinct().orderBy("item_id", "query").collect()
-        parts = []
-        for r in rows:
-            ws = words(r.query)
-            for a in range(0, max(1, len(ws)), MAX_ITEM_WORDS - 2 * MIN_WORDS):
-                parts.append((r.item_id, ws[a : a + MAX_ITEM_WORDS]))
-        index = spark.sparkContext.broadcast(ItemIndex(parts))
-
-        def run(batches, index=index):
+        rows = parts.where(_block_of(blocks) == b).orderBy("item_id", "part", "words").collect()
+        index = ItemIndex([(i, r.words) for i, r in enumerate(rows)])
+        held = spark.sparkContext.broadcast((index, [(r.item_id, r.item_words, r.answers) for r in rows]))
+
+        def run(batches, held=held):
+            index, about = held.value
             for pdf in batches:
-                got = [(d, *m) for d, t in zip(pdf["doc_id"], pdf["text"]) for m in index.value.matches(t)]
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "n_words", "n_edits", "item_words"])
+                got = []
+                for d, t in zip(pdf["doc_id"], pdf["text"]):
+                    found = index.matches(t)
+                    text = f" {' '.join(words(t))} " if found else ""
+                    for i, n, edits, _ in found:
+                        item, length, answers = about[i]
+                        got.append((d, item, n, edits, length, len(answers), sum(f" {a} " in text for a in answers)))
+                yield pd.DataFrame(got, columns=[c.split()[0] for c in schema.split(", ")])
 
         found = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(
-        F.max("n_words").alias("n_words"), F.min("n_edits").alias("n_edits"), F.max("item_words").alias("item_words")
-    )
+    # of an item's parts and repeated rows the longest stretch, of equals the one with the fewest edits
+    best = F.max(F.struct("n_words", (-F.col("n_edits")).alias("e"))).alias("x")
+    rest = [F.max(c).alias(c) for c in ("item_words", "n_answers", "answers_found")]
+    return out.groupBy("doc_id", "item_id").agg(best, *rest).select("doc_id", "item_id", "x.n_words", (-F.col("x.e")).alias("n_edits"), "item_words", "n_answers", "answers_found")

@@ -29,8 +29,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = funcdocs.function_docs(table(spark, sf_dir, "chunks"), with_code=False)
-    return docs.where("origin = 'own'").select("chunk_id", "func_name").distinct()
+    docs = funcdocs.function_docs(table(spark, sf_dir, "chunks"), with_code=False, inherit=False)
+    return docs.select("chunk_id", "func_name").distinct()
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,18 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
 
 
+def p8_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of whole items without an edit, told again by comparing letters: what SQL can say of problem 8."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases")
+
+    def plain(c):
+        return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), F.lit(" "))
+
+    whole = leakage.leaked(docs, items).where("n_edits = 0 AND n_words = item_words").select("doc_id", "item_id")
+    j = whole.join(docs.select("doc_id", plain("text").alias("t")), "doc_id").join(items.select("item_id", plain("query").alias("q")), "item_id")
+    return j.where(F.contains("t", "q") & (F.trim("q") != "")).select("doc_id", "item_id").distinct()
+
+
 def _p9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.pseudonymised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
 
@@ -79,7 +91,7 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_kinds, p7_sequences, p8_found, p8_leaks, p9_found, p9_texts)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p3_found, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_kinds, p7_sequences, p8_found, p8_leaks, p8_verbatim, p9_found, p9_texts)}
 
 
 _P1 = r"""
@@ -110,5 +122,8 @@ def oracle_sql() -> dict[str, str]:
             "p.project_id, fa AS path_a, fb AS path_b, s AS support, a.n AS n_a, b.n AS n_b, g.n AS n_baskets,"
             " round(s * g.n / (a.n * b.n), 6) AS lift, round(log2(s * g.n / (a.n * b.n)), 6) AS pmi",
         ),
+        "p8_verbatim": r"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents),
+            i AS (SELECT item_id, ' ' || trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) || ' ' AS q FROM eval_cases)
+            SELECT DISTINCT doc_id, item_id FROM d JOIN i ON trim(q) <> '' AND contains(t, q)""",
         "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 1920",
     }

@@ -62,3 +62,24 @@ def test_items_of_one_word_and_few_words():
         ids = np.array([index.vocabulary.get(w, -1) for w in doc])
         want = {j for j, w in its if L.admissible_stretch(np.array([index.vocabulary[x] for x in w]), ids)[0] >= min(15, len(w))}
         assert {m[0] for m in index.matches(" ".join(doc))} == want
+
+
+def test_long_items_leave_no_short_tail(spark):
+    n = L.MAX_ITEM_WORDS
+    long = [f"w{i}" for i in range(n - 30)] + [f"v{i}" for i in range(3)] + [f"z{i}" for i in range(2 * L.MIN_WORDS - 3)]
+    its = spark.createDataFrame([(1, " ".join(long))], "item_id long, query string")
+    tail, part = " ".join(long[-3:]), " ".join(long[-20:])
+    docs = spark.createDataFrame([(1, tail), (2, f"before {part} after"), (3, " ".join(long[n - 40 : n - 15])), (4, " ".join(long[:14]))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_words) for r in L.leaked(docs, its).collect()}
+    assert got == {(2, len(long)), (3, len(long))}
+
+
+def test_answers_and_blocks_bounded_by_words(spark, monkeypatch):
+    q = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    schema = "item_id long, query string, expected_path string, expected_paths array<string>, expected_symbol string"
+    its = spark.createDataFrame([(1, q, "src/a_b.py", ["src/a_b.py", "lib/c.go", None], "Store.load"), (2, q + " more of it", None, None, None)], schema)
+    docs = spark.createDataFrame([(1, q + " see SRC/a_b.py and store::load"), (2, q)], "doc_id long, text string")
+    want = {(1, 1, 3, 2), (1, 2, 0, 0), (2, 1, 3, 0), (2, 2, 0, 0)}
+    for words in (1 << 20, 16):
+        monkeypatch.setattr(L, "BLOCK_WORDS", words)
+        assert {(r.doc_id, r.item_id, r.n_answers, r.answers_found) for r in L.leaked(docs, its).collect()} == want
