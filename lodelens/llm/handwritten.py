@@ -3,7 +3,8 @@
 Method. Content leaves and directories get Merkle hashes, bottom-up, level by level; a subtree or a file that occurs in more than
 one project marks a third-party copy wherever it lies; short files, which alone may agree by chance, are marked by their folder. Header rules (what the leading comment says) and
 layout rules (how the lines look) find generated and minified files, lock files and data tables. A telling name
-or directory is never enough on its own, except the package folders of well-known package managers.
+or directory is never enough on its own, except a package in the folders that package managers fill: in a folder like ``vendor`` or
+``deps`` a package is a copy if a file of it stands elsewhere too or says so, or if it has a version, a licence or a package file.
 
 Scale. File contents are read once, by Arrow batches, and never shuffled: what leaves the Python worker is one narrow row per
 file. A directory's hash is a count, a sum and an exclusive-or over its entries' hashes, so a directory with a
@@ -22,10 +23,14 @@ from pyspark.sql import functions as F
 
 from lodelens import shared
 
-# Folders that package managers and vendoring tools fill.
-VENDOR_FOLDERS = [
-    "node_modules", "bower_components", "jspm_packages", "vendor", "_vendor", "_vendored", "vendored", "third_party",
-    "third-party", "thirdparty", "3rdparty", "external", "extern", "deps", "Pods", "Carthage", "site-packages", "Godeps",
+# Folders that package managers fill; what lies in a package below them is installed.
+PACKAGE_FOLDERS = ["node_modules", "bower_components", "jspm_packages", "site-packages", "dist-packages", "Pods", "Carthage", "Godeps"]
+# Folders where third-party copies often lie, and hand-written code may.
+VENDOR_FOLDERS = ["vendor", "_vendor", "_vendored", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "external", "extern", "deps"]
+# What a published package brings along.
+PACKAGE_MARKS = [
+    "license", "license.txt", "license.md", "copying", "notice", "authors", "package.json", "setup.py", "setup.cfg", "pyproject.toml", "pkg-info", "metadata", "record",
+    "go.mod", "cargo.toml", "pom.xml", "gemspec", "composer.json", "version", "version.txt", "vendor.json", "modules.txt", "readme.vendor", "metadata.json",
 ]
 # Names of files in which package managers record exact versions.
 LOCK_NAMES = [
@@ -74,6 +79,8 @@ _THIRD_PARTY = re.compile(
     re.I,
 )
 _NO_COPY = re.compile(r"\b(?:not|never|no|isn't|nothing)\b[^\n]{0,24}\b(?:vendored|third[\s-]party|copied|imported|upstream|bundled)", re.I)
+#: Parts in which the files below a folder ask whether it is a copy.
+PARTS = 32
 #: Texts of fewer lines or characters are too short to tell a copy from a coincidence.
 MIN_LINES, MIN_CHARS = 4, 120
 _EOL = re.compile(r"\r\n?|\n|\x0b|\x0c| | ")
@@ -197,7 +204,7 @@ def judge(rel_path: str, language: str | None, content: str | None) -> tuple[str
     text = content or ""
     if name in LOCK_NAMES or (re.search(r"(?:^|[.-])lock\.(?:json|ya?ml)$", name) and _LOCK_TEXT.search(text)):
         return "lock", None, 0, 0
-    in_packages = any(f in VENDOR_FOLDERS for f in folders)
+    in_packages = any(f in PACKAGE_FOLDERS for f in folders[:-1])
     if ext not in PROGRAM and ext != "css":
         return ("vendored" if in_packages and ext not in OTHER and text else None), None, 0, 0
     lines = [x.rstrip() for x in _EOL.split(text)]
@@ -228,41 +235,59 @@ def _kind(in_packages: bool, ext: str, said: str, lines: list[str], code: list[s
     return None
 
 
+_VERSION = re.compile(r"[-_@]v?\d+(?:\.\d+)+\S*$")
+
+
+def package(rel_path: str) -> tuple[str | None, bool]:
+    """The package folder a file lies in, right below a folder for third-party copies, and whether the file shows that it is one.
+
+    That is a version in the folder's name, or a licence or package file at its top.
+    """
+    *folders, name = rel_path.replace("\\", "/").strip("/ ").split("/")
+    for i, f in enumerate(folders[:-1]):
+        if f in VENDOR_FOLDERS:
+            top = len(folders) == i + 2 and name.lower() in PACKAGE_MARKS
+            return "/".join(folders[: i + 2]), top or bool(_VERSION.search(folders[i + 1]))
+    return None, False
+
+
 def judged_files(records: DataFrame) -> DataFrame:
-    """(project_id, rel_path, kind, leaf, lines, chars) of each file's latest scan; ties go to the greatest row."""
+    """(project_id, rel_path, kind, leaf, lines, chars, root, mark) of each file's latest scan; ties go to the greatest row."""
 
     def run(batches):
         for pdf in batches:
             got = [judge(p, x, c) for p, x, c in zip(pdf["rel_path"], pdf["language"], pdf["content"])]
+            roots = [package(p) for p in pdf["rel_path"]]
             yield pd.DataFrame(
                 {
                     "project_id": pdf["project_id"], "rel_path": pdf["rel_path"], "scanned_at": pdf["scanned_at"],
                     "kind": [g[0] for g in got], "leaf": [g[1] for g in got], "lines": [g[2] for g in got], "chars": [g[3] for g in got],
+                    "root": [r for r, _ in roots], "mark": [m for _, m in roots],
                 }
             )
 
     seen = (
         records.where(F.col("rel_path").isNotNull())
         .select("project_id", "rel_path", "language", "content", F.unix_micros("scanned_at").alias("scanned_at"))
-        .mapInPandas(run, "project_id string, rel_path string, scanned_at long, kind string, leaf string, lines long, chars long")
+        .mapInPandas(run, "project_id string, rel_path string, scanned_at long, kind string, leaf string, lines long, chars long, root string, mark boolean")
     )
-    newest = F.max(F.struct("scanned_at", "leaf", "kind", "lines", "chars")).alias("x")
-    return seen.groupBy("project_id", "rel_path").agg(newest).select("project_id", "rel_path", "x.kind", "x.leaf", "x.lines", "x.chars")
+    newest = F.max(F.struct("scanned_at", "leaf", "kind", "lines", "chars", "root", "mark")).alias("x")
+    return seen.groupBy("project_id", "rel_path").agg(newest).select("project_id", "rel_path", "x.kind", "x.leaf", "x.lines", "x.chars", "x.root", "x.mark")
 
 
-def merkle_copies(leaves: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(project_id, node): files and folders whose Merkle hash occurs in several projects, or is that of a known copy.
+def merkle_copies(leaves: DataFrame) -> DataFrame:
+    """(project_id, node, folder): files and folders whose Merkle hash occurs in several projects, or is that of a known copy.
 
     ``leaves`` has (project_id, node, h, known), one row per file, and (lines, chars), without which every file counts as long
     enough. A file or folder with fewer than ``MIN_LINES`` and ``MIN_CHARS`` in all is a coincidence, but a short file enters the
     hash of its folder. A folder is known if all its files are. Folder hashes are computed bottom-up, one level a
-    round; deeper paths than ``max_depth`` are hashed as if they lay at that depth.
+    round, however deep the tree.
     """
     for column, least in (("lines", MIN_LINES), ("chars", MIN_CHARS)):
         if column not in leaves.columns:
             leaves = leaves.withColumn(column, F.lit(least))
     held = ["known", "lines", "chars"]
-    depth = F.least(F.size(F.split("node", "/")), F.lit(max_depth))
+    depth = F.size(F.split("node", "/"))
     level_of = leaves.withColumn("depth", depth)
     deepest = level_of.agg(F.max("depth")).first()[0] or 0
     nodes, below = [level_of.select("project_id", "node", "h", *held)], None
@@ -288,13 +313,13 @@ def merkle_copies(leaves: DataFrame, max_depth: int = 64) -> DataFrame:
         )
         below = shared.kept(below, f"merkle{d}")
         nodes.append(below)
-    every = nodes[0]
+    every = nodes[0].withColumn("folder", F.lit(False))
     for n in nodes[1:]:
-        every = every.unionByName(n)
+        every = every.unionByName(n.withColumn("folder", F.lit(True)))
     every = every.where((F.col("lines") >= MIN_LINES) & (F.col("chars") >= MIN_CHARS))
     per_project = every.groupBy("h", "project_id").agg(F.max("known").alias("known"))
     copied = per_project.groupBy("h").agg(F.count("*").alias("n"), F.max("known").alias("known")).where("n > 1 OR known").select("h")
-    return every.join(copied, "h", "left_semi").select("project_id", "node")
+    return every.join(copied, "h", "left_semi").select("project_id", "node", "folder")
 
 
 def not_handwritten(records: DataFrame) -> DataFrame:
@@ -311,17 +336,22 @@ def not_handwritten(records: DataFrame) -> DataFrame:
         "project_id", plain.alias("node"), F.col("leaf").alias("h"), F.col("kind").isNotNull().alias("known"), "lines", "chars"
     )
     copies = shared.kept(merkle_copies(leaves).distinct(), "copies")
-    # a file is a copy if it, or a folder above it, is one, however short: each file asks for its own ancestors
-    own = files.where("kind IS NULL AND leaf IS NOT NULL").select("project_id", "rel_path", plain.alias("node"))
-    parts = F.split("node", "/")
-    up = own.select(
-        "project_id",
-        "rel_path",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("node"),
-    )
+    # a file is a copy if it, or a folder above it, is one, however short
+    own = files.where("kind IS NULL AND leaf IS NOT NULL").select("project_id", "rel_path", "root", plain.alias("node"))
     on = [F.col("u.project_id").eqNullSafe(F.col("c.project_id")), F.col("u.node") == F.col("c.node")]
-    copied = (
-        up.alias("u").join(copies.alias("c"), on, "left_semi").select("project_id", "rel_path").distinct()
-        .withColumn("kind", F.lit("vendored"))
-    )
-    return files.where("kind IS NOT NULL").select("project_id", "rel_path", "kind").unionByName(copied)
+    by_hash = own.alias("u").join(copies.where("NOT folder").alias("c"), on, "left_semi")
+    # each file asks for the folders above it; a folder with very many files is asked for in parts
+    parts = F.split("node", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    part = F.pmod(F.xxhash64("rel_path"), F.lit(PARTS)).cast("int").alias("part")
+    up = own.where(F.size(parts) > 1).select("project_id", "rel_path", "root", part, F.explode(above).alias("node"))
+    folders = copies.where("folder").select("project_id", "node", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    by_folder = up.alias("u").join(folders.alias("c"), [*on, F.col("u.part") == F.col("c.part")], "left_semi")
+    copied = shared.kept(by_hash.select("project_id", "rel_path", "root").unionByName(by_folder.select("project_id", "rel_path", "root")).distinct(), "copied")
+    # in a folder for third-party copies, a package of which anything is known to be a copy, or which shows what it is, is one
+    shown = files.where("root IS NOT NULL AND (mark OR kind = 'vendored')").select("project_id", "root")
+    shown = shown.unionByName(copied.where("root IS NOT NULL").select("project_id", "root")).distinct()
+    here = [F.col("u.project_id").eqNullSafe(F.col("c.project_id")), F.col("u.root") == F.col("c.root")]
+    packaged = own.where("root IS NOT NULL").alias("u").join(shown.alias("c"), here, "left_semi").select("project_id", "rel_path")
+    vendored = copied.select("project_id", "rel_path").unionByName(packaged).distinct().withColumn("kind", F.lit("vendored"))
+    return files.where("kind IS NOT NULL").select("project_id", "rel_path", "kind").unionByName(vendored)

@@ -190,8 +190,10 @@ def sequences(documents: DataFrame, capacity: int = 4096, path: str = TOKENIZER,
             out[c] = pd.array([None if x is None or x != x else int(x) for x in out[c]], dtype="Int64")
         return out
 
+    # a group costs seconds though its rows are few: one task a group, and an explicit number, which is not coalesced
     return (
         sizes.withColumn("grp", F.pmod(F.xxhash64("part", "seq"), F.lit(groups)))
+        .repartition(groups, "grp")
         .groupBy("grp")
         .applyInPandas(fill, schema)
     )

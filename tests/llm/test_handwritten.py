@@ -17,20 +17,20 @@ def test_rules():
     assert kind("a/x.ts", "".join(f"field_{i} = table.add_row({i}, \"w\");\n" for i in range(30))) == "generated"
     assert kind("a/x.js", "function a(b,c){return b+c};var d=a(1,2);" * 40) == "minified" and kind("a/x.min.js", CODE) is None
     assert kind("a/x.c", "static const char t[] = {\n" + "    0x10, 0x22, 0x9f, 0x00, 0x1b, 0x40, 0x5e, 0x61,\n" * 20 + "};\n") == "data"
-    assert kind("a/x.py", CODE * 3 + "T = [1, 2, 3]\n") is None and kind("vendor/pkg/x.py", CODE) == "vendored" and kind("vendors/x.py", CODE) is None
+    assert kind("a/x.py", CODE * 3 + "T = [1, 2, 3]\n") is None and kind("node_modules/pkg/x.py", CODE) == "vendored" and kind("vendor/pkg/x.py", CODE) is None and kind("node_modules/x.py", CODE) is None
     assert kind("a/package-lock.json", "{}") == "lock" and kind("a/fetch_lockfile.json", '{"a": 1}') is None and kind("docs/a.md", "generated by x. do not edit") is None
-    assert kind("x.py", None) is None and kind("x.py", "") is None and kind("vendor/x.py", None) == "vendored"
+    assert kind("x.py", None) is None and kind("x.py", "") is None and kind("a/Pods/k/x.py", None) == "vendored"
 
 
 def test_copies_across_projects(spark):
     other = CODE.replace("walk", "scan")
     rows = [
         ("p", "lib/x.py", None, 1, CODE, None, 0), ("q", "src/tools/renamed.py", None, 1, "# Copyright q\n" + CODE.replace("\n", "\r\n"), None, 0), ("p", "own.py", None, 1, other, None, 0), ("p", "own2.py", None, 1, other, None, 0),
-        ("r", "vendor/k/y.py", None, 1, CODE.replace("tree", "bush"), None, 0), ("r", "app/y.py", None, 1, CODE.replace("tree", "bush"), None, 0), ("p", None, None, 1, CODE, None, 0), ("p", "lib/x.py", None, 1, CODE, None, 0),
+        ("r", "Pods/k/y.py", None, 1, CODE.replace("tree", "bush"), None, 0), ("r", "app/y.py", None, 1, CODE.replace("tree", "bush"), None, 0), ("p", None, None, 1, CODE, None, 0), ("p", "lib/x.py", None, 1, CODE, None, 0),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r.project_id, r.rel_path) for r in H.not_handwritten(df).collect()}
-    assert got == {("p", "lib/x.py"), ("q", "src/tools/renamed.py"), ("r", "vendor/k/y.py"), ("r", "app/y.py")}
+    assert got == {("p", "lib/x.py"), ("q", "src/tools/renamed.py"), ("r", "Pods/k/y.py"), ("r", "app/y.py")}
     assert H.not_handwritten(df.where("false")).count() == 0
 
 
@@ -73,8 +73,22 @@ def test_short_files_of_a_shared_folder(spark):
     rows += [row(p, "pkg/__init__.py", "") for p in "pqr"] + [row("q", "src/own.py", CODE.replace("walk", "scan")), row("p", "own/index.js", index)]
     # many short ones are as good as a long one; known copies mark their folder's twin in the same project
     rows += [row(p, f"{at}/f{i}.js", f"module.exports = require('./other/place/of/number{i}');\n") for p, at in (("p", "m"), ("r", "w/m2")) for i in range(5)]
-    rows += [row("s", f"{at}/{n}", c) for at in ("vendor/k", "app/k") for n, c in (("y.py", CODE.replace("tree", "bush")), ("__init__.py", ""))]
+    rows += [row("s", f"{at}/{n}", c) for at in ("Pods/k", "app/k") for n, c in (("y.py", CODE.replace("tree", "bush")), ("__init__.py", ""))]
     got = {(r.project_id, r.rel_path) for r in H.not_handwritten(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = {(p, f"{at}/{n}") for p, at in (("p", "lib/walk"), ("q", "src/tools/k")) for n in ("__init__.py", "x.py", "sub/index.js")}
     want |= {(p, f"{at}/f{i}.js") for p, at in (("p", "m"), ("r", "w/m2")) for i in range(5)}
-    assert got == want | {("s", f"{at}/{n}") for at in ("vendor/k", "app/k") for n in ("y.py", "__init__.py")}
+    assert got == want | {("s", f"{at}/{n}") for at in ("Pods/k", "app/k") for n in ("y.py", "__init__.py")}
+
+
+def test_folders_for_copies_need_evidence(spark):
+    def row(project, path, content):
+        return project, path, None, 1, content, None, 0
+
+    code = [CODE.replace("walk", f"walk{i}").replace("tree", f"tree{i}") for i in range(12)]
+    own = [("p", "src/deps/resolver.py"), ("p", "app/external/client.py"), ("p", "vendor/own/x.py")]
+    rows = [row(*o, code[i]) for i, o in enumerate(own)]
+    # a version, a licence, a header, a copy of another file of the package
+    copies = [("q", "third_party/k-1.2.0/a.py", code[3]), ("q", "deps/m/a.py", code[4]), ("q", "deps/m/LICENSE", "x"), ("q", "vendor/n/a.py", code[5]), ("q", "vendor/n/b.py", "# Vendored from upstream.\n" + code[6]), ("q", "extern/o/a.py", code[7]), ("q", "extern/o/b.py", code[8])]
+    rows += [row(*c) for c in copies] + [row("r", "lib/any.py", code[8])]
+    got = {(r.project_id, r.rel_path) for r in H.not_handwritten(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(p, n) for p, n, _ in copies if not n.endswith("LICENSE")} | {("r", "lib/any.py")}
