@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,17 +78,15 @@ def p8_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.where(F.contains("t", "q") & (F.trim("q") != "")).select("doc_id", "item_id").distinct()
 
 
-def _p9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.pseudonymised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
-
-
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    finds = _p9(spark, sf_dir).select("doc_id", F.explode("finds").alias("f"))
-    return finds.select("doc_id", "f.kind", "f.line_no").distinct()
+    finds = personal.personal_lines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+    return finds.where(F.col("kind").isin("email", "phone", "id_number", "address", "person"))
 
 
 def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p9(spark, sf_dir).select("doc_id", "text")
+    """Texts replaced under the key of the session (``spark.lodelens.pseudonym.key``), or a new one that nobody knows."""
+    key = (spark.conf.get("spark.lodelens.pseudonym.key", None) or secrets.token_hex(32)).encode()
+    return personal.pseudonymised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), key).select("doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
