@@ -9,11 +9,28 @@ from lodelens.functions import paths
 from lodelens.operators import incremental
 
 MAX_DEPTH, MAX_LIMIT = 20, 500
+#: Hashes of repeated rows that are sent to all tasks at most; beyond it whole rows are shuffled.
+MAX_REPEATED = 1_000_000
 
 
 def distinct_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
-    """Repeated rows once; only the columns asked for are read."""
-    return chunks.select(*columns).distinct()
+    """Repeated rows once; only the columns asked for are read.
+
+    Texts aren't shuffled for it: where ``text`` is asked for, only rows whose key and text hash occur several times are compared as a whole.
+    """
+    rows = chunks.select(*columns)
+    if "text" not in columns:
+        return rows.distinct()
+    keys = [c for c in ("project_id", "chunk_id") if c in columns]
+    rows = rows.withColumn("_h", F.xxhash64(*keys, "text"))
+    twice = rows.select("_h").groupBy("_h").count().where("count > 1").select("_h")
+    n = twice.limit(MAX_REPEATED + 1).count()
+    if not n:
+        return rows.drop("_h")
+    if n > MAX_REPEATED:
+        return rows.drop("_h").distinct()
+    few = F.broadcast(twice)
+    return rows.join(few, "_h", "left_anti").unionByName(rows.join(few, "_h", "left_semi").distinct()).drop("_h")
 
 
 def role_of(df: DataFrame) -> Column:

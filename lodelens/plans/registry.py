@@ -82,10 +82,10 @@ def index_plan_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_NOW_WAS}, h AS (SELECT DISTINCT project_id, rel_path FROM chunks WHERE rel_path IS NOT NULL)
-SELECT h.project_id, h.rel_path, (r NOT LIKE '%match%') AS stale, r AS freshness_reason FROM (
-    SELECT h.*, CASE WHEN was.rel_path IS NULL THEN 'file is not present in the manifest' WHEN now.rel_path IS NULL THEN 'file is missing from the working tree'
-        WHEN now.size = was.size AND now.mtime_ns = was.mtime_ns THEN 'mtime and size match the indexed file'
-        WHEN now.h = was.h THEN 'content hash matches despite metadata drift' ELSE 'working-tree file differs from the indexed file' END AS r
+SELECT h.project_id, h.rel_path, (r NOT LIKE 'same%') AS stale, r AS freshness_reason FROM (
+    SELECT h.*, CASE WHEN was.rel_path IS NULL THEN 'never indexed' WHEN now.rel_path IS NULL THEN 'gone from the scan'
+        WHEN now.size = was.size AND now.mtime_ns = was.mtime_ns THEN 'same size and time'
+        WHEN now.h = was.h THEN 'same content under another time' ELSE 'other content now' END AS r
     FROM h LEFT JOIN was USING (project_id, rel_path) LEFT JOIN now USING (project_id, rel_path)) h""")
 def freshness(spark: SparkSession, d: str) -> DataFrame:
     now, was = _scan_and_index(spark, d)
@@ -536,12 +536,12 @@ tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 _CASES = "q AS (SELECT item_id AS query_id, query FROM eval_cases WHERE item_id % 20 = 0)"
 
 
+def _cases(spark, d):
+    return table(spark, d, "eval_cases").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "query")
+
+
 def _bm25(spark, d, k):
-    c = _chunks(spark, d)
-    q = table(spark, d, "eval_cases").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "query")
-    ids = ["project_id", "chunk_id"]
-    scored = retrieval.bm25(kept(retrieval.postings(c, ids, "search_text"), "postings"), retrieval.text_stats(c, "search_text"), q, ids)
-    return retrieval.top(scored.withColumn("score", F.round("score", 9)), k, ["chunk_id", "project_id"])
+    return retrieval.top(retrieval.text_hits(_chunks(spark, d), _cases(spark, d), ["project_id", "chunk_id"]), k, ["chunk_id", "project_id"])
 
 
 @query(f"WITH {_CASES}, " + _BM25.replace("{k}", "10") + " SELECT query_id, project_id, chunk_id, round(score, 6) AS score, rank FROM tp")
@@ -549,12 +549,14 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, 10).select("query_id", "project_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {_CASES}, " + _BM25.replace("{k}", "10") + " SELECT query_id, count(*) AS n FROM sc GROUP BY 1")
+@query(f"WITH {_CASES}, " + _BM25.replace("{k}", "10") + " SELECT query_id, count(*) AS n, false AS is_lower_bound FROM sc GROUP BY 1")
 def fts_count(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d)
-    q = table(spark, d, "eval_cases").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.explode(text.token_set("query")).alias("term")).distinct()
-    p = c.select("project_id", "chunk_id", F.explode(text.token_set("search_text")).alias("term"))
-    return p.join(q, "term").select("query_id", "project_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    return retrieval.match_count(retrieval.text_hits(_chunks(spark, d), _cases(spark, d), ["project_id", "chunk_id"]))
+
+
+@query(f"WITH {_CASES}, " + _BM25.replace("{k}", "10") + " SELECT query_id, least(count(*), 1000) AS n, count(*) > 1000 AS is_lower_bound FROM sc GROUP BY 1")
+def fts_count_bound(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.match_count(retrieval.text_hits(_chunks(spark, d), _cases(spark, d), ["project_id", "chunk_id"]), 1000)
 
 
 @query(f"SELECT item_id, CASE WHEN len([x FOR x IN regexp_split_to_array(query, '\\s+') IF x <> '']) = 1 OR " + " OR ".join("regexp_matches(query, '{}')".format(s.replace("'", "''")) for s in retrieval.IDENTIFIER_SIGNS) + " THEN 'hybrid' ELSE 'vector' END AS mode FROM (SELECT item_id, query FROM eval_cases UNION ALL SELECT -('0x' || left(md5(coalesce(project_id, '') || symbol), 12))::BIGINT, symbol FROM (SELECT DISTINCT project_id, symbol FROM chunks WHERE symbol IS NOT NULL))")
@@ -565,65 +567,80 @@ def classify_query(spark: SparkSession, d: str) -> DataFrame:
     return q.select("item_id", F.when(retrieval.is_hybrid("query"), "hybrid").otherwise("vector").alias("mode"))
 
 
-_QUERY = "swap the cached digest of probe_node in ranker"
 _SLOT = "(('0x' || left(md5(t), 6))::BIGINT % 64)"
-_HYBRID = f"""q AS (SELECT 1 AS query_id, '{_QUERY}' AS query), {_BM25.replace("{k}", "20")},
-cv AS (SELECT project_id, chunk_id, {_SLOT} AS slot, count(*) AS c FROM (SELECT project_id, chunk_id, unnest(ts) AS t FROM tk) GROUP BY 1, 2, 3),
-qv AS (SELECT {_SLOT} AS slot, count(*) AS c FROM (SELECT unnest({_TOK.format('query')}) AS t FROM q) GROUP BY 1),
-cn AS (SELECT project_id, chunk_id, sqrt(sum(c * c)) AS n FROM cv GROUP BY 1, 2), qn AS (SELECT sqrt(sum(c * c)) AS n FROM qv),
-dt AS (SELECT project_id, chunk_id, sum(cv.c * qv.c) AS d FROM cv JOIN qv USING (slot) GROUP BY 1, 2),
-vh AS (SELECT cn.project_id, cn.chunk_id, 2 - 2 * coalesce(d, 0) / (cn.n * qn.n) AS distance, row_number() OVER (ORDER BY round(distance, 9), cn.chunk_id, cn.project_id) AS rank
-    FROM cn LEFT JOIN dt USING (project_id, chunk_id), qn QUALIFY rank <= 20),
-fu AS (SELECT project_id, chunk_id, sum(1 / (60 + rank)) AS rrf FROM (SELECT project_id, chunk_id, rank FROM vh UNION ALL SELECT project_id, chunk_id, rank FROM tp) GROUP BY 1, 2)"""
-
-
-def _one_query(spark, d):
-    c = _chunks(spark, d)
-    q = spark.createDataFrame([(1, _QUERY)], "query_id long, query string")
-    ids = ["project_id", "chunk_id"]
-    scored = retrieval.bm25(kept(retrieval.postings(c, ids, "search_text"), "postings"), retrieval.text_stats(c, "search_text"), q, ids)
-    words = retrieval.top(scored.withColumn("score", F.round("score", 9)), 20, ["chunk_id", "project_id"])
-    distance = F.round(retrieval.l2_squared(retrieval.hashed_vector("search_text"), retrieval.hashed_vector(F.lit(_QUERY))), 9)
-    near = c.select(*ids, (-distance).alias("score")).orderBy(F.desc("score"), "chunk_id", "project_id").limit(20).withColumn("query_id", F.lit(1).cast("long"))
-    return c, q, retrieval.fuse(retrieval.top(near, 20, ["chunk_id", "project_id"]), words, ids)
+_NEAR = f"""cv AS (SELECT project_id, chunk_id, {_SLOT} AS slot, count(*) AS c FROM (SELECT project_id, chunk_id, unnest(ts) AS t FROM tk) GROUP BY 1, 2, 3),
+qv AS (SELECT query_id, {_SLOT} AS slot, count(*) AS c FROM (SELECT query_id, unnest({_TOK.format('query')}) AS t FROM q) GROUP BY 1, 2),
+cn AS (SELECT project_id, chunk_id, sqrt(sum(c * c)) AS n FROM cv GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(c * c)) AS n FROM qv GROUP BY 1),
+dt AS (SELECT query_id, project_id, chunk_id, sum(cv.c * qv.c) AS d FROM cv JOIN qv USING (slot) GROUP BY 1, 2, 3),
+vh AS (SELECT qn.query_id, cn.project_id, cn.chunk_id, round(2 - 2 * coalesce(d, 0) / (cn.n * qn.n), 9) AS distance, row_number() OVER (PARTITION BY qn.query_id ORDER BY distance, cn.chunk_id, cn.project_id) AS rank
+    FROM cn CROSS JOIN qn LEFT JOIN dt ON dt.query_id = qn.query_id AND dt.project_id = cn.project_id AND dt.chunk_id = cn.chunk_id QUALIFY rank <= 20)"""
+_HYBRID = f"""{_CASES}, {_BM25.replace("{k}", "20")}, {_NEAR},
+fu AS (SELECT query_id, project_id, chunk_id, sum(1 / (60 + rank)) AS rrf FROM (SELECT query_id, project_id, chunk_id, rank FROM vh UNION ALL SELECT query_id, project_id, chunk_id, rank FROM tp) GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {_HYBRID} SELECT project_id, chunk_id, round(rrf, 6) AS rrf FROM fu")
+@query(f"WITH {_HYBRID} SELECT query_id, project_id, chunk_id, round(rrf, 6) AS rrf FROM fu")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _one_query(spark, d)[2].select("project_id", "chunk_id", F.round("rrf", 6).alias("rrf"))
+    c, q, ids = kept(_chunks(spark, d), "chunks"), _cases(spark, d), ["project_id", "chunk_id"]
+    words = retrieval.top(retrieval.text_hits(c, q, ids), 20, ["chunk_id", "project_id"])
+    return retrieval.fuse(retrieval.candidates(c, q, 20), words, ids).select("query_id", *ids, F.round("rrf", 6).alias("rrf"))
 
 
 _BOOST = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in retrieval.ROLE_BOOST.items()) + " ELSE 0 END"
-_RANKED = f"""{_HYBRID}, sc2 AS (SELECT fu.project_id, fu.chunk_id, symbol, rel_path, chunk_role, round(rrf
-    + 0.10 * len(list_intersect(list_distinct(qt0), list_distinct({_TOK.format("coalesce(symbol, '')")}))) + CASE WHEN list_contains(qt0, lower(coalesce(symbol, ''))) THEN 0.20 ELSE 0 END
-    + CASE WHEN len(list_intersect(qt0, {_TOK.format(_NAME.format("coalesce(rel_path, '')"))})) > 0 THEN 0.05 ELSE 0 END + {_BOOST.format("chunk_role")}, 6) AS score
-    FROM fu JOIN ck USING (project_id, chunk_id), (SELECT {_TOK.format('query')} AS qt0 FROM q)),
-rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id, project_id)::INT AS rank FROM sc2 QUALIFY rank <= 8),
-nz AS (SELECT *, round(greatest(0, least(1, 0.8 * greatest(0, least(1, score / 0.30)) + 0.2 * greatest(0, 1 - (rank - 1) * 0.12))), 3) AS score_normalized FROM rk)"""
+_SIGNS = " OR ".join("regexp_matches(query, '{}')".format(x.replace("'", "''")) for x in retrieval.IDENTIFIER_SIGNS)
+_MODE = f"CASE WHEN len([x FOR x IN regexp_split_to_array(query, '\\s+') IF x <> '']) = 1 OR {_SIGNS} THEN 'hybrid' ELSE 'vector' END"
+
+
+def _ranked_sql(mode: str) -> str:
+    """Scores and ranks of all queries, in the mode given as an expression over ``query``."""
+    sym, name, toks = "coalesce(symbol, '')", _NAME.format("coalesce(rel_path, '')"), _TOK.format("query")
+    return f"""{_HYBRID}, qm AS (SELECT query_id, query, {toks} AS qt0, {mode} AS mode FROM q),
+sc2 AS (SELECT query_id, project_id, chunk_id, symbol, rel_path, mode, qt0, round(CASE WHEN mode = 'hybrid' THEN rrf
+    + 0.10 * len(list_intersect(list_distinct(qt0), list_distinct({_TOK.format(sym)}))) + CASE WHEN list_contains(qt0, lower({sym})) THEN 0.20 ELSE 0 END
+    + CASE WHEN len(list_intersect(qt0, {_TOK.format(name)})) > 0 THEN 0.05 ELSE 0 END ELSE -distance END + {_BOOST.format("chunk_role")}, 6) AS score
+    FROM (SELECT query_id, project_id, chunk_id, rrf, NULL::DOUBLE AS distance, 'hybrid' AS m FROM fu UNION ALL SELECT query_id, project_id, chunk_id, NULL, distance, 'vector' FROM vh) x
+    JOIN qm USING (query_id) JOIN ck USING (project_id, chunk_id) WHERE m = mode),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id, project_id)::INT AS rank FROM sc2 QUALIFY rank <= 8),
+nz AS (SELECT *, round(greatest(0, least(1, 0.8 * CASE WHEN mode = 'hybrid' THEN greatest(0, least(1, score / 0.30)) ELSE 1 / (1 + greatest(0, -score)) END + 0.2 * greatest(0, 1 - (rank - 1) * 0.12))), 3) AS score_normalized FROM rk),
+rl AS (SELECT *, CASE WHEN score_normalized >= 0.72 THEN 'high' WHEN score_normalized >= 0.5 THEN 'medium' WHEN score_normalized >= 0.25 THEN 'low' ELSE 'uncertain' END AS relevance,
+    CASE WHEN {sym} <> '' AND (list_contains(qt0, lower({sym})) OR len(list_intersect(qt0, {_TOK.format(sym)})) > 0) THEN 'a query word is in the symbol'
+        WHEN len(list_intersect(qt0, {_TOK.format(name)})) > 0 THEN 'a query word is in the file name' WHEN mode = 'hybrid' THEN 'by similarity and words together' ELSE 'by similarity' END AS match_reason FROM nz)"""
 
 
-def _ranked(spark, d):
-    c, q, fused = _one_query(spark, d)
-    h = fused.join(q, "query_id").join(c.select("project_id", "chunk_id", "rel_path", "symbol", "chunk_role"), ["project_id", "chunk_id"])
-    h = h.withColumn("score", F.round(retrieval.hybrid_score("rrf", "query", "symbol", "rel_path", "chunk_role"), 6))
-    h = retrieval.top(h, 8, ["chunk_id", "project_id"])
-    return h.withColumn("score_normalized", retrieval.normalized("score", F.lit("hybrid"), "rank"))
+def _search(spark, d, mode="auto", **more):
+    return retrieval.search(kept(_chunks(spark, d), "chunks"), _cases(spark, d), k=8, mode=mode, **more)
 
 
-@query(f"WITH {_RANKED} SELECT project_id, chunk_id, score, rank FROM nz")
+_FORCED = _ranked_sql("'hybrid'")
+
+
+@query(f"WITH {_FORCED} SELECT query_id, project_id, chunk_id, score, rank FROM rl")
 def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).select("project_id", "chunk_id", "score", "rank")
+    return _search(spark, d, "hybrid").select("query_id", "project_id", "chunk_id", "score", "rank")
 
 
-@query(f"WITH {_RANKED} SELECT chunk_id, score_normalized, CASE WHEN score_normalized >= 0.72 THEN 'high' WHEN score_normalized >= 0.5 THEN 'medium' WHEN score_normalized >= 0.25 THEN 'low' ELSE 'uncertain' END AS relevance FROM nz")
+@query(f"WITH {_FORCED} SELECT query_id, chunk_id, score_normalized, relevance FROM rl")
 def relevance_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).select("chunk_id", "score_normalized", retrieval.relevance("score_normalized").alias("relevance"))
+    return _search(spark, d, "hybrid").select("query_id", "chunk_id", "score_normalized", "relevance")
 
 
-@query()
+@query(f"WITH {_ranked_sql(_MODE)} SELECT query_id, project_id, chunk_id, mode, score, rank, score_normalized, relevance, match_reason FROM rl")
 def search_code(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "eval_cases").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "query")
-    return retrieval.search(_chunks(spark, d), q, k=8).select("query_id", "project_id", "chunk_id", "mode", "score", "rank", "score_normalized", "relevance", "match_reason")
+    return _search(spark, d).select("query_id", "project_id", "chunk_id", "mode", "score", "rank", "score_normalized", "relevance", "match_reason")
+
+
+@query(f"""WITH {_ranked_sql("'vector'")}, w AS (SELECT query_id, count(*) FILTER (rank > 1) AS rest, count(*) FILTER (rank > 1 AND relevance = 'uncertain') AS weak FROM rl GROUP BY 1)
+SELECT query_id, rest > 0 AND rest = weak AS weak_tail FROM w""")
+def tail_weakness(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "vector").select("query_id", "weak_tail").distinct()
+
+
+@query(f"""WITH {_ranked_sql(_MODE)}, pv AS (SELECT query_id, project_id, chunk_id, qt0, [trim(x) FOR x IN regexp_split_to_array(coalesce(ck.text, ''), '\\r\\n|\\r|\\n') IF trim(x) <> ''] AS ls FROM rl JOIN ck USING (project_id, chunk_id)),
+px AS (SELECT query_id, project_id, chunk_id, coalesce([x FOR x IN ls IF len(list_intersect(qt0, {_TOK.format('x')})) > 0][1], ls[1], '') AS line FROM pv)
+SELECT query_id, project_id, chunk_id, CASE WHEN length(line) > 160 THEN left(line, 159) || '…' ELSE line END AS preview FROM px""")
+def search_previews(spark: SparkSession, d: str) -> DataFrame:
+    c = kept(_chunks(spark, d), "chunks")
+    hits = retrieval.search(c, _cases(spark, d), k=8).select("query_id", "query", "project_id", "chunk_id")
+    return hits.join(c.select("project_id", "chunk_id", "text"), ["project_id", "chunk_id"]).select("query_id", "project_id", "chunk_id", retrieval.preview("text", "query").alias("preview"))
 
 
 @query(f"WITH {_CASES}, " + _BM25.replace("{k}", "10") + """, f AS (SELECT DISTINCT project_id, chunk_id, rel_path, language, chunk_role FROM chunks), h AS (SELECT query_id, f.* FROM tp JOIN f USING (project_id, chunk_id)),
@@ -656,8 +673,7 @@ def _self_cases(spark, d):
 def _self_ranks(spark, d):
     cases, c = _self_cases(spark, d), _chunks(spark, d)
     ids = ["project_id", "chunk_id"]
-    scored = retrieval.bm25(kept(retrieval.postings(c, ids, "search_text"), "postings"), retrieval.text_stats(c, "search_text"), cases.select("query_id", "query"), ids)
-    hits = retrieval.top(scored.withColumn("score", F.round("score", 9)), 10, ["chunk_id", "project_id"]).join(c.select(*ids, "rel_path", "symbol"), ids)
+    hits = retrieval.top(retrieval.text_hits(c, cases.select("query_id", "query"), ids), 10, ["chunk_id", "project_id"]).join(c.select(*ids, "rel_path", "symbol"), ids)
     return evaluation.ranks(cases, hits)
 
 

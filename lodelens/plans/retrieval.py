@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lodelens import shared
 from lodelens.functions import text
 
 K1, B, RRF = 1.2, 0.75, 60
 ROLE_BOOST = {"executable": 0.035, "test": 0.010, "config": -0.020, "template": -0.025, "comment": -0.035}
 HIGH, MEDIUM, LOW = 0.72, 0.50, 0.25
-QUERY_BLOCK = 512
+QUERY_BLOCK, ROW_PART = 512, 50_000
+#: Distinct query terms up to which they are sent to all tasks.
+TERMS = 100_000
 # Signs that a query means an exact token.
 IDENTIFIER_SIGNS = [r"[a-z][A-Z]", r"[A-Za-z]_[A-Za-z]", r"\b[A-Z][A-Z0-9]{2,}\b", r"['\"][^'\"]+['\"]", r"\.(py|js|ts|tsx|go|rs|java|c|cpp|h|rb|cs|json|toml|md)\b", r"(^|[^A-Za-z0-9_])_[A-Za-z][A-Za-z0-9_]+"]
 
@@ -42,43 +45,59 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 8, id_col: str = "v
     return rows.withColumn("distance", l2_squared(vec_col, q)).where("distance IS NOT NULL").orderBy("distance", id_col).limit(k)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 8, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, vec_id, distance, rank): exact neighbours of every query among all rows, in blocks of queries.
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = 8, block: int = QUERY_BLOCK, id_col: str = "vec_id", digits: int | None = None) -> DataFrame:
+    """(query_id, id, distance, rank): exact neighbours of every query among all rows; ties go to the smaller id.
 
-    ``vectors`` has (vec_id, embedding), ``queries`` (query_id, query_vec). Each row of the table meets one block of at most ``block``
-    query vectors, multiplied as matrices; only each Arrow batch's best ``k`` a query leave the worker.
+    ``vectors`` has (id, embedding), ``queries`` (query_id, query_vec); distances are rounded to ``digits`` first, if given. Up to ``block``
+    queries are sent to all tasks. More of them are dealt to blocks, the rows to parts, and each task multiplies one part by one block: rows
+    travel once a block, queries once a part, and neither is ever on the driver. Only each task's best ``k`` a query go on. Null vectors
+    and those of another length than the query are left out.
     """
-    rows = queries.where("query_vec IS NOT NULL").orderBy("query_id").collect()
-    spark, out = vectors.sparkSession, None
-    for at in range(0, max(1, len(rows)), block):
-        part = rows[at : at + block]
-        dims = sorted({len(r.query_vec) for r in part})
-        held = spark.sparkContext.broadcast(
-            {d: ([r.query_id for r in part if len(r.query_vec) == d], np.array([r.query_vec for r in part if len(r.query_vec) == d], dtype=np.float64)) for d in dims}
-        )
-
-        def best(batches, held=held):
+    spark = vectors.sparkSession
+    v = vectors.where("embedding IS NOT NULL").select(id_col, "embedding")
+    q = queries.where("query_vec IS NOT NULL").select("query_id", "query_vec")
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, {id_col} {v.schema[id_col].dataType.simpleString()}, distance double"
+    few = q.limit(block + 1).collect()
+
+    def nearest_of(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found, lengths = [], rows["embedding"].map(len)
+        for d, part in asked.groupby(asked["query_vec"].map(len)):
+            same = rows[lengths == d]
+            if not len(same):
+                continue
+            m, x = (np.stack(c.to_numpy()).astype(np.float64) for c in (same["embedding"], part["query_vec"]))
+            ids, order = same[id_col].to_numpy(), pd.factorize(same[id_col], sort=True)[0]
+            mm, xx = (m * m).sum(1), (x * x).sum(1)
+            for i, name in enumerate(part["query_id"]):
+                rough = mm + xx[i] - 2 * (m @ x[i])
+                kth = np.partition(rough, min(k, len(rough)) - 1)[min(k, len(rough)) - 1]
+                # whatever may be among the best, given rounding; these are measured as (a - b)^2 is
+                near = np.nonzero(rough <= kth + 1e-9 * (1 + mm.max() + xx[i]) + 10.0 ** -(digits or 15))[0]
+                exact = ((m[near] - x[i]) ** 2).sum(1)
+                exact = exact if digits is None else np.round(exact, digits)
+                top = np.lexsort((order[near], exact))[:k]
+                found.append(pd.DataFrame({"query_id": name, id_col: ids[near[top]], "distance": exact[top]}))
+        return pd.concat(found) if found else pd.DataFrame(columns=["query_id", id_col, "distance"])
+
+    if len(few) <= block:
+        held = spark.sparkContext.broadcast(pd.DataFrame({"query_id": [r.query_id for r in few], "query_vec": [r.query_vec for r in few]}))
+
+        def one(batches):
             for pdf in batches:
-                found = []
-                pdf = pdf[pdf["embedding"].notna()]
-                lengths = pdf["embedding"].map(len)
-                for d, (ids, q) in held.value.items():
-                    same = pdf[lengths == d]
-                    if not len(same):
-                        continue
-                    m = np.stack(same["embedding"].to_numpy()).astype(np.float64)
-                    # exact per pair, in blocks, as (a - b)^2 would be in SQL
-                    for i, x in enumerate(q):
-                        dist = ((m - x) ** 2).sum(1)
-                        top = np.lexsort((same["vec_id"].to_numpy(), dist))[:k]
-                        found.append(pd.DataFrame({"query_id": ids[i], "vec_id": same["vec_id"].to_numpy()[top], "distance": dist[top]}))
-                if found:
-                    yield pd.concat(found)
-
-        near = vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, distance double")
-        out = near if out is None else out.unionByName(near)
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                if len(pdf) and len(held.value):
+                    yield nearest_of(pdf, held.value)
+
+        near = v.mapInPandas(one, schema)
+    else:
+        blocks = -(-q.count() // block)
+        parts = max(1, -(-v.count() // ROW_PART))
+        rows = v.select("*", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        asks = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        near = rows.groupBy("part", "block").cogroup(asks.groupBy("part", "block")).applyInPandas(
+            lambda a, b: nearest_of(a, b) if len(a) and len(b) else pd.DataFrame(columns=["query_id", id_col, "distance"]), schema
+        )
+    w = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def match_estimate(candidates: DataFrame, fraction: float = 0.85) -> DataFrame:
@@ -117,27 +136,66 @@ def hashed_vector(value, dims: int = 64) -> Column:
 
 
 # -- full text ------------------------------------------------------------------------------------
-def postings(docs: DataFrame, id_cols: list[str], body: str) -> DataFrame:
-    """(ids, term, tf, dl): the inverted index as a table; written once per generation and joined with query terms."""
-    t = docs.select(*id_cols, text.tokens(body).alias("ts")).select(*id_cols, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+def tokenised(docs: DataFrame, id_cols: list[str], body: str) -> DataFrame:
+    """(ids, dl, ts): the tokens of each row, taken once and kept; :func:`postings` and :func:`text_stats` read them."""
+    return shared.kept(docs.select(*id_cols, text.tokens(body).alias("ts")).select(*id_cols, F.size("ts").alias("dl"), "ts"), "tokens")
+
+
+def postings(docs: DataFrame, id_cols: list[str], body: str | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(ids, term, tf, dl): the inverted index as a table, of texts or of :func:`tokenised` rows; written once per generation.
+
+    Of some ``terms`` only if given; tokens of no query then don't leave their task.
+    """
+    t = docs if body is None else docs.select(*id_cols, text.tokens(body).alias("ts")).withColumn("dl", F.size("ts"))
+    t = t.select(*id_cols, "dl", F.explode("ts").alias("term"))
+    if terms is not None:
+        t = t.join(_small(terms.select("term").distinct()), "term", "left_semi")
     return t.groupBy(*id_cols, "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def _small(rows: DataFrame, most: int = TERMS) -> DataFrame:
+    """Marked for broadcast if it has at most ``most`` rows; else as it is."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(text.token_set("query")).alias("term"))
+
+
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, id_cols: list[str]) -> DataFrame:
-    """(query_id, ids, score) of all rows with a query term. ``stats`` has one row (n, avgdl); queries (query_id, query)."""
-    terms = queries.select("query_id", F.explode(text.token_set("query")).alias("term"))
-    used = index.join(terms.select("term").distinct(), "term", "left_semi")
+    """(query_id, ids, score) of all rows with a query term. ``stats`` has one row (n, avgdl); queries (query_id, query).
+
+    Frequencies and query terms are small tables, so postings of a term that stands in every row are scored where they lie; with more than
+    ``TERMS`` terms the joins shuffle, and skewed terms are split at run time.
+    """
+    terms = query_terms(queries)
+    used = index.join(_small(terms.select("term").distinct()), "term", "left_semi")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
-    hits = used.join(df, "term").join(terms, "term")
+    hits = used.join(_small(df), "term").join(_small(terms), "term")
     whole = stats.first()
     idf = F.log(1 + (F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(whole["avgdl"] or 1.0)))
     return hits.groupBy("query_id", *id_cols).agg(F.sum(weight).alias("score"))
 
 
-def text_stats(docs: DataFrame, body: str) -> DataFrame:
-    """One row: number of rows and mean length in tokens."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens(body))).alias("avgdl"))
+def text_stats(docs: DataFrame, body: str | None = None) -> DataFrame:
+    """One row: number of rows and mean length in tokens, of texts or of :func:`tokenised` rows."""
+    return docs.agg(F.count("*").alias("n"), F.avg("dl" if body is None else F.size(text.tokens(body))).alias("avgdl"))
+
+
+def text_hits(docs: DataFrame, queries: DataFrame, ids: list[str], body: str = "search_text") -> DataFrame:
+    """(query_id, ids, score) of all rows of texts with a query term, scores rounded to 9 digits: tokens once, postings of the query's terms."""
+    t = tokenised(docs, ids, body)
+    index = shared.kept(postings(t, ids, terms=query_terms(queries)), "postings")
+    return bm25(index, text_stats(t), queries, ids).withColumn("score", F.round("score", 9))
+
+
+def match_count(hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query_id, n, is_lower_bound): rows that match each query; with a ``limit`` counting ends there and the number is a lower bound."""
+    n = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    if limit is None:
+        return n.withColumn("is_lower_bound", F.lit(False))
+    return n.select("query_id", F.least("n", F.lit(limit)).alias("n"), (F.col("n") > limit).alias("is_lower_bound"))
 
 
 def top(scored: DataFrame, k: int, ties: list[str]) -> DataFrame:
@@ -203,7 +261,7 @@ def at_least(bucket, threshold: str | None) -> Column:
     if threshold is None:
         return F.lit(True)
     if threshold not in order:
-        raise ValueError("min_relevance must be one of: " + ", ".join(order))
+        raise ValueError(f"{threshold!r} is no relevance; there are {', '.join(order)}")
     return _c(bucket).isin(order[order.index(threshold) :])
 
 
@@ -212,9 +270,8 @@ def match_reason(query, symbol, path, mode) -> Column:
     in_symbol = (sym != "") & (F.array_contains(q, F.lower(sym)) | F.arrays_overlap(q, text.token_set(sym)))
     in_name = F.arrays_overlap(q, text.token_set(F.substring_index(F.coalesce(_c(path), F.lit("")), "/", -1)))
     return (
-        F.when(in_symbol, "query token matches the indexed symbol").when(in_name, "query token matches the file name")
-        .when(_c(mode) == "hybrid", "ranked by vector similarity plus full-text retrieval")
-        .otherwise("ranked by vector similarity to the indexed source")
+        F.when(in_symbol, "a query word is in the symbol").when(in_name, "a query word is in the file name")
+        .when(_c(mode) == "hybrid", "by similarity and words together").otherwise("by similarity")
     )
 
 
@@ -226,12 +283,12 @@ def freshness(hits: DataFrame, scan: DataFrame, indexed: DataFrame) -> DataFrame
     j = hits.join(was, keys, "left").join(now, keys, "left")
     same = (F.col("now.size") == F.col("was.size")) & (F.col("now.mtime_ns") == F.col("was.mtime_ns"))
     reason = (
-        F.when(F.col("was").isNull(), "file is not present in the manifest").when(F.col("now").isNull(), "file is missing from the working tree")
-        .when(same, "mtime and size match the indexed file").when(F.col("now.hash") == F.col("was.hash"), "content hash matches despite metadata drift")
-        .otherwise("working-tree file differs from the indexed file")
+        F.when(F.col("was").isNull(), "never indexed").when(F.col("now").isNull(), "gone from the scan")
+        .when(same, "same size and time").when(F.col("now.hash") == F.col("was.hash"), "same content under another time")
+        .otherwise("other content now")
     )
     j = j.withColumn("freshness_reason", reason)
-    return j.withColumn("stale", ~F.col("freshness_reason").rlike("match")).drop("now", "was")
+    return j.withColumn("stale", ~F.col("freshness_reason").startswith("same")).drop("now", "was")
 
 
 def budget(hits: DataFrame, length: str, total: int) -> DataFrame:
@@ -241,29 +298,81 @@ def budget(hits: DataFrame, length: str, total: int) -> DataFrame:
     return hits.withColumn("granted", F.greatest(F.lit(0), F.least(F.col(length), total - used)).cast("long"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 8, candidate_k: int = 20, language: str | None = None, min_relevance: str | None = None, mode: str = "auto") -> DataFrame:
+def candidates(rows: DataFrame, queries: DataFrame, candidate_k: int) -> DataFrame:
+    """(query_id, ids, distance, rank): the nearest rows of each query by hashed vectors; ties by chunk, then project."""
+    key = F.concat_ws("\0", F.coalesce("chunk_id", F.lit("")), F.coalesce("project_id", F.lit("")))
+    numbered = shared.kept(rows.select(key.alias("row_key"), "project_id", "chunk_id", hashed_vector("search_text").alias("embedding")), "vectors")
+    asked = queries.select("query_id", hashed_vector("query").alias("query_vec"))
+    near = nearest_batch(numbered, asked, candidate_k, id_col="row_key", digits=9)
+    return near.join(numbered.drop("embedding"), "row_key").select("query_id", "project_id", "chunk_id", "distance", "rank")
+
+
+def search(
+    chunks: DataFrame, queries: DataFrame, k: int = 8, candidate_k: int = 20, language: str | None = None, min_relevance: str | None = None, mode: str = "auto",
+    reranker=None, where: Column | None = None,
+) -> DataFrame:
     """Ranked hits for a table of queries (query_id, query): routing, candidates of both indexes, fusion, scores, relevance.
 
-    ``chunks`` has project_id, chunk_id, rel_path, language, symbol, chunk_role, search_text. The relevance filter comes after the
-    ranking and may leave fewer than ``k``.
+    ``chunks`` has project_id, chunk_id, rel_path, language, symbol, symbol_kind, chunk_role, start_line, end_line, search_text; other
+    columns may be missing. ``where`` filters before ranking. ``reranker(hits)`` gets the candidates with their text and must add
+    ``rerank_score``, by which they are then ordered. The relevance filter comes after the ranking and may leave fewer than ``k``; ``weak_tail`` marks
+    queries whose hits beyond the first are all uncertain.
     """
     candidate_k = max(k, min(candidate_k, 50))
     ids = ["project_id", "chunk_id"]
     rows = chunks if language is None else chunks.where(F.col("language") == language)
-    rows = rows.withColumn("vec", hashed_vector("search_text"))
+    rows = rows if where is None else rows.where(where)
     asked = queries.withColumn("mode", F.when(is_hybrid("query"), "hybrid").otherwise("vector") if mode == "auto" else F.lit(mode))
-    asked_rows = asked.withColumn("query_vec", hashed_vector("query"))
-    numbered = rows.withColumn("vec_id", F.xxhash64(*ids)).select("vec_id", *ids, F.col("vec").alias("embedding"))
-    near = nearest_batch(numbered, asked_rows.select("query_id", "query_vec"), candidate_k)
-    near = near.join(numbered.select("vec_id", *ids), "vec_id").select("query_id", *ids, "distance", "rank")
+    near = shared.kept(candidates(rows, asked, candidate_k), "near")
     hybrid = asked.where("mode = 'hybrid'")
-    scored = bm25(postings(rows, ids, "search_text"), text_stats(rows, "search_text"), hybrid, ids)
-    words = top(scored.withColumn("score", F.round("score", 9)), candidate_k, ["chunk_id", "project_id"])
+    words = top(text_hits(rows, hybrid, ids), candidate_k, ["chunk_id", "project_id"])
     fused = fuse(near.join(hybrid.select("query_id"), "query_id", "left_semi"), words, ids)
-    info = rows.select(*ids, "rel_path", "language", "symbol", "chunk_role")
-    h = fused.join(hybrid, "query_id").join(info, ids).withColumn("score", F.round(hybrid_score("rrf", "query", "symbol", "rel_path", "chunk_role"), 6)).drop("rrf")
-    v = near.join(asked.where("mode = 'vector'"), "query_id").join(info, ids).withColumn("score", F.round(vector_score("distance", "chunk_role"), 6)).drop("distance", "rank")
-    hits = top(h.unionByName(v), k, ["chunk_id", "project_id"])
-    hits = hits.withColumn("score_normalized", normalized("score", "mode", "rank"))
-    hits = hits.withColumn("relevance", relevance("score_normalized")).withColumn("match_reason", match_reason("query", "symbol", "rel_path", "mode"))
+    there = [c for c in ("rel_path", "language", "symbol", "symbol_kind", "chunk_role", "start_line", "end_line") if c in rows.columns]
+    info = rows.select(*ids, *there, *(["search_text"] if reranker else []))
+    h = fused.join(hybrid, "query_id").withColumn("distance", F.lit(None).cast("double"))
+    v = near.join(asked.where("mode = 'vector'"), "query_id").drop("rank").withColumn("rrf", F.lit(None).cast("double"))
+    both = h.unionByName(v).join(info, ids)
+    score = F.when(F.col("mode") == "hybrid", hybrid_score("rrf", "query", "symbol", "rel_path", "chunk_role")).otherwise(vector_score("distance", "chunk_role"))
+    both = both.withColumn("score", F.round(score, 6)).drop("rrf", "distance")
+    if reranker is not None:
+        both = reranker(both).drop("search_text").withColumn("score", F.col("rerank_score")).drop("rerank_score")
+    hits = top(both, k, ["chunk_id", "project_id"])
+    hits = hits.withColumn("score_normalized", normalized("score", "mode", "rank", F.lit(reranker is not None)))
+    hits = hits.withColumn("relevance", relevance("score_normalized"))
+    hits = hits.withColumn("match_reason", match_reason("query", "symbol", "rel_path", "mode")).withColumn("matched_in", matched_in("query", "symbol", "rel_path"))
+    tail = Window.partitionBy("query_id")
+    rest = F.count(F.when(F.col("rank") > 1, 1)).over(tail)
+    weak = F.count(F.when((F.col("rank") > 1) & (F.col("relevance") == "uncertain"), 1)).over(tail)
+    hits = hits.withColumn("weak_tail", (rest > 0) & (rest == weak))
     return hits.where(at_least("relevance", min_relevance))
+
+
+def matched_in(query, symbol, path) -> Column:
+    """Which parts of a hit share a token with the query: symbol, path, content (always sought there)."""
+    q = text.token_set(query)
+    parts = {"symbol": F.coalesce(_c(symbol), F.lit("")), "path": F.coalesce(_c(path), F.lit(""))}
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(q, text.token_set(x)), F.lit(n)) for n, x in parts.items()], F.lit("content")))
+
+
+def preview(content, query, width: int = 160) -> Column:
+    """The first line of the content that holds a query token, else the first that isn't blank; cut to ``width`` with an ellipsis."""
+    lines = F.filter(F.transform(F.split(F.coalesce(_c(content), F.lit("")), "\r\n|\r|\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    q = text.token_set(query)
+    line = F.coalesce(F.get(F.filter(lines, lambda x: F.arrays_overlap(q, text.token_set(x))), F.lit(0)), F.get(lines, F.lit(0)), F.lit(""))
+    return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width - 1), F.lit("…"))).otherwise(line)
+
+
+def hints(hits: DataFrame, queries: DataFrame, estimate: DataFrame | None = None) -> DataFrame:
+    """(query_id, n_hits, hint): what a caller may do about a result: nothing found, only uncertain hits, a weak tail, more matches than shown, stale files."""
+    have = {c: c in hits.columns for c in ("stale", "weak_tail")}
+    g = hits.groupBy("query_id").agg(
+        F.count("*").alias("n_hits"), F.count(F.when(F.col("relevance") != "uncertain", 1)).alias("sure"),
+        F.max(F.col("weak_tail") if have["weak_tail"] else F.lit(False)).alias("weak"), F.max(F.col("stale") if have["stale"] else F.lit(False)).alias("stale"),
+    )
+    j = queries.select("query_id").join(g, "query_id", "left").fillna(0, ["n_hits", "sure"])
+    j = j.join(estimate.select("query_id", F.col("n").alias("all")), "query_id", "left") if estimate is not None else j.withColumn("all", F.lit(None).cast("long"))
+    said = F.array_compact(F.array(
+        F.when(F.col("n_hits") == 0, "no_hits"), F.when((F.col("n_hits") > 0) & (F.col("sure") == 0), "only_uncertain"), F.when(F.col("weak"), "weak_tail"),
+        F.when(F.col("all") > F.col("n_hits"), "more_matches"), F.when(F.col("stale"), "stale_files"),
+    ))
+    return j.select("query_id", "n_hits", F.explode_outer(said).alias("hint"))
