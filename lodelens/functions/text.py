@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ def tokens(text) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.lower)
 
 
+def identifiers(text) -> Column:
+    """Tokens of two characters and more, in order, with repeats."""
+    return F.filter(tokens(text), lambda t: F.length(t) >= 2)
+
+
 def token_set(text) -> Column:
     return F.array_distinct(tokens(text))
 
@@ -96,6 +102,30 @@ def indent_complexity(text, tab: int = 4, limit: int = 1_000_000) -> Column:
     return f(_c(text))
 
 
+def _ambiguous(items, repeated: bool) -> bool:
+    """Whether anything that is repeated without bound holds another repetition or option, or choices that begin alike: such patterns may backtrack
+    without end. Stricter than need be; what it refuses is replaced by a default."""
+    for op, args in items:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = args
+            if (repeated and low != high) or _ambiguous(inner, repeated or high >= 32):
+                return True
+        elif name == "BRANCH":
+            firsts = [(str(c[0][0]), c[0][1]) if len(c) else None for c in args[1]]
+            if repeated and (None in firsts or any(f[0] != "LITERAL" for f in firsts) or len(set(firsts)) < len(firsts)):
+                return True
+            if any(_ambiguous(c, repeated) for c in args[1]):
+                return True
+        elif name in ("SUBPATTERN", "ATOMIC_GROUP", "POSSESSIVE_REPEAT"):
+            if _ambiguous(args[-1], repeated and name == "SUBPATTERN"):
+                return True
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            if _ambiguous(args[1], repeated):
+                return True
+    return False
+
+
 def safe_pattern(pattern: str | None, default: str) -> str:
     """The caller's pattern, or the default with a warning: too long, not valid, or prone to endless backtracking."""
     if not pattern:
@@ -103,12 +133,11 @@ def safe_pattern(pattern: str | None, default: str) -> str:
     why = None
     if len(pattern) > MAX_PATTERN:
         why = f"longer than {MAX_PATTERN} characters"
-    elif re.search(r"\((?:[^()\\]|\\.)*[+*](?:[^()\\]|\\.)*\)(?:[+*]|\{\d+,)", pattern):
-        why = "a repeated group that repeats inside"
     else:
         try:
-            re.compile(pattern)
-        except re.error as e:
+            if _ambiguous(parser.parse(pattern), False):
+                why = "a repeated group that can match the same text in several ways"
+        except (re.error, OverflowError, RecursionError) as e:
             why = str(e)
     if why:
         warnings.warn(f"pattern not used: {why}", stacklevel=2)

@@ -6,11 +6,13 @@ until a set's size is known, and only sets within ``max_files`` become arrays.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodelens.functions import paths, text
-from lodelens.operators.ordered import numbered_runs
+from lodelens.operators.ordered import numbered_runs, previous_rows
 
 # Default patterns.
 TICKET = r"([A-Z][A-Z0-9]+-\d+|#[0-9]+)"
@@ -46,7 +48,8 @@ def change_ids(commits: DataFrame, group_by: str = "commit", ticket_regex: str |
     c = distinct_commits(commits)
     mode = {"pr": "merge"}.get(group_by, group_by)
     if mode == "ticket":
-        found = F.regexp_extract("message", text.safe_pattern(ticket_regex, TICKET), 0)
+        pattern = text.safe_pattern(ticket_regex, TICKET)
+        found = F.regexp_extract("message", pattern, ticket_group(pattern))
         return c.withColumn("change", F.when(found != "", found).otherwise(F.col("commit")))
     if mode == "window":
         gap = int(max(0.0, window_hours) * 3600)
@@ -67,6 +70,12 @@ def change_ids(commits: DataFrame, group_by: str = "commit", ticket_regex: str |
     return c.withColumn("change", F.col("commit"))
 
 
+def ticket_group(pattern: str) -> int:
+    """The group of a pattern that holds the ticket: the one named so, else the first, else the whole match."""
+    compiled = re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern))
+    return compiled.groupindex.get("ticket") or min(1, compiled.groups)
+
+
 def change_files(ids: DataFrame) -> DataFrame:
     """(project_id, change, path, lines): merges list no paths; numbers below zero are zero."""
     e = ids.where("n_parents <= 1").select("project_id", "change", F.explode("paths").alias("p"))
@@ -160,7 +169,7 @@ def attribution_counts(attributions: DataFrame) -> DataFrame:
 
 
 def defects(attributions: DataFrame) -> DataFrame:
-    """Per path: introducing lines, distinct introducers and fixes, sorted introducers."""
+    """Per path: introducing lines, distinct introducers and fixes; :func:`introducers` lists them."""
     a = attributions.withColumn("path", paths.plain("path")).where("path <> '' AND fix_commit <> '' AND introducing_commit <> ''")
     keys = [k for k in ("project_id",) if k in a.columns]
     return a.groupBy(*keys, "path").agg(
@@ -170,6 +179,45 @@ def defects(attributions: DataFrame) -> DataFrame:
     )
 
 
+def introducers(attributions: DataFrame, limit: int = 20) -> DataFrame:
+    """(project_id, path, introducing_commit, lines, fixes, rank): the ``limit`` first introducers of each path, by most lines, then by commit."""
+    a = attributions.withColumn("path", paths.plain("path")).where("path <> '' AND fix_commit <> '' AND introducing_commit <> ''")
+    g = a.groupBy("project_id", "path", "introducing_commit").agg(
+        F.sum(F.greatest(F.coalesce("lines", F.lit(1)), F.lit(1)).cast("long")).alias("lines"), F.count_distinct("fix_commit").alias("fixes")
+    )
+    w = Window.partitionBy("project_id", "path").orderBy(F.desc("lines"), "introducing_commit")
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def staleness(commits: DataFrame, runs: DataFrame) -> DataFrame:
+    """(project_id, indexed_at, commits_since, newest_commit_ts, git_stale): what happened since the last succeeded run finished (epoch seconds).
+
+    Projects without a succeeded run have no ``indexed_at`` and are stale if they have commits.
+    """
+    done = F.lower(F.trim("status")) == "succeeded"
+    last = runs.where(done).groupBy("project_id").agg(F.max(F.floor(F.unix_micros(F.coalesce("finished_at", "started_at", "logged_at")) / 1_000_000)).cast("long").alias("indexed_at"))
+    c = distinct_commits(commits).select("project_id", "commit", "ts")
+    j = _left(c, last, ["project_id"], ["indexed_at"])
+    since = F.when(F.col("indexed_at").isNull() | (F.col("ts") > F.col("indexed_at")), 1).otherwise(0)
+    g = j.groupBy("project_id").agg(F.max("indexed_at").alias("indexed_at"), F.sum(since).alias("commits_since"), F.max("ts").alias("newest_commit_ts"))
+    return g.withColumn("git_stale", F.col("commits_since") > 0)
+
+
+def mapped(files: DataFrame, spots: DataFrame, depth: int = 1) -> DataFrame:
+    """The directory map with history: files and chunks of the catalogue, and changes, churn, defects and hotspots of the same paths.
+
+    ``files`` has project_id, path, chunks; ``spots`` are :func:`hotspots`. Paths with history but no file count as changed, not as files.
+    """
+    f = files.select("project_id", "path", "chunks").withColumn("there", F.lit(1))
+    j = f.join(spots, ["project_id", "path"], "full_outer").withColumn("dir", paths.directory_at("path", depth))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    hot = F.when(F.col("quadrant") == "high_churn_high_complexity", 1)
+    return j.groupBy("project_id", "dir").agg(
+        n("there").alias("files"), n("chunks").alias("chunks"), n("changes").alias("changes"), n("churn_lines").alias("churn_lines"),
+        n("defect_introducing_commits").alias("defects"), n(hot).alias("hotspots"), F.max("last_touched_ts").alias("last_touched_ts"),
+    )
+
+
 def previous_touch(commits: DataFrame, fix_regex: str | None = None) -> DataFrame:
     """Attributions without blame: to each file of a fix the last commit before it that touched the file, with its deleted lines.
 
@@ -179,11 +227,9 @@ def previous_touch(commits: DataFrame, fix_regex: str | None = None) -> DataFram
     e = c.where("n_parents <= 1").select("project_id", "commit", "ts", "n_parents", "message", F.explode("paths").alias("p"))
     e = e.select("project_id", "commit", "ts", (F.col("message").rlike(text.safe_pattern(fix_regex, FIX)) & (F.col("n_parents") == 1)).alias("is_fix"), paths.plain("p.path").alias("path"), F.coalesce("p.deleted", F.lit(0)).alias("deleted"))
     e = e.where("path <> ''").groupBy("project_id", "path", "commit", "ts", "is_fix").agg(F.sum("deleted").alias("deleted"))
-    runs = numbered_runs(e, ["project_id", "path"], "ts", ["commit"], lambda b, r: F.lit(True), ["commit"])
-    a, b = runs.alias("a"), runs.alias("b")
-    on = [F.col("a.project_id").eqNullSafe(F.col("b.project_id")), F.col("a.path") == F.col("b.path"), F.col("a.run") == F.col("b.run") + 1]
-    return a.where("is_fix").join(b, on).select(
-        "a.project_id", F.col("a.commit").alias("fix_commit"), F.col("b.commit").alias("introducing_commit"), "a.path", F.greatest("a.deleted", F.lit(1)).cast("int").alias("lines")
+    before = previous_rows(e, ["project_id", "path"], "ts", ["commit"], ["commit"])
+    return before.where("is_fix AND before IS NOT NULL").select(
+        "project_id", F.col("commit").alias("fix_commit"), F.col("before.commit").alias("introducing_commit"), "path", F.greatest("deleted", F.lit(1)).cast("int").alias("lines")
     )
 
 

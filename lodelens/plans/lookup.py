@@ -20,26 +20,53 @@ def definitions(chunks: DataFrame, name: str, k: int = 20) -> DataFrame:
     return rows.orderBy("rel_path", F.col("start_line").asc_nulls_first(), "chunk_id", "project_id").limit(k)
 
 
-def suggestions(chunks: DataFrame, name: str, k: int = 8, at_least: float = 0.45) -> DataFrame:
-    """Symbols like the name: matching-block ratio, more for a common beginning or containment; best first."""
+# What a symbol's likeness gains where the name begins it, stands in it, or stands in its last part; the least that counts.
+BEGINS, CONTAINS, IN_LEAF, LEAST = 0.45, 0.30, 0.20, 0.45
+
+
+def likeness(needle: str, symbol: str) -> float:
+    """Ratio of matching blocks, letter case aside, and more for a common beginning or containment; not yet cut at 1."""
+    low = symbol.lower()
+    leaf = low.rpartition(".")[2]
+    gains = ((leaf.startswith(needle) or low.startswith(needle), BEGINS), (needle in low, CONTAINS), (needle in leaf, IN_LEAF))
+    return SequenceMatcher(None, needle, low).ratio() + next((g for holds, g in gains if holds), 0.0)
+
+
+def suggestions(chunks: DataFrame, name: str, k: int = 8, at_least: float = LEAST) -> DataFrame:
+    """(symbol, score): symbols like the name, best first, then by symbol; scores are cut at 1."""
     needle = name.lower()
     symbols = chunks.where("symbol IS NOT NULL AND symbol <> ''").select("symbol").distinct()
 
     def score(batches):
         for pdf in batches:
-            def one(s: str) -> float:
-                low, leaf = s.lower(), s.lower().rsplit(".", 1)[-1]
-                r = max(SequenceMatcher(None, needle, low).ratio(), SequenceMatcher(None, needle, leaf).ratio())
-                if leaf.startswith(needle) or low.startswith(needle):
-                    r += 0.45
-                elif needle in low:
-                    r += 0.30
-                return round(r, 6)
+            yield pd.DataFrame({"symbol": pdf["symbol"], "raw": pdf["symbol"].map(lambda s: likeness(needle, s)).astype("float64")})
+
+    scored = symbols.mapInPandas(score, "symbol string, raw double").where(F.col("raw") >= at_least)
+    return scored.orderBy(F.desc("raw"), "symbol").limit(k).select("symbol", F.round(F.least("raw", F.lit(1.0)), 3).alias("score"))
+
+
+def find_definition(chunks: DataFrame, name: str, k: int = 20) -> tuple[DataFrame, DataFrame | None]:
+    """Definitions of a name; if there are none, symbols like it as well."""
+    if not name or not name.strip():
+        raise ValueError("a name is needed")
+    found = definitions(chunks, name, k)
+    return found, (suggestions(chunks, name) if found.isEmpty() else None)
+
+
+def symbol_inventory(chunks: DataFrame) -> DataFrame:
+    """(project_id, symbol, symbol_kind, n_chunks, n_files) of all symbols."""
+    c = chunks.where("symbol <> ''").groupBy("project_id", "symbol", F.lower(F.coalesce("symbol_kind", F.lit(""))).alias("symbol_kind"))
+    return c.agg(F.count_distinct("chunk_id").alias("n_chunks"), F.count_distinct("rel_path").alias("n_files"))
 
-            yield pd.DataFrame({"symbol": pdf["symbol"], "score": pdf["symbol"].map(one)})
 
-    scored = symbols.mapInPandas(score, "symbol string, score double")
-    return scored.where(F.col("score") >= at_least).orderBy(F.desc("score"), "symbol").limit(k)
+def get_chunks(chunks: DataFrame, wanted: DataFrame, window: int = 1) -> DataFrame:
+    """The wanted chunks (project_id, chunk_id) with their parent and, in order, their neighbours (id and relative position)."""
+    ids = ["project_id", "chunk_id"]
+    c = chunks.join(wanted.select(*ids).distinct(), ids, "left_semi")
+    paths = c.select("project_id", "rel_path").distinct()
+    there = chunks.join(paths, ["project_id", "rel_path"], "left_semi")
+    near = neighbours(there, c, window).groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("relative_position", "neighbour_id"))).alias("neighbours"))
+    return c.join(parents(there), ids, "left").join(near, ids, "left")
 
 
 def with_positions(chunks: DataFrame) -> DataFrame:
@@ -68,17 +95,44 @@ def parents(chunks: DataFrame) -> DataFrame:
     return j.groupBy("project_id", "chunk_id").agg(F.min(F.struct("parent_line", "parent_id")).alias("p")).select("project_id", "chunk_id", "p.parent_id")
 
 
-def grep(chunks: DataFrame, pattern: str, ignore_case: bool = False, default: str = r"(?!)") -> DataFrame:
-    """Per project and path: matching lines and their distinct numbers' count, first and last; most matches first.
+def grep_lines(chunks: DataFrame, pattern: str, ignore_case: bool = False, default: str = r"(?!)") -> DataFrame:
+    """(project_id, rel_path, line_no, line, n): every line with a match once, and its matches.
 
-    Lines end at ``\\n``; a chunk's first line is its start_line, or 1. A pattern that isn't safe matches nothing.
+    Lines end at ``\\n``; a chunk's first line is its start_line, or 1; a line that stands in several chunks counts once (of differing ones the
+    greatest). A pattern that isn't safe matches nothing.
     """
     p = ("(?i)" if ignore_case else "") + text.safe_pattern(pattern, default)
     rows = chunks.where(F.col("text").rlike(p)).select(
         "project_id", "rel_path", F.coalesce("start_line", F.lit(1)).alias("first"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line")
     )
-    hits = rows.withColumn("n", F.regexp_count("line", F.lit(p))).where("n > 0")
-    return hits.groupBy("project_id", "rel_path").agg(
-        F.sum("n").cast("long").alias("matches"), F.count_distinct(F.col("first") + F.col("i")).alias("lines"),
-        F.min(F.col("first") + F.col("i")).cast("long").alias("first_line"), F.max(F.col("first") + F.col("i")).cast("long").alias("last_line"),
+    hits = rows.withColumn("n", F.regexp_count("line", F.lit(p))).where("n > 0").withColumn("line_no", (F.col("first") + F.col("i")).cast("long"))
+    return hits.groupBy("project_id", "rel_path", "line_no").agg(F.max(F.struct("line", "n")).alias("r"), F.sum("n").alias("all")).select(
+        "project_id", "rel_path", "line_no", "r.line", F.col("r.n").cast("long").alias("n"), F.col("all").cast("long").alias("in_chunks")
+    )
+
+
+def grep(chunks: DataFrame, pattern: str, ignore_case: bool = False, default: str = r"(?!)") -> DataFrame:
+    """Per project and path: matches (in all chunks), and the number, first and last of the distinct lines with one."""
+    return grep_lines(chunks, pattern, ignore_case, default).groupBy("project_id", "rel_path").agg(
+        F.sum("in_chunks").alias("matches"), F.count("*").alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")
     )
+
+
+def grep_page(chunks: DataFrame, pattern: str, limit: int = 50, offset: int = 0, max_matches: int = 500, include_lines: bool = False, ignore_case: bool = False) -> DataFrame:
+    """One page of files, most matches first, then by path: matches, has_more, and their line numbers in order (with the lines, if asked for).
+
+    Of a file the first ``max_matches`` lines are listed.
+    """
+    lines = grep_lines(chunks, pattern, ignore_case)
+    files = lines.groupBy("project_id", "rel_path").agg(F.sum("in_chunks").alias("matches"), F.count("*").alias("n_lines"))
+    limit, offset = max(1, min(int(limit), 500)), max(0, int(offset))
+    order = [F.desc("matches"), F.col("rel_path"), F.col("project_id")]
+    page = files.orderBy(*order).offset(offset).limit(limit + 1)
+    page = page.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # of one page's rows
+    more = page.select(F.max("place").alias("_n"))
+    page = page.where(F.col("place") <= limit).join(F.broadcast(more)).withColumn("has_more", F.col("_n") > limit).drop("_n")
+    w = Window.partitionBy("project_id", "rel_path").orderBy("line_no")
+    listed = lines.join(F.broadcast(page.select("project_id", "rel_path")), ["project_id", "rel_path"], "left_semi").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_matches)
+    what = F.struct("line_no", *(["line"] if include_lines else []))
+    listed = listed.groupBy("project_id", "rel_path").agg(F.array_sort(F.collect_list(what)).alias("listed"))
+    return page.join(listed, ["project_id", "rel_path"])

@@ -67,3 +67,23 @@ def test_lookups(spark):
     g = L.grep(c.distinct(), r"retry\(").collect()
     assert [(r.rel_path, r.matches, r.lines, r.first_line) for r in g] == [("src/app.py", 3, 2, 2)]
     assert L.grep(c, "(a+)+$").count() == 0
+
+
+def test_suggestions_pages_of_grep_and_context(spark):
+    assert L.likeness("ru", "A.run") == 2 * 2 / 7 + L.BEGINS and L.likeness("un", "A.run") == 2 * 2 / 7 + L.CONTAINS
+    c = chunks(spark).distinct()
+    assert [(r.symbol, r.score) for r in L.suggestions(c, "A.run").collect()][0] == ("A.run", 1.0)
+    found, like = L.find_definition(c, "run")
+    assert like is None and found.count() == 1 and L.find_definition(c, "rum")[1].first().symbol == "A.run"
+    r = L.grep_page(c, r"retry\(", limit=1, include_lines=True, max_matches=1).first()
+    assert (r.rel_path, r.matches, r.has_more, [(x.line_no, x.line) for x in r.listed]) == ("src/app.py", 3, False, [(2, "  retry(1)")])
+    assert L.grep_page(c, "nothing at all").count() == 0
+    got = {r.chunk_id: r for r in L.get_chunks(c, c.where("chunk_id = '2'")).collect()}
+    assert got["2"].parent_id == "1" and [n.neighbour_id for n in got["2"].neighbours] == ["1"] and len(got) == 1
+    assert {(r.symbol, r.n_chunks) for r in L.symbol_inventory(c).collect()} == {("A", 1), ("A.run", 1), ("t", 1)}
+
+
+def test_repeated_rows_with_texts(spark):
+    rows = [("p", "1", "x" * 9), ("p", "1", "x" * 9), ("p", "1", "y"), ("p", "2", None), ("p", "2", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "project_id string, chunk_id string, text string")
+    assert sorted(map(str, C.distinct_chunks(df, "project_id", "chunk_id", "text").collect())) == sorted(map(str, df.distinct().collect()))

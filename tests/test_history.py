@@ -61,7 +61,7 @@ def test_merge_groups_and_defects(spark):
 def test_unsafe_patterns_fall_back(spark):
     from lodelens.functions.text import safe_pattern
 
-    for bad in ("[", "(a+)+$", "x" * 600):
+    for bad in ("[", "(a+)+$", "x" * 600, "(a|aa)+$", "(a?)*b", "(.*)*", "(\\w+\\s?)*$"):
         with pytest.warns(UserWarning):
             assert safe_pattern(bad, "d") == "d"
     assert safe_pattern("(?P<t>a)", "d") == "(?<t>a)"
@@ -71,3 +71,43 @@ def test_empty_history(spark):
     c = commits(spark, [])
     for mode in ("commit", "ticket", "window", "merge"):
         assert H.cochange(H.kept_files(H.change_ids(c, mode))).count() == 0
+
+
+def test_ticket_groups_and_introducers(spark):
+    c = commits(spark, [("c1", ["x"], 1, "a", "[AB-1] (7) one", [("a", 1, 0)]), ("c2", ["x"], 2, "a", "none", [("a", 1, 0)])])
+    ids = lambda p: sorted(r.change for r in H.change_ids(c, "ticket", p).collect())
+    assert ids(r"\[([A-Z]+-\d+)\]") == ["AB-1", "c2"] and ids(r"\[([A-Z]+)-\d+\] \((?P<ticket>\d+)\)") == ["7", "c2"] and ids(r"[A-Z]+-\d+") == ["AB-1", "c2"]
+    a = spark.createDataFrame([("p", "f1", "i2", "x", 1), ("p", "f2", "i1", "x", 1), ("p", "f3", "i3", "x", 5)], "project_id string, fix_commit string, introducing_commit string, path string, lines int")
+    assert [(r.introducing_commit, r["rank"]) for r in H.introducers(a, 2).orderBy("rank").collect()] == [("i3", 1), ("i1", 2)]
+
+
+def test_many_rows_of_one_time_are_several_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from lodelens.operators.ordered import numbered_runs, previous_rows
+
+    rows = [("k", 0, f"{(i * 37) % 997:03x}é", i % 5) for i in range(300)] + [("k", t, f"c{t}", 1) for t in (-3, 5, 9)] + [(None, 0, "z", 1)]
+    df = spark.createDataFrame(rows, "k string, t long, id string, v int").dropDuplicates(["k", "id"])
+    every = sorted((r for r in df.where("k = 'k'").collect()), key=lambda r: (r.t, r.id.encode()))
+    got = {r.id: r.before.id if r.before else None for r in previous_rows(df, ["k"], "t", ["id"], ["id"], ranges=8).where("k = 'k'").collect()}
+    assert got == {b.id: a.id if a else None for a, b in zip([None, *every], every)}
+    runs = {r.id: r.run for r in numbered_runs(df, ["k"], "t", ["id"], lambda b, r: b["v"] != r["v"], ["v"], ranges=8).where("k = 'k'").collect()}
+    want, n, before = {}, 0, None
+    for r in every:
+        n += before is None or before != r.v
+        want[r.id], before = n, r.v
+    assert runs == want
+
+
+def test_staleness_and_the_map_with_history(spark):
+    import datetime
+
+    c = commits(spark, [("a", ["x"], 100, "u", "", [("d/f", 1, 0)]), ("b", ["x"], 200, "u", "", [("d/f", 1, 0)])])
+    at = lambda s: datetime.datetime.fromtimestamp(s, datetime.timezone.utc)
+    runs = spark.createDataFrame([("p", "Succeeded", None, at(150), at(150)), ("p", "failed", None, at(300), at(300))], "project_id string, status string, started_at timestamp, finished_at timestamp, logged_at timestamp")
+    r = H.staleness(c, runs).first()
+    assert (r.indexed_at, r.commits_since, r.newest_commit_ts, r.git_stale) == (150, 1, 200, True)
+    assert H.staleness(c, runs.where("false")).first().commits_since == 2
+    files = spark.createDataFrame([("p", "d/f", 1, 1, 10.0), ("p", "e/g", 2, 1, 1.0)], "project_id string, path string, chunks long, symbols long, indent_complexity double")
+    m = {x.dir: (x.files, x.chunks, x.changes, x.hotspots) for x in H.mapped(files, H.hotspots(H.churn(H.kept_files(H.change_ids(c))), files)).collect()}
+    assert m == {"d": (1, 1, 2, 1), "e": (1, 2, 0, 0)}

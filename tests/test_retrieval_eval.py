@@ -68,6 +68,124 @@ def test_cache_and_store(spark, tmp_path):
     assert store.upsert(rows.where("chunk_id = '1'").withColumn("content", F.lit("new")).withColumn("more", F.lit(1)), rows.select("rel_path").where("rel_path = 'b.py'")) == 1
     assert store.chunks().first().content == "new" and store.health(store.chunks()) == [] and store.postings().where("term = 'new'").count() == 1
     store.create(rows)
-    assert store.reclaim(dry_run=True) == ["chunks_g1", "postings_g1"] and store.storage()["active"] > 0
+    assert store.reclaim(dry_run=True) == []  # the version before still has buckets of the first
+    store.create(rows)
+    old = store.reclaim(dry_run=True)
+    assert [n.split("-")[0] for n in old] == ["chunks_g1", "chunks_g2", "postings_g1", "postings_g2"] and store.storage()["active"] > 0
     store.reclaim()
-    assert store.delete_paths(rows.select("rel_path").limit(0)) == 2
+    assert store.delete_paths(rows.select("rel_path").limit(0)) == 2 and store.count() == 2
+
+
+ROW = "chunk_id string, rel_path string, language string, symbol string, content string"
+
+
+def test_store_touches_only_the_buckets_it_must(spark, tmp_path):
+    store = Y.ChunkStore(spark, str(tmp_path / "s"), buckets=8)
+    rows = spark.createDataFrame([(str(i), f"f{i}.py", "python", None, f"word{i}") for i in range(24)], ROW)
+    store.create(rows)
+    before = store.head()["chunks"]
+    assert store.upsert(rows.where("chunk_id = '3'").withColumn("content", F.lit("other")), rows.select("rel_path").where("false")) == 24
+    after = store.head()["chunks"]
+    assert sum(before[b] != after[b] for b in before) == 1 and store.chunks().where("content = 'other'").count() == 1
+    assert store.postings().where("term = 'word3'").count() == 0 and store.postings().where("term = 'word4'").count() == 1
+    assert store.add(rows.where("chunk_id = '4'").withColumn("chunk_id", F.lit("4b"))) == 25 and store.health() == []
+    with pytest.raises(PermissionError):
+        Y.ChunkStore(spark, store.folder, read_only=True).create(rows)
+    store.drop()
+    assert store.head() is None and store.count() == 0
+
+
+def test_catalogue_refusal_text_index_failure_and_health(spark, tmp_path, monkeypatch):
+    store = Y.ChunkStore(spark, str(tmp_path / "s"), buckets=2)
+    rows = spark.createDataFrame([("1", "a.py", "python", None, "def a"), ("2", "b.py", "python", "b", "def b")], ROW)
+    store.create(rows, model="m1", git={"commit": "c1"})
+    files = lambda n: spark.createDataFrame([("p", "a.py", n)], "project_id string, path string, chunks long")
+    with pytest.raises(ValueError):
+        store.write_catalog(files(1))
+    store.write_catalog(files(2))
+    assert store.catalog().count() == 1 and store.health(root=str(tmp_path), model="m1", git={"commit": "c1"}) == []
+    scan = spark.createDataFrame([("a.py", "h", 1, 1)], "rel_path string, hash string, mtime_ns long, size long")
+    assert store.health(root=str(tmp_path / "none"), model="m2", git={"commit": "c2"}, files=scan, scan=scan.withColumn("hash", F.lit("x"))) == ["root_missing", "model_drift", "git_stale", "index_stale"]
+    with monkeypatch.context() as m:
+        m.setattr(R, "postings", lambda *a: (_ for _ in ()).throw(OSError("no index")))
+        with pytest.warns(UserWarning):
+            store.upsert(rows, rows.select("rel_path"))
+    assert store.health() == ["text_index_missing", "catalog_stale"] and store.chunks().count() == 2
+    with pytest.raises(LookupError):
+        store.postings()
+
+
+def test_one_file_again_and_paths_that_escape(spark, tmp_path):
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "a.py").write_text("def a():\n    return 1\n")
+    (tmp_path / "secret.py").write_text("x = 1\n")
+    (root / "link.py").symlink_to(tmp_path / "secret.py")
+    store = Y.ChunkStore(spark, str(tmp_path / "s"), buckets=2)
+    store.create(spark.createDataFrame([("1", "b.py", "python", None, "def b")], ROW))
+    assert store.reindex_file(str(root), "a.py") == 2 and store.chunks().where("symbol = 'a'").count() == 1
+    (root / "a.py").unlink()
+    assert store.reindex_file(str(root), "./a.py") == 1
+    for bad in ("../secret.py", "/etc/passwd", "link.py", "x/../../secret.py", "", "."):
+        with pytest.raises(ValueError):
+            store.reindex_file(str(root), bad)
+
+
+def test_projects_orphans_and_cache_put(spark, tmp_path):
+    home = str(tmp_path / "home")
+    rows = spark.createDataFrame([("1", "a.py", "python", None, "x")], ROW)
+    for n in ("live", "gone"):
+        Y.ChunkStore(spark, f"{home}/{n}", buckets=1).create(rows)
+    (tmp_path / "home" / "half").mkdir()
+    roots = {"live": str(tmp_path), "gone": str(tmp_path / "nowhere")}
+    assert Y.orphans(spark, home, roots) == ["gone", "half"] and Y.orphans(spark, home, roots, remove=True) == ["gone", "half"]
+    assert Y.orphans(spark, home, roots) == [] and Y.remove_project(spark, home, "live") and not Y.remove_project(spark, home, "live")
+    with pytest.raises(ValueError):
+        Y.remove_project(spark, home, "..")
+    c = spark.createDataFrame([("a", 2, [1.0, 2.0], 5.0)], "h string, dim int, vec array<float>, last_used_at double")
+    new = spark.createDataFrame([("a", 2, [3.0, 4.0]), ("b", 2, [1.0]), ("c", 1, [float("nan")]), (None, 1, [1.0]), ("d", 1, None), ("e", 1, [7.0])], "h string, dim int, vec array<float>")
+    got = {r.h: (r.vec, r.last_used_at) for r in Y.cache_put(c, new, 9.0).collect()}
+    assert got == {"a": ([3.0, 4.0], 9.0), "e": ([7.0], 9.0)}
+
+
+def test_many_queries_take_the_blocked_way(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, [rnd.choice((0.0, 1.0, 2.0)) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [1.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    few, many = ({(r.query_id, r.vec_id, r["rank"], r.distance) for r in R.nearest_batch(e, q, 4, block=b).collect()} for b in (512, 7))
+    want = set()
+    for i, x in rows[:60:2]:
+        best = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), j) for j, y in rows[:60])[:4]
+        want |= {(i, j, n + 1, d) for n, (d, j) in enumerate(best)}
+    assert few == many == want
+
+
+def test_previews_reasons_hints_and_reranking(spark):
+    docs = spark.createDataFrame([("p", "1", "a.py", "python", "walkTree", "executable", "walk the tree of files"), ("p", "2", "b.py", "python", "parse", None, "parse a query")],
+                                 "project_id string, chunk_id string, rel_path string, language string, symbol string, chunk_role string, search_text string")
+    qs = spark.createDataFrame([(1, "walkTree"), (2, "parse the query please")], "query_id long, query string")
+    hits = R.search(docs, qs, k=2)
+    got = {(r.query_id, r.chunk_id): r for r in hits.collect()}
+    assert got[1, "1"].matched_in == ["symbol", "content"] and got[2, "2"].matched_in == ["symbol", "content"]
+    back = R.search(docs, qs, k=2, reranker=lambda h: h.withColumn("rerank_score", F.when(F.col("search_text").contains("tree"), -5.0).otherwise(5.0)))
+    assert {r.query_id: r.chunk_id for r in back.where("rank = 1").collect()} == {1: "2", 2: "2"}
+    t = spark.createDataFrame([("\n first line\nsome retry here\n", "retry"), ("\n\n only\nthis", "none"), (None, "x"), ("y" * 300, "z")], "c string, q string")
+    assert [r[0] for r in t.select(R.preview("c", "q")).collect()] == ["some retry here", "only", "", "y" * 159 + "…"]
+    none = R.hints(hits.where("false"), qs).collect()
+    assert {(r.query_id, r.n_hits, r.hint) for r in none} == {(1, 0, "no_hits"), (2, 0, "no_hits")}
+
+
+def test_baseline_is_saved_and_cases_are_made(spark, tmp_path):
+    c = spark.createDataFrame([("p", str(i), f"d/{i % 3}.py", f"sym{i}", None if i % 2 else "Python") for i in range(40)], "project_id string, chunk_id string, rel_path string, symbol string, language string")
+    cases = E.starter_cases(c, 1)
+    assert cases.count() == 40 and {tuple(r.distractor_paths) for r in cases.where("expected_path = 'd/1.py'").collect()} == {("d/0.py", "d/2.py")}
+    hits = cases.select("query_id", F.lit(1).alias("rank"), F.col("expected_path").alias("rel_path"), F.col("expected_symbol").alias("symbol"))
+    report = E.run(cases, hits, ["category"])
+    E.save_baseline(str(tmp_path / "base.json"), report)
+    base = E.load_baseline(spark, str(tmp_path / "base.json"))
+    assert base.exceptAll(report.select(*base.columns)).isEmpty() and E.gate(base, report).where("NOT passed").isEmpty()
+    with pytest.raises(FileNotFoundError):
+        E.load_baseline(spark, str(tmp_path / "none.json"))
