@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodelens import shared
@@ -116,10 +116,7 @@ class PairCounts:
     def _write(self, table: str, rows: DataFrame) -> dict:
         """A run of ``table``; its folders are buckets, a large one written by several tasks, small ones by one."""
         name = f"{table}-{uuid.uuid4().hex[:12]}"
-        seen = Observation()
-        counted = rows.hint("rebalance", "bucket").observe(seen, F.count(F.lit(1)).alias("n"))
-        counted.write.partitionBy("bucket").parquet(f"{self.folder}/{name}")
-        return {"name": name, "rows": seen.get["n"]}
+        return {"name": name, "rows": shared.write_buckets(rows, f"{self.folder}/{name}")}
 
     def _appended(self, table: str, runs: list[dict], run: dict) -> list[dict]:
         """The runs with one more; the last two are merged as long as the last has grown to the one before."""
