@@ -33,7 +33,7 @@ MAX_K = 4096
 OCCUPANCY = 16
 MIN_CELLS = 16
 CANDIDATES = 512
-UNIT = 4096
+UNIT = 16_384
 #: Pairs whose exact cosines are computed at once.
 PAIRS = 49_152
 #: Members above which a class is split, and into how many parts.
@@ -275,8 +275,10 @@ def _of_one_dim(base: DataFrame, dim: int, n: int, k: int, min_cosine: float, ca
         who, where = np.repeat(np.arange(len(q)), visits), np.concatenate(q["cells"].to_numpy())
         order = np.argsort(where, kind="stable")
         who, where = who[order], where[order]
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[np.argsort(names, kind="stable")] = np.arange(len(names))
         least = min_cosine - 2 * (dim + 4) * 2.0**-24  # the error of a float32 product of unit vectors, twice
-        out = []
+        found, held = [], 0
         for cell in np.unique(cells).tolist():
             a, b = np.searchsorted(cells, [cell, cell + 1])
             x, y = np.searchsorted(where, [cell, cell + 1])
@@ -288,11 +290,15 @@ def _of_one_dim(base: DataFrame, dim: int, n: int, k: int, min_cosine: float, ca
                     # cosines that differ by rounding only are equal
                     exact = np.round(np.einsum("ij,ij->i", mq[g], me[h]), 14)
                     good = (exact >= min_cosine) & (asking[g] != names[h])
-                    out.append(_best(pd.DataFrame({"g": g[good], "h": h[good], "cosine": exact[good]}), names, k))
-        if not out:
+                    found.append((g[good], h[good], exact[good]))
+                    held += len(found[-1][0])
+                    if held > 16 * PAIRS:
+                        found = [_best(found, rank, k)]
+                        held = len(found[0][0]) - k * len(q)  # what must be kept doesn't count
+        if not found:
             return empty
-        best = _best(pd.concat(out), names, k)
-        return pd.DataFrame({"cls": asking[best["g"]], "near": names[best["h"]], "cosine": best["cosine"]})
+        g, h, exact = _best(found, rank, k)
+        return pd.DataFrame({"cls": asking[g], "near": names[h], "cosine": exact})
 
     near = asks.groupBy("unit", "block").cogroup(entries.groupBy("unit", "block")).applyInPandas(
         rerank, "cls string, near string, cosine double"
@@ -300,10 +306,13 @@ def _of_one_dim(base: DataFrame, dim: int, n: int, k: int, min_cosine: float, ca
     return near.withColumn("dim", F.lit(dim))
 
 
-def _best(found: pd.DataFrame, names: np.ndarray, k: int) -> pd.DataFrame:
-    """Of each query's entries the ``k`` of greatest cosine, equal ones by key."""
-    found = found.assign(key=names[found["h"]]).sort_values(["g", "cosine", "key"], ascending=[True, False, True])
-    return found[found.groupby("g").cumcount() < k].drop(columns="key")
+def _best(found: list[tuple], rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query's (query, entry, cosine) the ``k`` of greatest cosine, equal ones by the rank of their keys."""
+    g, h, cosine = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((rank[h], -cosine, g))
+    g, h, cosine = g[order], h[order], cosine[order]
+    keep = np.arange(len(g)) - np.searchsorted(g, g) < k
+    return g[keep], h[keep], cosine[keep]
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, min_cosine: float = 0.8) -> DataFrame:

@@ -53,3 +53,21 @@ def test_hot_group_within_float32_error_is_exact(spark):
     for i in range(100):  # scaled copies are equally similar, so the keys rank them
         a, b, c = keys[i], keys[1200 + i], keys[1300 + i]
         assert [x[1] for x in sorted(got[a])[:2]] == sorted((b, c)) and [x[1] for x in sorted(got[b])[:2]] == sorted((a, c))
+
+
+def test_classes_above_the_limit_are_split_and_give_the_same(spark):
+    rnd = np.random.default_rng(5)
+    v = rnd.normal(size=(40, 8)).astype(np.float32)
+    v = np.concatenate([v, np.repeat(v[:1], 80, axis=0), v[1:2] * np.float32(3)])
+    df = spark.createDataFrame([(f"k{i:04d}", 8, x.tolist(), 0.0) for i, x in enumerate(v)], SCHEMA)
+    whole, split = ({(r.h, r.other, r["rank"]) for r in N.most_similar(df, hot=h).collect()} for h in (N.HOT, 20))
+    assert whole == split and len({h for h, _, _ in whole}) >= 82
+
+
+def test_tiles_keep_neighbours_together():
+    rnd = np.random.default_rng(6)
+    book = np.sort(rnd.normal(size=64))[:, None] * np.ones(4)
+    parts = N._tiles(book, 4)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(64)) and all(np.ptp(p) == len(p) - 1 for p in parts)
+    g, h, c = N._best([(np.array([0, 0, 1]), np.array([1, 2, 0]), np.array([0.9, 0.9, 0.8])), (np.array([0]), np.array([0]), np.array([0.95]))], np.array([2, 1, 0]), 2)
+    assert list(zip(g.tolist(), h.tolist())) == [(0, 0), (0, 2), (1, 0)]
