@@ -1,12 +1,13 @@
 """A tree of source files as a data source: ``spark.read.format("source_tree").load(root)``.
 
-Folders are pruned while listing; the top folders are partitions, so large trees are listed and read in parallel.
+Folders are pruned while listing; folders are partitions (option ``partitions``: how many at least), so large trees are listed and read in parallel.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from collections import deque
 from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,6 +16,7 @@ from lodelens.functions.paths import LANGUAGES
 from lodelens.sources.ignore import BINARY_ENDS, EXCLUDED_FOLDERS, Ignore
 
 MAX_BYTES = 2_000_000
+PARTITIONS = 64
 BY_END = {"." + e: lang for lang, ends in LANGUAGES.items() for e in ends}
 
 
@@ -64,14 +66,24 @@ class _Reader(DataSourceReader):
         self.root = str(options.get("path"))
         self.use_ignore = str(options.get("ignorefiles", "true")).lower() != "false"
         self.max_bytes = int(options.get("maxfilebytes", MAX_BYTES))
+        self.wanted = int(options.get("partitions", PARTITIONS))
 
     def partitions(self):
+        """Folders to walk as a whole, and folders of which only the files are left, as their subfolders are partitions of their own.
+
+        Folders are opened breadth first until there are enough, so a tree with all its files below one folder is divided too.
+        """
         ignore = Ignore(self.root, self.use_ignore)
-        tops = [
-            e.path for e in sorted(os.scandir(self.root), key=lambda e: e.name)
-            if e.is_dir() and not e.is_symlink() and e.name not in EXCLUDED_FOLDERS and not ignore.ignored(e.path, True)
-        ]
-        return [_Part(self.root, False), *[_Part(t, True) for t in tops]]
+        shallow, deep = [], deque([self.root])
+        while deep and len(deep) < self.wanted:
+            folder = deep.popleft()
+            with os.scandir(folder) as it:
+                below = sorted(
+                    e.path for e in it if e.is_dir() and not e.is_symlink() and e.name not in EXCLUDED_FOLDERS and not ignore.ignored(e.path, True)
+                )
+            shallow.append(folder)
+            deep.extend(below)
+        return [*[_Part(f, False) for f in shallow], *[_Part(f, True) for f in deep]]
 
     def read(self, part):
         ignore = Ignore(self.root, self.use_ignore)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodelens import shared
+
 COMMIT = "commit string, parents array<string>, ts bigint, author string, message string, paths array<struct<path: string, status: string, added: int, deleted: int, old_path: string>>"
 
 
@@ -19,14 +21,31 @@ def git(root: str, *args: str, timeout: int = 120) -> str:
     return got.stdout.decode("utf-8", "replace")
 
 
-def log(root: str, max_commits: int | None = None, rev_range: str | None = None, all_refs: bool = False):
-    """Commits newest first. Binary files count no lines, renames keep the old path; raw and numstat rows pair by place."""
+def blocks(root: str, *args: str, mark: bytes = b"\x1e"):
+    """What git writes, in pieces that begin with ``mark``, read as it comes."""
+    with subprocess.Popen(["git", "-c", "core.quotepath=off", "-C", root, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as run:
+        rest = b""
+        while more := run.stdout.read(1 << 16):
+            *done, rest = (rest + more).split(mark)
+            yield from (d.decode("utf-8", "replace") for d in done if d)
+        if rest:
+            yield rest.decode("utf-8", "replace")
+        said = run.stderr.read()
+    if run.returncode:
+        raise subprocess.CalledProcessError(run.returncode, ["git", *args], stderr=said)
+
+
+def _which(rev_range: str | None, all_refs: bool) -> list[str]:
+    return [*(["--all"] if all_refs else []), *([rev_range] if rev_range else [] if all_refs else ["HEAD"])]
+
+
+def log(root: str, max_commits: int | None = None, rev_range: str | None = None, all_refs: bool = False, skip: int = 0):
+    """Commits newest first, without the first ``skip``; read as git writes them. Binary files count no lines, renames keep the old path; raw and numstat rows pair by place."""
     args = ["log", "--date-order", "-M", "--raw", "--numstat", "-z", "--format=%x1e%H%x1f%P%x1f%ct%x1f%an%x1f%s%x1d"]
-    if max_commits:
+    if max_commits is not None:
         args.append(f"-n{max_commits}")
-    args += ["--all"] if all_refs else []
-    args += [rev_range] if rev_range else []
-    for block in git(root, *args).split("\x1e")[1:]:
+    args += [f"--skip={skip}", *_which(rev_range, all_refs)]
+    for block in blocks(root, *args):
         head, _, body = block.partition("\x1d")
         sha, parents, ts, author, message = head.split("\x1f", 4)
         cells = [x.lstrip("\n") for x in body.split("\0")]
@@ -57,12 +76,17 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.root, self.n = str(options.get("path")), options.get("maxcommits")
         self.range, self.all = options.get("range"), str(options.get("allrefs", "false")).lower() == "true"
+        self.step = int(options.get("commitsperpartition", 5000))
 
     def partitions(self):
-        return [InputPartition(0)]
+        """Ranges of the log, of ``commitsperpartition`` commits; only their number is asked for here."""
+        n = int(git(self.root, "rev-list", "--count", *_which(self.range, self.all)))
+        n = min(n, int(self.n)) if self.n else n
+        return [InputPartition((at, min(self.step, n - at))) for at in range(0, n, self.step)] or [InputPartition((0, 0))]
 
     def read(self, part):
-        yield from log(self.root, int(self.n) if self.n else None, self.range, self.all)
+        skip, n = part.value
+        yield from log(self.root, n, self.range, self.all, skip)
 
 
 class GitLog(DataSource):
@@ -126,5 +150,8 @@ def attributions(fixes: DataFrame, root: str, known: DataFrame | None = None) ->
             rows = [r for c in pdf["commit"] for r in blame_fix(root, c)]
             yield pd.DataFrame(rows, columns=["fix_commit", "introducing_commit", "path", "lines"])
 
-    found = todo.repartition(F.col("commit")).mapInPandas(run, schema)
+    # an explicit number: a fix costs seconds of blame though its row is small, and partitions would be joined by size
+    todo = shared.kept(todo, "fixes")
+    tasks = max(1, min(todo.count(), 4 * todo.sparkSession.sparkContext.defaultParallelism))
+    found = todo.repartition(tasks, "commit").mapInPandas(run, schema)
     return found if known is None else known.select("fix_commit", "introducing_commit", "path", "lines").unionByName(found)

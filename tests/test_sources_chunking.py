@@ -78,3 +78,52 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         process_new(spark.readStream.schema("id long").parquet(src), lambda b: b, out, cp).awaitTermination()
     assert spark.read.parquet(out).count() == 5
+
+
+def test_one_large_folder_is_divided(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / "src" / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / "src" / f"d{i}" / "e" / "a.py").write_text("x = 1\n")
+        (tmp_path / "src" / f"d{i}" / "b.py").write_text("x = 1\n")
+    files.register(spark)
+    want = sorted(f"src/d{i}/{n}" for i in range(6) for n in ("b.py", "e/a.py"))
+    for n in (1, 4, 64):
+        df = spark.read.format("source_tree").option("partitions", n).load(str(tmp_path))
+        assert sorted(r.rel_path for r in df.collect()) == want
+        assert n == 1 or df.rdd.getNumPartitions() >= n - 60
+
+
+def test_log_in_ranges(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=T", "-c", "user.email=t@t.test", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    run("init", "-q")
+    for i in range(7):
+        (tmp_path / "a").write_text(f"{i}\n")
+        run("add", ".")
+        run("commit", "-qm", f"m{i}")
+    files.register(spark)
+    read = lambda **o: sorted(r.message for r in spark.read.format("git_log").options(**o).load(str(tmp_path)).collect())
+    assert read(commitsperpartition=2) == read() == [f"m{i}" for i in range(7)]
+    assert read(commitsperpartition=2, maxcommits=3) == ["m4", "m5", "m6"] and read(range="HEAD~2..HEAD", commitsperpartition=1) == ["m5", "m6"]
+
+
+def test_go_groups():
+    go = "package x\n\nconst (\n\tA = 1\n\tB = 2\n)\n\nvar (\n\tc int\n)\n\nfunc F() {\n}\n"
+    assert [(c.symbol, c.symbol_kind, c.start_line, c.end_line) for c in K.chunk_text(go, "go")][1:] == [("A", "const_declaration", 3, 6), ("c", "var_declaration", 8, 10), ("F", "function_declaration", 12, 13)]
+
+
+def test_windows_against_a_plain_definition():
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(300):
+        lines = ["x" * rnd.choice((0, 1, 5, 9, 30)) for _ in range(rnd.randint(1, 12))]
+        limit, overlap = rnd.choice((10, 20)), rnd.choice((0, 3))
+        got = list(K.line_windows(lines, 1, None, "f", limit, overlap))
+        assert all(len(c.text) <= limit and c.text.strip() for c in got)
+        covered = {n for c in got for n in range(c.start_line, c.end_line + 1)}
+        assert {i + 1 for i, x in enumerate(lines) if x.strip()} <= covered
+        for a, b in zip(got, got[1:]):
+            if a.end_line < len(lines) and a.start_line < b.start_line and max(len(x) for x in lines[a.start_line - 1 : b.end_line]) <= limit:
+                # none could have been longer, and each begins as late as the overlap allows
+                assert len("\n".join(lines[a.start_line - 1 : a.end_line + 1])) > limit
+                assert b.start_line == a.start_line + 1 or sum(len(x) + 1 for x in lines[b.start_line : a.end_line]) < max(overlap, 1)
