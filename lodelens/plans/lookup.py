@@ -20,29 +20,76 @@ def definitions(chunks: DataFrame, name: str, k: int = 20) -> DataFrame:
     return rows.orderBy("rel_path", F.col("start_line").asc_nulls_first(), "chunk_id", "project_id").limit(k)
 
 
+def definitions_of(chunks: DataFrame, names: DataFrame, k: int = 20) -> DataFrame:
+    """:func:`definitions` for a table of names (query_id, name): the rows of ``chunks`` with query_id and rank, at most ``k`` a name.
+
+    A symbol is found under each of its dotted endings, so names meet symbols by an ordinary join.
+    """
+    parts = F.split("symbol", r"\.")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    named = chunks.where("symbol <> ''").withColumn("name", F.explode(F.array_distinct(endings)))
+    hit = named.join(names.where("name <> ''").select("query_id", "name").distinct(), "name")
+    weak = F.lower(F.coalesce("symbol_kind", F.lit(""))).isin("module", "file")
+    every = Window.partitionBy("query_id")
+    hit = hit.withColumn("_strong", F.max(~weak).over(every)).where(~weak | ~F.col("_strong")).drop("_strong")
+    w = every.orderBy("rel_path", F.col("start_line").asc_nulls_first(), "chunk_id", "project_id")
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("name")
+
+
 # What a symbol's likeness gains where the name begins it, stands in it, or stands in its last part; the least that counts.
 BEGINS, CONTAINS, IN_LEAF, LEAST = 0.45, 0.30, 0.20, 0.45
 
 
-def likeness(needle: str, symbol: str) -> float:
-    """Ratio of matching blocks, letter case aside, and more for a common beginning or containment; not yet cut at 1."""
-    low = symbol.lower()
+MAX_NAMES = 10_000
+
+
+def _gain(needle: str, low: str) -> float:
+    """What a symbol in lower case gains for a common beginning or containment."""
     leaf = low.rpartition(".")[2]
     gains = ((leaf.startswith(needle) or low.startswith(needle), BEGINS), (needle in low, CONTAINS), (needle in leaf, IN_LEAF))
-    return SequenceMatcher(None, needle, low).ratio() + next((g for holds, g in gains if holds), 0.0)
+    return next((g for holds, g in gains if holds), 0.0)
 
 
-def suggestions(chunks: DataFrame, name: str, k: int = 8, at_least: float = LEAST) -> DataFrame:
-    """(symbol, score): symbols like the name, best first, then by symbol; scores are cut at 1."""
-    needle = name.lower()
+def likeness(needle: str, symbol: str) -> float:
+    """Ratio of matching blocks, letter case aside, and the gain; not yet cut at 1."""
+    low = symbol.lower()
+    return SequenceMatcher(None, needle, low).ratio() + _gain(needle, low)
+
+
+def suggestions_of(chunks: DataFrame, names: DataFrame, k: int = 8, at_least: float = LEAST) -> DataFrame:
+    """(query_id, symbol, score, rank): for each name of a table (query_id, name) the symbols like it, best first, then by symbol; scores are cut at 1.
+
+    At most ``MAX_NAMES`` names. Symbols that can't be like enough, by the upper bounds of the ratio, are not measured.
+    """
+    rows = names.where("name <> ''").select("query_id", "name").distinct().limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names at once")
+    asked = [(r.query_id, r.name.lower()) for r in rows]
     symbols = chunks.where("symbol IS NOT NULL AND symbol <> ''").select("symbol").distinct()
 
     def score(batches):
         for pdf in batches:
-            yield pd.DataFrame({"symbol": pdf["symbol"], "raw": pdf["symbol"].map(lambda s: likeness(needle, s)).astype("float64")})
+            found = []
+            for s in pdf["symbol"]:
+                m = SequenceMatcher(None, "", s.lower())
+                for q, needle in asked:
+                    m.set_seq1(needle)
+                    gain = _gain(needle, s.lower())
+                    if m.real_quick_ratio() + gain >= at_least and m.quick_ratio() + gain >= at_least:
+                        found.append((q, s, m.ratio() + gain))
+            yield pd.DataFrame(found, columns=["query_id", "symbol", "raw"])
+
+    kind = names.schema["query_id"].dataType.simpleString()
+    scored = symbols.mapInPandas(score, f"query_id {kind}, symbol string, raw double").where(F.col("raw") >= at_least)
+    w = Window.partitionBy("query_id").orderBy(F.desc("raw"), "symbol")
+    scored = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.select("query_id", "symbol", F.round(F.least("raw", F.lit(1.0)), 3).alias("score"), "rank")
 
-    scored = symbols.mapInPandas(score, "symbol string, raw double").where(F.col("raw") >= at_least)
-    return scored.orderBy(F.desc("raw"), "symbol").limit(k).select("symbol", F.round(F.least("raw", F.lit(1.0)), 3).alias("score"))
+
+def suggestions(chunks: DataFrame, name: str, k: int = 8, at_least: float = LEAST) -> DataFrame:
+    """(symbol, score): :func:`suggestions_of` for one name."""
+    one = chunks.sparkSession.createDataFrame([(1, name)], "query_id int, name string")
+    return suggestions_of(chunks, one, k, at_least).orderBy("rank").select("symbol", "score")
 
 
 def find_definition(chunks: DataFrame, name: str, k: int = 20) -> tuple[DataFrame, DataFrame | None]:

@@ -468,17 +468,32 @@ def catalog_token(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- lookups --------------------------------------------------------------------------------------
-@query("""WITH m AS (SELECT DISTINCT project_id, chunk_id, rel_path, symbol, symbol_kind, start_line FROM chunks WHERE symbol = '__init__' OR ends_with(symbol, '.__init__')),
-k AS (SELECT *, lower(coalesce(symbol_kind, '')) IN ('module', 'file') AS weak FROM m WHERE symbol = '__init__' OR ends_with(symbol, '.__init__'))
-SELECT project_id, chunk_id, rel_path, symbol, symbol_kind FROM k WHERE NOT weak OR (SELECT count(*) FROM k WHERE NOT weak) = 0 ORDER BY rel_path, start_line NULLS FIRST, chunk_id, project_id LIMIT 20""")
+def _names(spark, d):
+    """The symbols that the cases whose id is divisible by 20 expect, and their last parts."""
+    e = table(spark, d, "eval_cases").where("item_id % 20 = 0 AND expected_symbol <> ''")
+    leaf = F.substring_index("expected_symbol", ".", -1)
+    return e.select(F.col("item_id").alias("query_id"), F.col("expected_symbol").alias("name")).unionByName(e.select((-F.col("item_id") - 1).alias("query_id"), leaf.alias("name")))
+
+
+@query(r"""WITH nm AS (SELECT item_id AS query_id, expected_symbol AS name FROM eval_cases WHERE item_id % 20 = 0 AND expected_symbol <> '' UNION ALL
+    SELECT -item_id - 1, regexp_extract(expected_symbol, '[^.]*$') FROM eval_cases WHERE item_id % 20 = 0 AND expected_symbol <> ''
+    UNION ALL SELECT 1000000000 + ('0x' || left(md5(symbol), 10))::BIGINT, regexp_extract(symbol, '[^.]*$') FROM (SELECT DISTINCT symbol FROM chunks WHERE symbol <> '' AND ('0x' || left(md5(symbol), 10))::BIGINT % 20 = 0)),
+m AS (SELECT query_id, c.*, lower(coalesce(symbol_kind, '')) IN ('module', 'file') AS weak FROM nm JOIN (SELECT DISTINCT project_id, chunk_id, rel_path, symbol, symbol_kind, start_line FROM chunks) c ON name <> '' AND (symbol = name OR ends_with(symbol, '.' || name))),
+k AS (SELECT *, bool_or(NOT weak) OVER (PARTITION BY query_id) AS strong FROM m)
+SELECT query_id, project_id, chunk_id, rel_path, symbol, symbol_kind, row_number() OVER (PARTITION BY query_id ORDER BY rel_path, start_line NULLS FIRST, chunk_id, project_id)::INT AS rank FROM k WHERE NOT weak OR NOT strong QUALIFY rank <= 20""")
 def find_definition(spark: SparkSession, d: str) -> DataFrame:
     c = catalog.distinct_chunks(table(spark, d, "chunks"), "project_id", "chunk_id", "rel_path", "symbol", "symbol_kind", "start_line")
-    return lookup.definitions(c, "__init__").select("project_id", "chunk_id", "rel_path", "symbol", "symbol_kind")
+    number = F.conv(F.left(F.md5("symbol"), F.lit(10)), 16, 10).cast("long")
+    more = table(spark, d, "chunks").where("symbol <> ''").select("symbol").distinct().where(number % 20 == 0)
+    names = _names(spark, d).unionByName(more.select((number + 1_000_000_000).alias("query_id"), F.substring_index("symbol", ".", -1).alias("name")))
+    return lookup.definitions_of(c, names).select("query_id", "project_id", "chunk_id", "rel_path", "symbol", "symbol_kind", "rank")
 
 
 @query()
 def symbol_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.suggestions(table(spark, d, "chunks"), "probe_nod")
+    """Names with their second character left out, as a typing error."""
+    wrong = _names(spark, d).withColumn("name", F.concat(F.substring("name", 1, 1), F.expr("substring(name, 3)")))
+    return lookup.suggestions_of(table(spark, d, "chunks"), wrong)
 
 
 @query(r"""WITH c AS (SELECT DISTINCT project_id, rel_path, chunk_id, symbol, coalesce(start_line, 0) AS line FROM chunks)

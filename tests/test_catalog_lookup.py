@@ -87,3 +87,15 @@ def test_repeated_rows_with_texts(spark):
     rows = [("p", "1", "x" * 9), ("p", "1", "x" * 9), ("p", "1", "y"), ("p", "2", None), ("p", "2", None), (None, None, None)]
     df = spark.createDataFrame(rows, "project_id string, chunk_id string, text string")
     assert sorted(map(str, C.distinct_chunks(df, "project_id", "chunk_id", "text").collect())) == sorted(map(str, df.distinct().collect()))
+
+
+def test_names_by_the_table(spark):
+    c = chunks(spark).distinct()
+    names = spark.createDataFrame([(1, "run"), (2, "A.run"), (3, "un"), (4, ""), (5, None), (6, "rum")], "query_id long, name string")
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in L.definitions_of(c, names).collect()} == {(1, "2", 1), (2, "2", 1)}
+    got = {}
+    for r in L.suggestions_of(c, names).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.symbol, r.score))
+    for q, n in ((1, "run"), (2, "A.run"), (3, "un"), (6, "rum")):
+        want = sorted(((-L.likeness(n.lower(), s), s) for s in ("A", "A.run", "t") if L.likeness(n.lower(), s) >= L.LEAST))
+        assert sorted(got.get(q, [])) == [(i + 1, s, round(min(-x, 1.0), 3)) for i, (x, s) in enumerate(want)]
