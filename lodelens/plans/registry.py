@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodelens.functions import chunking, paths, text
 from lodelens.operators import incremental
 from lodelens.plans import catalog, evaluation, history, lifecycle, lookup, retrieval
-from lodelens.shared import kept, table
+from lodelens.shared import kept, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -442,7 +442,8 @@ _CHUNKS = f"ck AS (SELECT *, {_BODY} AS body FROM (SELECT DISTINCT project_id, c
 
 def _chunks(spark, d):
     """Distinct chunks with the text that is searched."""
-    c = catalog.distinct_chunks(table(spark, d, "chunks"), "project_id", "chunk_id", "rel_path", "language", "symbol", "symbol_kind", "chunk_role", "start_line", "text")
+    columns = ["project_id", "chunk_id", "rel_path", "language", "symbol", "symbol_kind", "chunk_role", "start_line", "text"]
+    c = catalog.distinct_chunks(spread(table(spark, d, "chunks").select(*columns)), *columns)
     return c.withColumn("search_text", text.search_text("rel_path", "symbol", "language", "text"))
 
 
@@ -573,7 +574,7 @@ def _cases(spark, d):
 
 
 def _bm25(spark, d, k):
-    return retrieval.top(retrieval.text_hits(_chunks(spark, d), _cases(spark, d), ["project_id", "chunk_id"]), k, ["chunk_id", "project_id"])
+    return retrieval.top(retrieval.text_hits(kept(_chunks(spark, d), "chunks"), _cases(spark, d), ["project_id", "chunk_id"]), k, ["chunk_id", "project_id"])
 
 
 @query(f"WITH {_CASES}, " + _BM25.replace("{k}", "10") + " SELECT query_id, project_id, chunk_id, round(score, 6) AS score, rank FROM tp")
@@ -698,7 +699,7 @@ def _self_cases(spark, d):
 
 
 def _self_ranks(spark, d):
-    cases, c = _self_cases(spark, d), _chunks(spark, d)
+    cases, c = kept(_self_cases(spark, d), "cases"), kept(_chunks(spark, d), "chunks")
     ids = ["project_id", "chunk_id"]
     hits = retrieval.top(retrieval.text_hits(c, cases.select("query_id", "query"), ids), 10, ["chunk_id", "project_id"]).join(c.select(*ids, "rel_path", "symbol"), ids)
     return evaluation.ranks(cases, hits)

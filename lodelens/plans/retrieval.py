@@ -136,58 +136,55 @@ def hashed_vector(value, dims: int = 64) -> Column:
 
 
 # -- full text ------------------------------------------------------------------------------------
-def tokenised(docs: DataFrame, id_cols: list[str], body: str) -> DataFrame:
-    """(ids, dl, ts): the tokens of each row, taken once and kept; :func:`postings` and :func:`text_stats` read them."""
-    return shared.kept(docs.select(*id_cols, text.tokens(body).alias("ts")).select(*id_cols, F.size("ts").alias("dl"), "ts"), "tokens")
-
-
-def postings(docs: DataFrame, id_cols: list[str], body: str | None = None, terms: DataFrame | None = None) -> DataFrame:
-    """(ids, term, tf, dl): the inverted index as a table, of texts or of :func:`tokenised` rows; written once per generation.
+def postings(docs: DataFrame, id_cols: list[str], body: str, terms: DataFrame | None = None) -> DataFrame:
+    """(ids, term, tf, dl): the inverted index as a table; written once per generation.
 
     Of some ``terms`` only if given; tokens of no query then don't leave their task.
     """
-    t = docs if body is None else docs.select(*id_cols, text.tokens(body).alias("ts")).withColumn("dl", F.size("ts"))
-    t = t.select(*id_cols, "dl", F.explode("ts").alias("term"))
+    t = docs.select(*id_cols, text.tokens(body).alias("ts")).select(*id_cols, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     if terms is not None:
-        t = t.join(_small(terms.select("term").distinct()), "term", "left_semi")
+        wanted = terms.select("term").distinct()
+        t = t.join(F.broadcast(wanted) if _few(wanted) else wanted, "term", "left_semi")
     return t.groupBy(*id_cols, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def _small(rows: DataFrame, most: int = TERMS) -> DataFrame:
-    """Marked for broadcast if it has at most ``most`` rows; else as it is."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+def _few(rows: DataFrame, most: int = TERMS) -> bool:
+    """Whether there are at most ``most`` rows, few enough to be sent to all tasks."""
+    return rows.limit(most + 1).count() <= most
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(text.token_set("query")).alias("term"))
 
 
-def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, id_cols: list[str]) -> DataFrame:
-    """(query_id, ids, score) of all rows with a query term. ``stats`` has one row (n, avgdl); queries (query_id, query).
+def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, id_cols: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """(query_id, ids, score) of all rows with a query term. ``stats`` has one row (n, avgdl); queries (query_id, query); ``terms`` are theirs, if known.
 
     Frequencies and query terms are small tables, so postings of a term that stands in every row are scored where they lie; with more than
-    ``TERMS`` terms the joins shuffle, and skewed terms are split at run time.
+    ``TERMS`` entries the joins shuffle, and skewed terms are split at run time.
     """
-    terms = query_terms(queries)
-    used = index.join(_small(terms.select("term").distinct()), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count("*").alias("df"))
-    hits = used.join(_small(df), "term").join(_small(terms), "term")
+    terms = query_terms(queries) if terms is None else terms
+    small = F.broadcast if _few(terms) else lambda rows: rows
+    used = index.join(small(terms.select("term").distinct()), "term", "left_semi")
+    df = used.groupBy("term").agg(F.count("*").alias("df"))  # not more rows than terms
+    hits = used.join(small(df), "term").join(small(terms), "term")
     whole = stats.first()
     idf = F.log(1 + (F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(whole["avgdl"] or 1.0)))
     return hits.groupBy("query_id", *id_cols).agg(F.sum(weight).alias("score"))
 
 
-def text_stats(docs: DataFrame, body: str | None = None) -> DataFrame:
-    """One row: number of rows and mean length in tokens, of texts or of :func:`tokenised` rows."""
-    return docs.agg(F.count("*").alias("n"), F.avg("dl" if body is None else F.size(text.tokens(body))).alias("avgdl"))
+def text_stats(docs: DataFrame, body: str) -> DataFrame:
+    """One row: number of rows and mean length in tokens."""
+    length = F.regexp_count(F.coalesce(F.col(body), F.lit("")), F.lit("[A-Za-z0-9_]+"))
+    return docs.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl"))
 
 
 def text_hits(docs: DataFrame, queries: DataFrame, ids: list[str], body: str = "search_text") -> DataFrame:
-    """(query_id, ids, score) of all rows of texts with a query term, scores rounded to 9 digits: tokens once, postings of the query's terms."""
-    t = tokenised(docs, ids, body)
-    index = shared.kept(postings(t, ids, terms=query_terms(queries)), "postings")
-    return bm25(index, text_stats(t), queries, ids).withColumn("score", F.round("score", 9))
+    """(query_id, ids, score) of all rows of texts with a query term, scores rounded to 9 digits, by postings of the queries' terms only."""
+    terms = shared.kept(query_terms(queries), "terms")
+    index = shared.kept(postings(docs, ids, body, terms), "postings")
+    return bm25(index, text_stats(docs, body), queries, ids, terms).withColumn("score", F.round("score", 9))
 
 
 def match_count(hits: DataFrame, limit: int | None = None) -> DataFrame:

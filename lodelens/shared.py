@@ -21,6 +21,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt to all cores if it has partitions for less than half of them (one small file, say); a large table is left as it lies.
+
+    For texts that cost much more to work on than to move.
+    """
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if 2 * scan.rdd.getNumPartitions() <= n else scan
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The application's part of the folder all executors share."""
     given = spark.conf.get("spark.checkpoint.dir", None)
