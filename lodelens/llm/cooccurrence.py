@@ -59,7 +59,8 @@ def deliveries(commits: DataFrame) -> DataFrame:
     """
     items = F.array_sort(F.array_distinct(F.filter(F.transform("paths.path", plain_path), lambda p: p.isNotNull())))
     n_parents = F.coalesce(F.size(F.array_compact("parents")), F.lit(0))
-    return commits.where(F.col("project_id").isNotNull() & F.col("commit").isNotNull()).select(
+    rows = shared.spread(commits.where(F.col("project_id").isNotNull() & F.col("commit").isNotNull()).select("project_id", "commit", "parents", "paths"))
+    return rows.select(
         F.col("project_id").alias("grp"), F.col("commit").alias("basket"), F.greatest(n_parents, F.lit(0)).alias("n_parents"),
         F.coalesce(items, F.array().cast("array<string>")).alias("items"),
     )

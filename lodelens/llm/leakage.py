@@ -375,7 +375,7 @@ def leaked(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFr
                         got.append((d, item, n, edits, length, len(answers), sum(f" {a} " in text for a in answers)))
                 yield pd.DataFrame(got, columns=[c.split()[0] for c in schema.split(", ")])
 
-        found = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, schema)
+        found = shared.spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")).mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
     # of an item's parts and repeated rows the longest stretch, of equals the one with the fewest edits
     best = F.max(F.struct("n_words", (-F.col("n_edits")).alias("e"))).alias("x")

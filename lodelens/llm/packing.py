@@ -152,7 +152,7 @@ def sized(documents: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counts, "part": part, "seq": range(seq, seq + len(pdf))})
             seq += len(pdf)
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, part long, seq long")
+    return shared.spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens long, part long, seq long")
 
 
 def sequences(documents: DataFrame, capacity: int = 4096, path: str = TOKENIZER, group: int = GROUP) -> DataFrame:

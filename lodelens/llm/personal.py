@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodelens.shared import spread
+
 MAX_PARTS = 200_000
 ROUNDS = 10
 REACH = 90
@@ -828,7 +830,7 @@ def personal_lines(documents: DataFrame, name_parts: DataFrame) -> DataFrame:
                     rows.update((d, k, n) for (_, _, k), n in zip(finds, _lines(t, finds)))
             yield pd.DataFrame(sorted(rows, key=str), columns=["doc_id", "kind", "line_no"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, kind string, line_no int").distinct()
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, kind string, line_no int").distinct()
 
 
 def pseudonymised(documents: DataFrame, name_parts: DataFrame, key: bytes) -> DataFrame:
@@ -853,4 +855,4 @@ def pseudonymised(documents: DataFrame, name_parts: DataFrame, key: bytes) -> Da
                 all_finds.append([{"kind": k, "line_no": n, "start_char": a, "end_char": b} for (a, b, k), n in zip(finds, _lines(t, finds))])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts, "finds": all_finds})
 
-    return documents.select("doc_id", "text").mapInPandas(run, schema)
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, schema)
