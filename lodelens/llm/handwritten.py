@@ -80,7 +80,7 @@ _THIRD_PARTY = re.compile(
 )
 _NO_COPY = re.compile(r"\b(?:not|never|no|isn't|nothing)\b[^\n]{0,24}\b(?:vendored|third[\s-]party|copied|imported|upstream|bundled)", re.I)
 #: Parts in which the files below a folder ask whether it is a copy.
-PARTS = 32
+PARTS = 8
 #: Texts of fewer lines or characters are too short to tell a copy from a coincidence.
 MIN_LINES, MIN_CHARS = 4, 120
 _EOL = re.compile(r"\r\n?|\n|\x0b|\x0c| | ")
@@ -266,9 +266,9 @@ def judged_files(records: DataFrame) -> DataFrame:
                 }
             )
 
+    files = records.where(F.col("rel_path").isNotNull()).select("project_id", "rel_path", "language", "content", F.unix_micros("scanned_at").alias("scanned_at"))
     seen = (
-        records.where(F.col("rel_path").isNotNull())
-        .select("project_id", "rel_path", "language", "content", F.unix_micros("scanned_at").alias("scanned_at"))
+        shared.spread(files)
         .mapInPandas(run, "project_id string, rel_path string, scanned_at long, kind string, leaf string, lines long, chars long, root string, mark boolean")
     )
     newest = F.max(F.struct("scanned_at", "leaf", "kind", "lines", "chars", "root", "mark")).alias("x")
@@ -346,6 +346,7 @@ def not_handwritten(records: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("rel_path"), F.lit(PARTS)).cast("int").alias("part")
     up = own.where(F.size(parts) > 1).select("project_id", "rel_path", "root", part, F.explode(above).alias("node"))
     folders = copies.where("folder").select("project_id", "node", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    folders = folders.hint("merge")  # its size is not known before it is multiplied: never sent to all tasks
     by_folder = up.alias("u").join(folders.alias("c"), [*on, F.col("u.part") == F.col("c.part")], "left_semi")
     copied = shared.kept(by_hash.select("project_id", "rel_path", "root").unionByName(by_folder.select("project_id", "rel_path", "root")).distinct(), "copied")
     # in a folder for third-party copies, a package of which anything is known to be a copy, or which shows what it is, is one
