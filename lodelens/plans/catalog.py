@@ -19,9 +19,9 @@ def distinct_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
     Texts aren't shuffled for it: where ``text`` is asked for, only rows whose key and text hash occur several times are compared as a whole.
     """
     rows = chunks.select(*columns)
-    if "text" not in columns:
+    if "text" not in rows.columns:
         return rows.distinct()
-    keys = [c for c in ("project_id", "chunk_id") if c in columns]
+    keys = [c for c in ("project_id", "chunk_id") if c in rows.columns]
     rows = rows.withColumn("_h", F.xxhash64(*keys, "text"))
     twice = rows.select("_h").groupBy("_h").count().where("count > 1").select("_h")
     n = twice.limit(MAX_REPEATED + 1).count()
