@@ -94,14 +94,16 @@ _SIGNATURE = {
     ),
 }
 _CLASS = {
-    "python": re.compile(r"^[ \t]*class[ \t]+(\w+)[ \t]*(?:\(([^)]*)\))?[ \t]*:", re.M),
+    "python": re.compile(r"^[ \t]*class[ \t]+(\w+)[ \t]*(?:\[[^\n]*?\][ \t]*)?(?:\(((?:[^()]|\([^()]*\))*)\))?[ \t]*:", re.M),
     "ruby": re.compile(r"^[ \t]*(?:class|module)[ \t]+([\w:]+)(?:[ \t]*<[ \t]*([\w:]+))?", re.M),
-    "js": re.compile(r"\b(?:class|interface)\s+([\w$]+)(?:\s*<[^{}]*?>)?((?:\s+(?:extends|implements)\s+[^{]+)?)\{"),
-    "java": re.compile(r"\b(?:class|interface|enum|record)\s+(\w+)(?:\s*<[^{}]*?>)?(?:\([^)]*\))?((?:\s+(?:extends|implements)\s+[^{]+)?)\{"),
-    "cs": re.compile(r"\b(?:class|interface|struct|record)\s+(\w+)(?:\s*<[^{}]*?>)?((?:\s*:\s*[^{]+)?)\{"),
+    "js": re.compile(r"\b(?:class|interface)\s+([\w$]+)(?:\s*<[^{}]*?>)?((?:\s+(?:extends|implements)\s+[^{]+)?)\s*\{"),
+    "java": re.compile(r"\b(?:class|interface|enum|record)\s+(\w+)(?:\s*<[^{}]*?>)?(?:\([^)]*\))?((?:\s+(?:extends|implements)\s+[^{]+)?)\s*\{"),
+    "cs": re.compile(r"\b(?:class|interface|struct|record)\s+(\w+)(?:\s*<[^{}]*?>)?((?:\s*:\s*[^{]+)?)\s*\{"),
     "rust": re.compile(r"\b(?:impl|trait)(?:\s*<[^{}]*?>)?\s+(?:([\w:]+)(?:<[^{}]*?>)?\s+for\s+)?(\w+)"),
-    "c": re.compile(r"\bclass\s+(\w+)(?:\s+final)?((?:\s*:\s*[^{;]+)?)\{"),
+    "c": re.compile(r"\b(?:class|struct)\s+(\w+)(?:\s+final)?((?:\s*:\s*[^{;]+)?)\s*\{"),
 }
+# Families in which a class is whole in one file, so that a base class of that file is the one meant.
+IN_FILE = ("python", "js", "java")
 _ANNOTATION = {
     "java": re.compile(r"@\w[\w.]*(?:\s*\(.*\))?\s*$", re.S),
     "js": re.compile(r"@\w[\w.]*(?:\s*\(.*\))?\s*$", re.S),
@@ -337,10 +339,41 @@ def _body_end(t: _Text, m: re.Match, line: int) -> int:
 def _bases(family: str, m: re.Match) -> tuple[str | None, list[str]]:
     if family == "rust":
         return m.group(2), [m.group(1).rsplit("::", 1)[-1]] if m.group(1) else []
-    said = m.group(2) or ""
-    said = re.sub(r"\b(?:extends|implements|public|protected|private|virtual)\b|<[^<>]*>", " ", said.lstrip(" \t\r\n:"))
-    names = [x.strip().split("=")[-1].strip().rsplit(".", 1)[-1].rsplit("::", 1)[-1] for x in re.split(r"[,\s]+", said)]
-    return m.group(1), [x for x in names if re.fullmatch(r"\w+", x) and x != "object"]
+    said, before = m.group(2) or "", None
+    while said != before:  # type arguments may hold others
+        said, before = re.sub(r"<[^<>]*>|\[[^\[\]]*\]|\([^()]*\)", " ", said), said
+    if family == "cs":
+        said = re.sub(r"\bwhere\b.*", " ", said, flags=re.S)
+    said = re.sub(r"\b(?:extends|implements|public|protected|private|virtual)\b", " ", said.lstrip(" \t\r\n:"))
+    parts = [x for x in said.split(",") if "=" not in x] if family == "python" else re.split(r"[,\s]+", said)
+    names = [x.strip().rsplit(".", 1)[-1].rsplit("::", 1)[-1].strip() for x in parts]
+    return m.group(1).rsplit("::", 1)[-1], [x for x in names if re.fullmatch(r"[\w$]+", x) and x != "object"]
+
+
+def _owners_by_indent(t: _Text, headers: list[re.Match], signatures: list[re.Match]) -> dict[int, str | None]:
+    """By line of a signature, the class in whose body it stands; none for a function inside another."""
+    opens = {t.line_of(m.start()): (_bases(t.family, m)[0], t.line_of(m.end())) for m in headers}
+    for m in signatures:
+        past = _closing(t.code, m.end() - 1) if t.family == "python" else -1
+        opens[t.line_of(m.start())] = (None, t.line_of(max(past, m.end() - 1)))
+    owners: dict[int, str | None] = {}
+    around: list[tuple[int, str | None]] = []
+    i = 0
+    while i < len(t.starts):
+        a, b = t.line(i)
+        s = t.code[a:b]
+        if s.strip():
+            indent = len(s) - len(s.lstrip())
+            while around and around[-1][0] >= indent:
+                around.pop()
+            if i in opens:
+                name, last = opens[i]
+                if name is None:
+                    owners[i] = around[-1][1] if around else None
+                around.append((indent, name))
+                i = max(i, last)
+        i += 1
+    return owners
 
 
 _MODIFIER = re.compile(r"(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|partial|void)\b")
@@ -372,17 +405,17 @@ def parse(text: str, family: str, symbol: str | None = None):
     Functions are (name, class, documentation, goes on above, line, start, end); headers (class, bases).
     """
     t = _Text(text, family)
-    headers = []
-    if family in _CLASS:
-        for m in _CLASS[family].finditer(t.code):
-            name, bases = _bases(family, m)
-            a = t.starts[t.line_of(m.start(1) if m.group(1) else m.start())]
-            headers.append((m.start(), len(t.code[a:]) - len(t.code[a:].lstrip(" \t")), name, bases))
+    classes = list(_CLASS[family].finditer(t.code)) if family in _CLASS else []
+    headers = [_bases(family, m) for m in classes]
+    signatures = list(_SIGNATURE[family].finditer(t.code))
+    by_indent = family in ("python", "ruby")
+    by_line = _owners_by_indent(t, classes, signatures) if by_indent and classes else {}
+    by_brace = {} if by_indent else {t.code.find("{", m.end() - (family != "rust")): h[0] for m, h in zip(classes, headers)}
     found, opened = [], []
     bodies = {m.end() - 1 for m in re.finditer(r"\bclass\b[^{};]*\{", t.code)} if family == "js" else set()
     braces = re.finditer(r"[{}]", t.code)
     brace = next(braces, None)
-    for m in _SIGNATURE[family].finditer(t.code):
+    for m in signatures:
         name = next(g for k, g in m.groupdict().items() if k != "e" and g)
         while brace is not None and brace.start() < m.start():
             if brace.group() == "{":
@@ -403,23 +436,24 @@ def parse(text: str, family: str, symbol: str | None = None):
                 continue
         if family in ("java", "cs") and m.groupdict().get("e") != ";":
             before = m.group()[: m.start("n") - m.start()].strip()
-            if not before and not any(h[2] == name for h in headers):
+            if not before and not any(h[0] == name for h in headers):
                 continue
             if family == "cs" and name == "when" and not _MODIFIER.match(before):
                 continue  # an arm of a switch
-        indent = at - t.starts[line]
-        owner = next((h[2] for h in reversed(headers) if h[0] < at and h[1] < indent), None)
+        owner = by_line.get(line) if by_indent else by_brace.get(opened[-1]) if opened else None
         if owner is None and symbol and "." in symbol and symbol.rsplit(".", 1)[-1] == name:
             owner = symbol.rsplit(".", 2)[-2]
         if family == "go":
             r = re.match(r"\s*func\s*\(\s*\w*\s*\*?\s*(\w+)", m.group())
             owner = r.group(1) if r else None
+        if family == "c" and (r := re.search(r"(\w+)::$", m.group()[: m.start("n") - m.start()])):
+            owner = r.group(1)
         if family == "python":
             doc, more = _docstring(t, t.code.index("(", m.end("n"))), False
         else:
             doc, more = t.above(line)
         found.append((name[2:] if name.startswith("r#") else name, owner, doc, more, line, at, _body_end(t, m, line)))
-    return found, t, [(h[2], h[3]) for h in headers if h[2] and h[3]]
+    return found, t, [h for h in headers if h[0]]
 
 
 def family_of(rel_path: str | None, language: str | None) -> str | None:
@@ -431,7 +465,7 @@ def family_of(rel_path: str | None, language: str | None) -> str | None:
 
 _PARSED = (
     "what string, project_id string, rel_path string, chunk_id string, name string, owner string, said string, inherits boolean,"
-    " above boolean, line int, doc string, code string, bases array<string>"
+    " above boolean, line int, doc string, code string, bases array<string>, in_file boolean"
 )
 
 
@@ -453,16 +487,16 @@ def _parsed(chunks: DataFrame, with_code: bool) -> DataFrame:
                     code = text[at:end] if with_code else None
                     rows.append(
                         ("function", r.project_id, r.rel_path, r.chunk_id, name, owner, meaning(doc), bool(_INHERIT.search(doc)),
-                         bool(more and first is not None), first, doc, code, None)
+                         bool(more and first is not None), first, doc, code, None, family in IN_FILE)
                     )
                 for name, bases in headers:
-                    rows.append(("class", r.project_id, r.rel_path, r.chunk_id, name, None, None, None, None, None, None, None, bases))
+                    rows.append(("class", r.project_id, r.rel_path, r.chunk_id, name, None, None, None, None, None, None, None, bases, family in IN_FILE))
                 if family != "python" and last is not None and first is not None:
                     lines = text.count("\n") + 1
                     i = lines - 1 if text.endswith("\n") and last - first + 1 < lines else lines
                     doc, _ = t.above(i)
                     if doc:
-                        rows.append(("tail", r.project_id, r.rel_path, r.chunk_id, None, None, meaning(doc), bool(_INHERIT.search(doc)), None, last + 1, doc, None, None))
+                        rows.append(("tail", r.project_id, r.rel_path, r.chunk_id, None, None, meaning(doc), bool(_INHERIT.search(doc)), None, last + 1, doc, None, None, None))
             yield pd.DataFrame(rows, columns=columns)
 
     texts = chunks.where(F.col("text").isNotNull() & F.col("chunk_id").isNotNull() & (F.length("text") > 0))
@@ -487,7 +521,8 @@ def function_docs(chunks: DataFrame, with_code: bool = True, inherit: bool = Tru
     non-program texts give nothing; a null line number only prevents looking into the chunk before. Of several
     candidates (two chunks ending on the same line, two classes of one name in a project) the greatest or least text
     counts, whatever the order of rows. The hierarchy is followed to its top; a (method, class) that was visited isn't visited again, so
-    circles end. Classes are told apart by their name within a project only.
+    circles end. In Python, JavaScript, TypeScript and Java a base class that the file itself has is the one meant; else classes are told apart
+    by their name within a project only. Functions inside functions belong to no class.
     """
     parsed = shared.kept(_parsed(chunks, with_code), "parsed")
     functions = parsed.where("what = 'function'").drop("what", "bases").dropDuplicates()
@@ -499,37 +534,44 @@ def function_docs(chunks: DataFrame, with_code: bool = True, inherit: bool = Tru
         F.col("f.project_id").eqNullSafe(F.col("t.project_id")) & F.col("f.rel_path").eqNullSafe(F.col("t.rel_path")) & (F.col("f.line") == F.col("t.line")),
         "left",
     ).select(
-        *[F.col(f"f.{c}") for c in ("project_id", "rel_path", "chunk_id", "name", "owner", "code")],
+        *[F.col(f"f.{c}") for c in ("project_id", "rel_path", "chunk_id", "name", "owner", "code", "in_file")],
         F.concat_ws("\n", "t.t.said", "f.said").alias("said"),
         F.concat_ws("\n", "t.t.doc", "f.doc").alias("doc"),
         (F.col("f.inherits") | F.coalesce("t.t.inherits", F.lit(False))).alias("inherits"),
     )
-    every = functions.where("NOT above").select("project_id", "rel_path", "chunk_id", "name", "owner", "code", "said", "doc", "inherits").unionByName(waiting)
+    every = functions.where("NOT above").select("project_id", "rel_path", "chunk_id", "name", "owner", "code", "in_file", "said", "doc", "inherits").unionByName(waiting)
     every = every.withColumn("real", _real("said", "name"))
     result = every.where("real").select(
         "project_id", "rel_path", "chunk_id", F.col("name").alias("func_name"), "owner", "doc", F.lit("own").alias("origin"), "code"
     )
-    edges = (
-        parsed.where("what = 'class'").select("project_id", F.col("name").alias("owner"), F.explode("bases").alias("base")).where("base <> owner").distinct()
-    )
+    classes = parsed.where("what = 'class'").withColumnRenamed("name", "class")
+    edges = classes.select("project_id", "rel_path", "in_file", F.col("class").alias("owner"), F.explode("bases").alias("base")).distinct()
     if not inherit or edges.isEmpty():
         return result.distinct()
+    # a class is looked for in the file ``at``, or in the whole project where that is empty
+    place = F.when(F.col("in_file"), F.coalesce("rel_path", F.lit(""))).otherwise("")
+    here = classes.where("in_file").select("project_id", "rel_path", F.col("class").alias("base")).distinct().withColumn("here", F.lit(True))
+    edges = edges.join(here, ["project_id", "rel_path", "base"], "left").select(
+        "project_id", "owner", "base", F.when(F.col("here") & (F.col("base") != F.col("owner")), place).otherwise("").alias("base_at"), place.alias("at")
+    )
+    edges = edges.unionByName(edges.withColumn("at", F.lit(""))).where("base <> owner OR base_at <> at").distinct()
     edges = shared.kept(edges, "hierarchy")
-    known = every.where("real AND owner IS NOT NULL").groupBy("project_id", "owner", "name").agg(F.min("doc").alias("found"))
-    open_ = every.where("NOT real AND owner IS NOT NULL").select("project_id", "rel_path", "chunk_id", "name", F.col("owner").alias("own"), "code", "owner")
+    known = every.where("real AND owner IS NOT NULL").select("project_id", "owner", "name", "doc", place.alias("at"))
+    known = known.unionByName(known.withColumn("at", F.lit(""))).groupBy("project_id", "owner", "at", "name").agg(F.min("doc").alias("found"))
+    open_ = every.where("NOT real AND owner IS NOT NULL").select("project_id", "rel_path", "chunk_id", "name", F.col("owner").alias("own"), "code", "owner", place.alias("at"))
     known, open_ = shared.kept(known, "known"), shared.kept(open_, "open")
     keys = ["project_id", "rel_path", "chunk_id", "name", "own"]
-    visited, step = open_.select(*keys, "owner"), 0
+    visited, step = open_.select(*keys, "owner", "at"), 0
     while not open_.isEmpty():
-        up = open_.join(edges, ["project_id", "owner"]).drop("owner").withColumnRenamed("base", "owner").distinct()
-        up = _without(up, visited, [*keys, "owner"])
-        seen = shared.kept(up.join(known, ["project_id", "owner", "name"], "left"), f"inherit{step}")
+        up = open_.join(edges, ["project_id", "owner", "at"]).drop("owner", "at").withColumnsRenamed({"base": "owner", "base_at": "at"}).distinct()
+        up = _without(up, visited, [*keys, "owner", "at"])
+        seen = shared.kept(up.join(known, ["project_id", "owner", "at", "name"], "left"), f"inherit{step}")
         got = shared.kept(seen.where("found IS NOT NULL").groupBy(*keys, "code").agg(F.min("found").alias("doc")), f"inherited{step}")
         result = result.unionByName(
             got.select("project_id", "rel_path", "chunk_id", F.col("name").alias("func_name"), F.col("own").alias("owner"), "doc", F.lit("inherited").alias("origin"), "code")
         )
         open_ = shared.kept(_without(seen.where("found IS NULL").drop("found"), got, keys), f"open{step}")
-        visited = shared.kept(visited.unionByName(open_.select(*keys, "owner")), f"visited{step}")
+        visited = shared.kept(visited.unionByName(open_.select(*keys, "owner", "at")), f"visited{step}")
         step += 1
     return result.distinct()
 

@@ -1,4 +1,5 @@
 from lodelens.llm import funcdocs as D
+from lodelens.llm import queries as Q
 
 SCHEMA = "project_id string, rel_path string, chunk_id string, language string, symbol string, symbol_kind string, start_line int, end_line int, text string, owner string"
 
@@ -86,3 +87,40 @@ def test_annotations_over_many_lines_and_deep_hierarchies(spark):
     rows += [("p", "c0.py", "0", "python", None, None, 1, 3, 'class C0:\n    def load(self):\n        """Reads the whole file again."""\n', None)]
     got = {(r.chunk_id, r.origin) for r in D.function_docs(spark.createDataFrame(rows, SCHEMA), with_code=False).collect()}
     assert got == {("0", "own")} | {(f"{i}", "inherited") for i in range(1, n)}
+
+
+def _found(spark, folder, rows):
+    full = [("p", path, str(i), None, symbol, None, 1, text.count("\n") + 1, text, None) for i, path, text, symbol in rows]
+    spark.createDataFrame(full, SCHEMA).write.mode("overwrite").parquet(f"{folder}/chunks.parquet")
+    return {(r.chunk_id, r.func_name) for r in Q.p4_found(spark, str(folder)).collect()}
+
+
+def test_found_goes_through_inheritance_in_each_language(spark, tmp_path):
+    said = "Reads the whole file again."
+    pairs = {
+        "py": (f"class Base(Generic[T]):\n    def load(self):\n        '''{said}'''\n", "class Kid(m.Base[int], metaclass=M):\n    def load(self):\n        pass\n"),
+        "ts": (f"class Base<T> {{\n  /** {said} */\n  load(a) {{\n  }}\n}}", "class Kid extends Base<Map<string, number>> {\n  load(a) {\n  }\n}"),
+        "java": (f"class Base {{\n    /** {said} */\n    public int load(String a) {{\n    }}\n}}", "class Kid extends Base\n{\n    /** {@inheritDoc} */\n    @Override\n    public int load(String a) {\n    }\n}"),
+        "cs": (f"class Base\n{{\n    /// <summary>{said}</summary>\n    public virtual int load(int a) {{\n    }}\n}}", "class Kid<T> : Base where T : new()\n{\n    /// <inheritdoc/>\n    public override int load(int a) {\n    }\n}"),
+        "rb": (f"class Base\n  # {said}\n  def load(a)\n  end\nend\n", "class Kid < Base\n  def load(a)\n  end\nend\n"),
+        "rs": (f"trait Base {{\n    /// {said}\n    fn load(&self) -> u8;\n}}", "impl Base for Kid {\n    fn load(&self) -> u8 {\n    }\n}"),
+        "cpp": (f"class Base {{\n    /** {said} */\n    virtual int load(int a) {{\n    }}\n}};", "struct Kid : public ns::Base {\n};\nint Kid::load(int a) {\n}"),
+    }
+    for ext, (base, kid) in pairs.items():
+        rows = [(1, f"a.{ext}", base, None), (2, f"b.{ext}", kid, None), (3, f"c.{ext}", kid.replace("Base", "Other").replace("Kid", "Kid2"), None)]
+        assert _found(spark, tmp_path, rows) == {("1", "load"), ("2", "load")}, ext
+
+
+def test_only_methods_inherit_and_from_the_class_that_is_meant(spark, tmp_path):
+    base = "class Base:\n    def load(self):\n        '''Reads the whole file again.'''\n"
+    rows = [
+        (1, "a.py", base, None),
+        (2, "b.py", "class Base:\n    pass\nclass Kid(Base):\n    def load(self):\n        pass\n", None),  # the file has its own Base
+        (3, "c.py", "class Kid3(Base):\n    def go(\n        self,\n    ):\n        def load():\n            pass\n", None),
+        (4, "d.py", "class Kid4(Base):\n    x = 1\n\ndef go():\n    def load():\n        pass\n", None),
+        (5, "e.py", "class Kid5(x, metaclass=Base):\n    def load(self):\n        pass\n", None),
+        (6, "f.py", "class Base(a.Base):\n    if x:\n        def load(self):\n            pass\n", None),  # of the same name as its base
+        (7, "g.py", "class Kid7(Base):\n    x = 1\n", "Kid7"), (8, "g.py", "    def load(self):\n        pass\n", "Kid7.load"),
+        (9, "h.ts", "class Base {\n  /** Reads the whole file again. */\n  load(a) {\n  }\n}\nclass Kid9 extends Base {\n}\nfunction go() {\n  function load(a) {\n  }\n}", None),
+    ]
+    assert _found(spark, tmp_path, rows) == {(i, "load") for i in "1689"}
