@@ -699,10 +699,9 @@ def _self_cases(spark, d):
 
 
 def _self_ranks(spark, d):
-    cases, c = kept(_self_cases(spark, d), "cases"), kept(_chunks(spark, d), "chunks")
-    ids = ["project_id", "chunk_id"]
-    hits = retrieval.top(retrieval.text_hits(c, cases.select("query_id", "query"), ids), 10, ["chunk_id", "project_id"]).join(c.select(*ids, "rel_path", "symbol"), ids)
-    return evaluation.ranks(cases, hits)
+    cases, ids = kept(_self_cases(spark, d), "cases"), ["chunk_id", "project_id"]
+    hits = retrieval.best_text_hits(_chunks(spark, d), cases.select("query_id", "query"), 10, ids)
+    return evaluation.ranks(cases, hits.join(table(spark, d, "chunks").select(*ids, "rel_path", "symbol"), ids))
 
 
 def _metrics_sql(groups: str) -> str:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,10 @@ HIGH, MEDIUM, LOW = 0.72, 0.50, 0.25
 QUERY_BLOCK, ROW_PART = 512, 50_000
 #: Distinct query terms up to which they are sent to all tasks.
 TERMS = 100_000
+#: Best rows of each term that are scored for a lower bound; what sums of weights may differ by from rounding, and more.
+POOL, SLACK = 16, 1e-7
+#: Queries sent to all tasks at once, and rows a task holds them against at once.
+ASKED, DOCS = 200_000, 131_072
 # Signs that a query means an exact token.
 IDENTIFIER_SIGNS = [r"[a-z][A-Z]", r"[A-Za-z]_[A-Za-z]", r"\b[A-Z][A-Z0-9]{2,}\b", r"['\"][^'\"]+['\"]", r"\.(py|js|ts|tsx|go|rs|java|c|cpp|h|rb|cs|json|toml|md)\b", r"(^|[^A-Za-z0-9_])_[A-Za-z][A-Za-z0-9_]+"]
 
@@ -200,6 +206,159 @@ def top(scored: DataFrame, k: int, ties: list[str]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _weight(idf, tf, dl, avgdl) -> Column:
+    return _c(idf) * _c(tf) * (K1 + 1) / (_c(tf) + K1 * (1 - B + B * _c(dl) / F.lit(avgdl or 1.0)))
+
+
+def term_counts(body, held) -> Column:
+    """Struct of a text: its length in tokens, and the numbers and frequencies of the terms in the broadcast dictionary ``held``."""
+    token = re.compile("[A-Za-z0-9_]+")
+
+    @pandas_udf("dl long, ts array<long>, tfs array<int>")
+    def f(s: pd.Series) -> pd.DataFrame:
+        number, dl, ts, tfs = held.value, [], [], []
+        for x in s:
+            found = token.findall(x or "")
+            n = Counter(number[t] for t in map(str.lower, found) if t in number)
+            dl.append(len(found))
+            ts.append(list(n))
+            tfs.append(list(n.values()))
+        return pd.DataFrame({"dl": dl, "ts": ts, "tfs": tfs})
+
+    return f(_c(body))
+
+
+def reaching(index: DataFrame, limits: DataFrame, avgdl: float) -> DataFrame:
+    """(q, doc, score) of all rows of ``index`` that reach the score ``least`` of a query, but for rows that have its last term alone.
+
+    ``limits`` has each query's terms (q, least, i, t, idf, most), by falling ``most``, and is sent to all tasks.
+    """
+    x = limits.toPandas().sort_values(["q", "i"], kind="stable", ignore_index=True)
+    x["behind"] = x.groupby("q")["most"].transform("sum") - x.groupby("q")["most"].cumsum()
+    held = index.sparkSession.sparkContext.broadcast({c: x[c].to_numpy() for c in ("q", "least", "t", "idf", "most", "behind")})
+
+    def of(part: pd.DataFrame, asked: dict) -> pd.DataFrame:
+        lengths = part["ts"].map(len).to_numpy()
+        if not lengths.sum():
+            return pd.DataFrame({"q": [], "doc": [], "score": []})
+        row, t, tf = np.repeat(np.arange(len(part)), lengths), np.concatenate(part["ts"].to_numpy()), np.concatenate(part["tfs"].to_numpy()).astype(np.float64)
+        order = np.argsort(t, kind="stable")
+        row, tf, (names, first) = row[order], tf[order], np.unique(t[order], return_index=True)
+        below = tf + K1 * (1 - B + B * part["dl"].to_numpy()[row] / (avgdl or 1.0))
+        at = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(row)])))
+        weighed: dict[int, tuple] = {}
+
+        def posted(j):
+            k = ts[j]
+            if k not in weighed:
+                a, b = at[k]
+                weighed[k] = row[a:b], idf[j] * tf[a:b] * (K1 + 1) / below[a:b]
+            return weighed[k]
+
+        starts = np.nonzero(np.diff(asked["q"], prepend=-1))[0].tolist()
+        qs, least, ts, idf, most, behind = (asked[c].tolist() for c in ("q", "least", "t", "idf", "most", "behind"))
+        flat, found = np.zeros(len(part)), []
+        for a, b in zip(starts, [*starts[1:], len(qs)]):
+            lead = []
+            for j in range(a, b - 1):
+                if ts[j] in at and most[j] + SLACK >= (low := least[j] - behind[j]):
+                    docs, w = posted(j)
+                    lead.append(docs[w >= low] if low > 0 else docs)
+            if not lead:
+                continue
+            c = lead[0] if len(lead) == 1 else np.unique(np.concatenate(lead))
+            score = np.zeros(len(c))
+            for j in range(a, b):
+                if not len(c):
+                    break
+                if ts[j] in at:
+                    docs, w = posted(j)
+                    if 16 * len(c) < len(docs):
+                        k = np.minimum(np.searchsorted(docs, c), len(docs) - 1)
+                        score = score + np.where(docs[k] == c, w[k], 0.0)
+                    else:
+                        flat[docs] = w
+                        score = score + flat[c]
+                        flat[docs] = 0.0
+                keep = score + behind[j] >= least[j]
+                c, score = c[keep], score[keep]
+            if len(c):
+                found.append((np.full(len(c), qs[a]), c, score))
+        q, c, score = (np.concatenate(y) for y in zip(*found)) if found else ([], np.array([], int), [])
+        return pd.DataFrame({"q": q, "doc": part["doc"].to_numpy()[c], "score": score})
+
+    def each(batches):
+        parts, n = [], 0
+        for pdf in batches:
+            parts.append(pdf)
+            n += len(pdf)
+            if n >= DOCS:
+                yield of(pd.concat(parts, ignore_index=True), held.value)
+                parts, n = [], 0
+        if n:
+            yield of(pd.concat(parts, ignore_index=True), held.value)
+
+    return index.select("doc", "dl", "ts", "tfs").mapInPandas(each, "q long, doc long, score double")
+
+
+def best_text_hits(docs: DataFrame, queries: DataFrame, k: int, ids: list[str], body: str = "search_text", pool: int = POOL) -> DataFrame:
+    """(query_id, ids, score, rank): the rows that :func:`top` takes from :func:`text_hits`, ties by the columns ``ids`` in their order.
+
+    For queries that grow in number with the texts: scores of all matching rows, as many as queries times texts, are never made. Queries of the
+    same terms are answered once. A query's terms are ordered by their greatest weight, and the ``pool`` best rows of each are scored; the k-th of
+    these scores is a lower bound. A row whose first term in that order is t can only reach it if its weight for t and the greatest weights of the
+    terms behind t do; all these rows are sought in each part of the index and scored where they lie. A row that has the last term alone is among the best if it is among the k best of that term.
+    The distinct terms of the queries are sent to all tasks. Rows of one id are one text, as long as the longest of them.
+    """
+    asked = queries.select("query_id", F.array_join(F.array_sort(text.token_set("query")), " ").alias("words")).where("words <> ''")
+    sets = shared.kept(asked.select("words").distinct().withColumn("q", F.monotonically_increasing_id()), "sets")
+    asks = sets.select("q", F.explode(F.split("words", " ")).alias("term"))
+    vocabulary = shared.kept(asks.select("term").distinct().withColumn("t", F.monotonically_increasing_id()), "vocabulary")
+    held = docs.sparkSession.sparkContext.broadcast({r.term: r.t for r in vocabulary.collect()})
+    rows = shared.kept(docs.select(*ids, term_counts(body, held).alias("c")).select(*ids, "c.*"), "counts")
+    whole = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = whole["n"], whole["avgdl"]
+
+    # rows of one id are one text, numbered in the order of ties
+    def merged(parts):
+        every = F.flatten(F.transform(parts, lambda x: F.arrays_zip(x["ts"], x["tfs"])))
+        ts = F.array_distinct(F.flatten(F.transform(parts, lambda x: x["ts"])))
+        tfs = F.transform(ts, lambda t: F.aggregate(F.filter(every, lambda x: x["ts"] == t), F.lit(0), lambda s, x: s + x["tfs"]))
+        return F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(F.struct(ts.alias("ts"), tfs.alias("tfs")))
+
+    one = rows.repartitionByRange(*ids).groupBy(*ids).agg(F.max("dl").alias("dl"), F.collect_list(F.struct("ts", "tfs")).alias("parts"))
+    one = one.select(*ids, "dl", merged(F.col("parts")).alias("c")).sortWithinPartitions(*ids).select(F.monotonically_increasing_id().alias("doc"), *ids, "dl", "c.*")
+    index = shared.kept(one, "index")
+    posted = index.select("doc", "dl", F.inline(F.arrays_zip("ts", "tfs"))).withColumnsRenamed({"ts": "t", "tfs": "tf"})
+    df = posted.groupBy("t").agg(F.count("*").alias("df"))
+    idf = shared.kept(df.select("t", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "idf")
+    small = F.broadcast if _few(idf) else lambda rows: rows
+    weighed = posted.join(small(idf), "t").withColumn("w", _weight("idf", "tf", "dl", avgdl))
+    w = Window.partitionBy("t").orderBy(F.desc(F.round("w", 9)), "doc")
+    firsts = shared.kept(weighed.select("t", "doc", "w", "idf").withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(k, pool)), "firsts")
+    most = firsts.where("place = 1").select("t", "idf", F.col("w").alias("most"))
+    terms = asks.join(vocabulary, "term").join(most, "t").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("most", "t", "idf")), False).alias("terms"))
+    terms = shared.kept(terms, "terms")
+
+    def scored(pairs):
+        tf = lambda x: F.coalesce(F.get("tfs", (F.array_position("ts", x["t"]) - 1).cast("int")), F.lit(0))
+        score = F.aggregate("terms", F.lit(0.0), lambda s, x: s + _weight(x["idf"], tf(x), "dl", avgdl))
+        return pairs.join(terms, "q").join(index.select("doc", "dl", "ts", "tfs"), "doc").select("q", "doc", score.alias("score"))
+
+    near = shared.kept(scored(terms.select("q", F.explode("terms.t").alias("t")).join(firsts.select("t", "doc"), "t").select("q", "doc").distinct()), "near")
+    least = near.groupBy("q").agg((F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)) - SLACK).alias("least")).where("least IS NOT NULL")
+    more = []
+    blocks = max(1, -(-least.count() // ASKED))
+    for block in range(blocks):
+        asked_here = least if blocks == 1 else least.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)
+        limits = terms.where("size(terms) > 1").join(asked_here, "q").select("q", "least", F.posexplode("terms").alias("i", "x")).select("q", "least", "i", "x.*")
+        more.append(shared.kept(reaching(index, limits, avgdl), "more"))
+    both = near.unionByName(reduce(DataFrame.unionByName, more).join(near, ["q", "doc"], "left_anti")).withColumn("score", F.round("score", 9))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
+    best = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.join(index.select("doc", *ids), "doc").join(sets, "q").join(asked, "words").select("query_id", *ids, "score", "rank")
+
+
 # -- fusion and scores ----------------------------------------------------------------------------
 def is_hybrid(query) -> Column:
     """Single words and queries with an identifier, a literal, a file name or the like go to both indexes."""

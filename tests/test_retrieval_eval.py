@@ -189,3 +189,30 @@ def test_baseline_is_saved_and_cases_are_made(spark, tmp_path):
     assert base.exceptAll(report.select(*base.columns)).isEmpty() and E.gate(base, report).where("NOT passed").isEmpty()
     with pytest.raises(FileNotFoundError):
         E.load_baseline(spark, str(tmp_path / "none.json"))
+
+
+def test_best_hits_without_scores_of_all_matches(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    text = lambda: " ".join(rnd.choices(words, [40, 20, 10, 8, 6, 5, 4, 3, 2, 1, 1, 0.2], k=rnd.randint(1, 9)))
+    docs = [(f"p{i % 3}", f"c{i // 3}", text()) for i in range(300)] + [("p1", "none", None), ("p1", "c7", "w1 w11 w11"), ("p2", "zz", "")]
+    docs = spark.createDataFrame(docs, "project_id string, chunk_id string, search_text string").where("NOT (project_id = 'p1' AND chunk_id = 'c7' AND search_text <> 'w1 w11 w11')")
+    asked = [(i, " ".join(rnd.sample(words, rnd.randint(1, 5)))) for i in range(60)] + [(60, ""), (61, "unknown"), (62, "w0 W1"), (63, "w1 w0"), (64, "unknown w11")]
+    asked = spark.createDataFrame(asked, "query_id long, query string")
+    ids = ["chunk_id", "project_id"]
+    columns = ["query_id", *ids, "score", "rank"]
+    want = R.top(R.text_hits(docs, asked, ids), 5, ids).select(*columns).collect()
+    monkeypatch.setattr(R, "text_hits", None)
+    for asked_at_once, rows_at_once in ((R.ASKED, R.DOCS), (7, 20)):
+        monkeypatch.setattr(R, "ASKED", asked_at_once)
+        monkeypatch.setattr(R, "DOCS", rows_at_once)
+        got = R.best_text_hits(docs, asked, 5, ids, pool=5).select(*columns).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 250
+
+
+def test_rows_of_one_id_are_one_text(spark):
+    docs = spark.createDataFrame([("p", "a", "x y"), ("p", "a", "x z"), ("p", "b", "x z")], "project_id string, chunk_id string, search_text string")
+    got = R.best_text_hits(docs, spark.createDataFrame([(1, "x z")], "query_id long, query string"), 5, ["chunk_id", "project_id"]).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == ["a", "b"]
