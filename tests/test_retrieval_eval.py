@@ -216,3 +216,14 @@ def test_rows_of_one_id_are_one_text(spark):
     docs = spark.createDataFrame([("p", "a", "x y"), ("p", "a", "x z"), ("p", "b", "x z")], "project_id string, chunk_id string, search_text string")
     got = R.best_text_hits(docs, spark.createDataFrame([(1, "x z")], "query_id long, query string"), 5, ["chunk_id", "project_id"]).orderBy("rank").collect()
     assert [r.chunk_id for r in got] == ["a", "b"]
+
+
+def test_gate_never_scores_all_matching_rows(spark, tmp_path, monkeypatch):
+    from lodelens.plans import registry
+
+    schema = "project_id string, chunk_id string, rel_path string, language string, symbol string, symbol_kind string, chunk_role string, start_line int, text string"
+    rows = [("p", f"c{i}", f"d/f{i}.py", "python", f"sym{i}", None, None, 1, f"def sym{i}") for i in range(120)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "chunks.parquet"))
+    monkeypatch.setattr(R, "text_hits", None)
+    got = {(r.value, r.metric): (r.now, r.passed) for r in registry.baseline_gate(spark, str(tmp_path)).collect()}
+    assert len(got) == 16 and got["all", "hit1"] == got["python", "hit1"] == (1.0, True) and got["cobol", "mrr"] == (None, False)
